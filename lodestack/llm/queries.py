@@ -20,8 +20,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024).drop("text")
 
 
-def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def byte_bpe(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "text")
     tokens = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).drop("text")
     both = bpe.decode_documents(tokens, RANKS)
     return both.select(
@@ -32,5 +32,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op2_token_counts": op2_token_counts, "op8_byte_bpe": op8_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
