@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, token_counts
+from lodestack.llm import bpe, mixing, quality_rules, secret_scans, token_counts, url_filters, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Host, path and verdict of the url rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024).drop("text")
@@ -36,5 +45,57 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op8_byte_bpe": op8_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).drop("text")
+
+
+def scanned(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """A document's owner is its source, its repository that source's part in its language."""
+    return secret_scans.scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"), keep_text=keep_text)
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scanned(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), keep_text=False)
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return docs.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scans.written(F.col("base")), 256).alias("base_sha256"),
+        secret_scans.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    mixed = mixing.mix(sizes)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+
+
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scans": op4_secret_scans,
+    "op7_warc": op7_warc,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_mixing": op9_mixing,
+}
+
+URL_SQL = """
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+b AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT b.*, h || p AS rule, v FROM b LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(v, length(rule)), 'allow') AS verdict
+FROM f GROUP BY page_id, host, path"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": URL_SQL}
