@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, mixing, quality_rules, secret_scans, token_counts, url_filters, warc
+from lodestack.llm import bpe, mixing, ngram_join, quality_rules, secret_scans, token_counts, url_filters, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -31,8 +31,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_bpe(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    tokens = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode_documents(tokens, RANKS)
+    both = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).drop("text")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -79,6 +78,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -87,6 +90,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 URL_SQL = """
