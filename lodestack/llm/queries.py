@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, mixing, ngram_join, quality_rules, secret_scans, token_counts, url_filters, warc
+from lodestack.llm import bpe, embedding_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts, url_filters, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -68,6 +68,16 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, trees).drop("text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -87,6 +97,8 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scans": op4_secret_scans,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,

@@ -33,8 +33,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of the texts that stand one after the other in ``data``, and how many each text has."""
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and bytes of each word of the texts that stand one after the other in ``data``, and how many words each has."""
     first = np.zeros(len(data) + 1, bool)
     first[np.concatenate([[0], ends])] = True
     word = ~_SPACE[data]
@@ -44,9 +44,13 @@ def _hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     end = np.flatnonzero(word & (~after | first[1:])) + 1
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
     w = mixed((total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64) * _BASE)
-    upto = np.searchsorted(start, ends)
-    many = np.diff(np.concatenate([[0], upto]))
-    begin = upto - many
+    return w, end - start, np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
+
+
+def _hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the texts that stand one after the other in ``data``, and how many each text has."""
+    w, _, many = word_hashes(data, ends)
+    begin = np.cumsum(many) - many
     count = np.where(many >= WORDS, many - WORDS + 1, (many > 0).astype(np.int64))
     out = np.empty(count.sum(), np.uint64)
     place = np.cumsum(count) - count
