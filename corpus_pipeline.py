@@ -5,20 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import queries
-from lodestack.llm.common import stored
+from lodestack.llm import mixing, ngram_join, quality_rules, queries, secret_scans
+from lodestack.llm.common import sized_broadcast, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned decision list keep."""
+    rules = quality_rules.learn(docs, queries.table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id.
+
+    Only ids of documents that go are sent round or shuffled with the texts.
+    """
+    joined = ngram_join.join(docs.select("doc_id", "text"))
+    gone = stored(joined.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(sized_broadcast(gone, gone.count(), ngram_join.IDS_SENT), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live credentials in their texts masked."""
+    scanned = queries.scanned(docs, keep_text=True)
+    masked = scanned.withColumn("text", secret_scans.masked(F.col("text"), F.col("spans")))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes, in training order."""
+    sized = docs.withColumn("size", mixing.words(F.col("text")))
+    return mixing.training_order(mixing.mix(sized)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every copy."""
     return queries.byte_bpe(docs)
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [
+    ("quality rules", judge_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("source mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
+
+#: The learned rules, the order by hash and the tokens are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
