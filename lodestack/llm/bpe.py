@@ -9,17 +9,22 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers of late, and pairs of neighbours whose boundary it has judged.
-PIECES = 200_000
-PAIRS = 1_000_000
+#: Pieces that a worker remembers of late, pairs of neighbours whose boundary it has judged, and characters taken at once.
+PIECES = 150_000
+PAIRS = 400_000
+AT_ONCE = 1_500_000
 
 
 class Vocabulary:
@@ -28,19 +33,23 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.longest = [0] * 256
-        for b in ranks:
-            self.longest[b[-1]] = max(self.longest[b[-1]], len(b))
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.joined: dict[tuple[int, int], int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.ends = ahocorasick.Automaton()  # at each byte, the tokens of two bytes and more that end there, longest first
+        for b, r in ranks.items():
+            if len(b) > 1:
+                self.ends.add_word(b.decode("latin-1"), (r, len(b)))
+        self.ends.make_automaton()
+        top = max(self.bytes_of, default=0) + 1
+        self.left, self.right = [-1] * top, [-1] * top  # the halves a token was merged from
+        self.joined: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
         for token in sorted(self.bytes_of):
             whole = self.bytes_of[token]
             for i in range(1, len(whole)):
                 left, right = ranks.get(whole[:i], token), ranks.get(whole[i:], token)
                 if left < token and right < token and self._boundary(left, right):
-                    self.halves[token] = (left, right)
-                    self.joined[left, right] = token
+                    self.left[token], self.right[token] = left, right
+                    self.joined[left << 32 | right] = token
                     break
 
     def _boundary(self, a: int, b: int) -> bool:
@@ -50,39 +59,50 @@ class Vocabulary:
         own merge comes first if its rank is lower than that of the merge which took either away; among equal ranks
         the merge further left comes first.
         """
-        limit = 1 << 60
+        limit, joined, left, right = 1 << 60, self.joined, self.left, self.right
         while True:
-            if self.joined.get((a, b), limit) < limit:
+            if joined.get(a << 32 | b, limit) < limit:
                 return False
-            if a > b and a in self.halves:
-                limit, a = a, self.halves[a][1]
-            elif b in self.halves:
-                limit, b = b + 1, self.halves[b][0]
-            elif a in self.halves:
-                limit, a = a, self.halves[a][1]
+            if a > b and right[a] >= 0:
+                limit, a = a, right[a]
+            elif left[b] >= 0:
+                limit, b = b + 1, left[b]
+            elif right[a] >= 0:
+                limit, a = a, right[a]
             else:
                 return True
 
     def boundary(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._boundary(a, b)
+            known = self.pairs[a << 32 | b] = self._boundary(a, b)
         return known
 
     def last_tokens(self, piece: bytes, table: list[int] | None = None) -> list[int]:
-        """The last token of each prefix; entry i - 1 is that of the first i bytes. ``table`` has those of a shorter prefix."""
-        ranks, longest, boundary = self.ranks, self.longest, self.boundary
-        table = [] if table is None else table
-        for end in range(len(table) + 1, len(piece) + 1):
-            for start in range(max(0, end - longest[piece[end - 1]]), end):
-                token = ranks.get(piece[start:end])
-                if token is not None and (not start or boundary(table[start - 1], token)):
-                    table.append(token)
-                    break
-            else:
-                raise ValueError(f"the vocabulary lacks byte {piece[end - 1]}")
+        """The last token of each prefix; entry i - 1 is that of the first i bytes. ``table`` has those of a shorter prefix.
+
+        A prefix that no longer token may end has its last byte's own token.
+        """
+        single, known = self.single, 0 if table is None else len(table)
+        pairs, table = self.pairs, [*(table or ()), *[-1] * (len(piece) - known)]
+        for end, (token, size) in self.ends.iter(piece.decode("latin-1")):
+            if end >= known and table[end] < 0:
+                before = end - size
+                if before < 0:
+                    table[end] = token
+                    continue
+                last = table[before]
+                if last < 0:
+                    last = table[before] = single[piece[before]]
+                good = pairs.get(last << 32 | token)
+                if self.boundary(last, token) if good is None else good:
+                    table[end] = token
+        if -1 in table:
+            table = [single[piece[i]] if t < 0 else t for i, t in enumerate(table)]
+            if -1 in table:
+                raise ValueError(f"the vocabulary lacks byte {piece[table.index(-1)]}")
         return table
 
     def walk_back(self, table: list[int], end: int | None = None) -> list[int]:
@@ -195,10 +215,50 @@ def rank_file(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
+def coded(texts: list[str | None], find) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Stretches of ``texts``: their distinct pieces, which of these stand there in order, and how many each text has."""
+    at = 0
+    while at < len(texts):
+        size, flat, many = 0, [], []
+        while at < len(texts) and size < AT_ONCE:
+            found = find(texts[at]) if texts[at] else []
+            size += len(texts[at] or "")
+            flat.append(found)
+            many.append(len(found))
+            at += 1
+        pieces = pa.array(list(chain.from_iterable(flat)), pa.string()).dictionary_encode()
+        yield pieces.dictionary.to_pylist(), pieces.indices.to_numpy(), np.array(many, np.int64)
+
+
+def spread(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each code in turn its run in ``values``, where run k has ``sizes[k]`` entries."""
+    starts, length = np.cumsum(sizes) - sizes, sizes[codes]
+    return values[np.repeat(starts[codes] - np.cumsum(length) + length, length) + np.arange(length.sum())]
+
+
+def summed(each: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Sums of successive runs of ``each`` with ``many`` entries."""
+    ends = np.cumsum(many)
+    upto = np.concatenate([[0], np.cumsum(each)])
+    return upto[ends] - upto[ends - many]
+
+
 @lru_cache(maxsize=4)
 def _memory(path: str, pattern: str):
     encode = rank_file(path).encode
-    return splitter(pattern), Remembered(lambda piece: np.array(encode(piece.encode()), np.int32).tobytes())
+    return splitter(pattern), Remembered(lambda piece: array("i", encode(piece.encode())).tobytes())
+
+
+def _encode(texts: pa.Array, path: str, pattern: str) -> pa.ListArray:
+    find, known = _memory(path, pattern)
+    ids, sizes = [], []
+    for pieces, codes, many in coded(texts.to_pylist(), find):
+        raw = [known[p] for p in pieces]
+        size = np.array([len(r) // 4 for r in raw], np.int64)
+        ids.append(spread(np.frombuffer(b"".join(raw), np.int32), size, codes))
+        sizes.append(summed(size[codes], many))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes or [[]]))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids or [np.array([], np.int32)])))
 
 
 def encoded(text: Column, ranks_path: str, pattern: str) -> Column:
@@ -209,23 +269,40 @@ def encoded(text: Column, ranks_path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        find, ids = _memory(ranks_path, pattern)
-        rows = [b"".join(map(ids.__getitem__, find(t))) if t else b"" for t in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        return _encode(texts, ranks_path, pattern)
 
     return ids_of(text)
 
 
+@lru_cache(maxsize=4)
+def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids one after the other, and how many each id has; ids run from 0 without gaps."""
+    known = rank_file(path).bytes_of
+    every = [known[i] for i in range(len(known))]
+    return np.frombuffer(b"".join(every), np.uint8), np.array([len(b) for b in every], np.int64)
+
+
+def _decode(rows: pa.ListArray, path: str) -> pa.Array:
+    table, sizes = _byte_table(path)
+    many = np.array([n or 0 for n in rows.value_lengths().to_pylist()], np.int64)
+    codes = rows.flatten().to_numpy(zero_copy_only=False)
+    ends, out, at = np.cumsum(many), [], 0
+    while at < len(many):  # rows of about as many ids as are taken at once, one row at least
+        begin = ends[at] - many[at]
+        to = max(at + 1, int(np.searchsorted(ends, begin + AT_ONCE // 4, "right")))
+        raw = spread(table, sizes, codes[begin : ends[to - 1]]).tobytes()
+        cut = np.concatenate([[0], np.cumsum(summed(sizes[codes[begin : ends[to - 1]]], many[at:to]))]).tolist()
+        out += [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+        at = to
+    return pa.array(out, pa.binary())
+
+
 def decoded(ids: Column, ranks_path: str) -> Column:
     """The bytes that an array of ids stands for (binary); null counts as empty, an unknown id fails."""
 
     @F.arrow_udf("binary")
     def bytes_of(rows: pa.Array) -> pa.Array:
-        known = rank_file(ranks_path).bytes_of
-        flat = rows.flatten().to_numpy(zero_copy_only=False).tolist()
-        size = np.cumsum([0, *(0 if n is None else n for n in rows.value_lengths().to_pylist())]).tolist()
-        return pa.array([b"".join(map(known.__getitem__, flat[a:b])) for a, b in zip(size, size[1:], strict=False)], pa.binary())
+        return _decode(rows, ranks_path)
 
     return bytes_of(ids)
 
@@ -238,3 +315,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
 def decode_documents(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """All columns and rows of ``tokens`` with ``decoded`` (binary); an own column ``decoded`` is replaced."""
     return tokens.withColumn("decoded", decoded(F.col(ids), ranks_path))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """All columns and rows of ``docs`` with ``ids`` and ``decoded``, what the ids stand for.
+
+    As ``decode_documents`` after ``encode_documents``, but in one pass: Spark would run the encoder once for the ids and
+    again below the decoder, or hold workers for each.
+    """
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _encode(texts, ranks_path, pattern)
+        return pa.StructArray.from_arrays([ids, _decode(ids, ranks_path)], ["ids", "decoded"])
+
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    return docs.select(*kept, both(F.col(text)).alias("__both")).select(*kept, "__both.ids", "__both.decoded")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.bpe import Remembered, Vocabulary, splitter
+from lodestack.llm.bpe import Remembered, Vocabulary, coded, splitter
 
 # Fixed value: how a byte-level vocabulary splits a text before it merges.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -42,8 +42,7 @@ class PrefixCounts:
         ranks = {raw(c): i for i, c in enumerate(letters)} | {raw(a + b): 256 + i for i, (a, b) in enumerate(merges)}
         self.special = [t["content"] for t in told["added_tokens"]]
         self.vocabulary, self.find = Vocabulary(ranks), splitter(BYTE_LEVEL)
-        self.prefixes = Remembered(self._prefixes)
-        self.totals = Remembered(lambda piece: self.prefixes[piece][-1])
+        self.totals = Remembered(lambda piece: self._prefixes(piece)[-1])
 
     def _prefixes(self, piece: str) -> list[int]:
         """The count at the end of each byte prefix of a piece."""
@@ -68,10 +67,32 @@ class PrefixCounts:
             yield text[at:], False
 
     def count(self, text: str) -> int:
-        total, found = self.totals.__getitem__, 0
-        if any(s in text for s in self.special):
-            return sum(1 if special else sum(map(total, self.find(part))) for part, special in self.parts(text))
-        return found + sum(map(total, self.find(text)))
+        total = self.totals.__getitem__
+        return sum(1 if special else sum(map(total, self.find(part))) for part, special in self.parts(text))
+
+    def measure(self, texts: list[str], limit: int) -> tuple[list[int], list[int]]:
+        """For each text its count and the bytes of it that ``limit`` tokens hold, as ``count`` and ``fitting`` tell them."""
+        marked = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        n, fit = [], []
+        for pieces, codes, many in coded([None if i in marked else t for i, t in enumerate(texts)], self.find):
+            tokens = np.concatenate([[0], np.cumsum(np.array([self.totals[p] for p in pieces], np.int64)[codes])])
+            size = np.concatenate([[0], np.cumsum(np.array([len(p.encode()) for p in pieces], np.int64)[codes])])
+            ends = np.cumsum(many)
+            starts = ends - many
+            n += (tokens[ends] - tokens[starts]).tolist()
+            last = np.minimum(np.searchsorted(tokens, tokens[starts] + limit, "right") - 1, ends)
+            whole = (size[last] - size[starts]).tolist()
+            left = (limit - (tokens[last] - tokens[starts])).tolist()
+            fit += [w if k == e else w + self._within(pieces[codes[k]], x) for w, k, e, x in zip(whole, last.tolist(), ends.tolist(), left, strict=True)]
+        for i in marked:
+            n[i], fit[i] = self.count(texts[i]), self.fitting(texts[i], limit)
+        return n, fit
+
+    def _within(self, piece: str, limit: int) -> int:
+        """Bytes of the longest prefix of a piece that ends with a character and has at most ``limit`` tokens."""
+        raw = piece.encode()
+        ends = [i for i, k in enumerate(self._prefixes(piece), 1) if k <= limit and (i == len(raw) or raw[i] & 0xC0 != 0x80)]
+        return ends[-1] if ends else 0
 
     def fitting(self, text: str, limit: int) -> int:
         """Bytes of the longest run of leading whole pieces and one piece's prefix whose tokens, as encoded, fit in ``limit``.
@@ -86,10 +107,7 @@ class PrefixCounts:
             k = bisect_right(sums, limit - spent)
             used += len("".join(pieces[:k]).encode())
             if k < len(pieces):
-                left = limit - spent - (sums[k - 1] if k else 0)
-                raw = pieces[k].encode()
-                ends = [] if special else [i for i, n in enumerate(self.prefixes[pieces[k]], 1) if n <= left and (i == len(raw) or raw[i] & 0xC0 != 0x80)]
-                return used + (ends[-1] if ends else 0)
+                return used + (0 if special else self._within(pieces[k], limit - spent - (sums[k - 1] if k else 0)))
             spent += sums[-1]
         return used
 
@@ -105,9 +123,7 @@ def token_counts(text: Column, path: str, limit: int) -> Column:
     @F.arrow_udf("n_tokens bigint, fit_bytes bigint")
     def counted(texts: pa.Array) -> pa.Array:
         known = prefix_counts(path)
-        rows = [t or "" for t in texts.to_pylist()]
-        n = [known.count(t) for t in rows]
-        fit = [known.fitting(t, limit) if k > limit else len(t.encode()) for t, k in zip(rows, n, strict=True)]
+        n, fit = known.measure([t or "" for t in texts.to_pylist()], limit)
         return pa.StructArray.from_arrays([pa.array(np.array(x, np.int64)) for x in (n, fit)], ["n_tokens", "fit_bytes"])
 
     return counted(text)
