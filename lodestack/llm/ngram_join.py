@@ -54,9 +54,12 @@ def identities(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def parities(h: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """One-bit sketches: bit (hash mod m) counts its shingles' parity; m is the power of two above n, 64 at least."""
+    """One-bit sketches: bit (hash mod m) counts its shingles' parity; m is four times the power of two above n.
+
+    The wider they are, the fewer differing shingles fall on one bit and cancel out, and the nearer the distance is to theirs.
+    """
     out: list[bytes] = [b""] * len(n)
-    ends, m_of = np.cumsum(n), np.maximum(64, 2 << bands(n))
+    ends, m_of = np.cumsum(n), np.maximum(64, 8 << bands(n))
     for m in np.unique(m_of[n > 0]):
         rows = np.flatnonzero((m_of == m) & (n > 0))
         row = np.repeat(np.arange(len(rows)), n[rows])
@@ -169,9 +172,9 @@ def _listed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """Rows (key, set, low): under a key that several sets share each of them with the smallest one.
+    """Rows (key, set, low): the sets under each key that more than two share, with the smallest of those seen together.
 
-    ``low`` is null where a row stands for the key's list alone. Keys of two sets have one row; others list all their sets.
+    The key of two sets has one row, with key 0, for the larger one.
     """
     longs = lambda raw: np.frombuffer(raw, np.uint64)
 
@@ -253,17 +256,28 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(pairs.join(one, "a").join(two, "b").where(linked("x", "y")).select("a", "b"), "links")
 
 
+def _with_lows(shared: DataFrame) -> DataFrame:
+    """(key, set, low) with the smallest set of each whole key."""
+    lists = shared.where("key <> 0").select("key", "set")
+    lows = stored(lists.groupBy("key").agg(F.min("set").alias("low")), "key-lows")
+    return stored(lists.join(lows, "key").distinct(), "key-lists").unionByName(shared.where("key = 0"))
+
+
 def _unsettled(lists: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that stand under one key and don't hang together yet, as far as sizes and parities allow a link.
+    """Pairs (a, b) of sets that share a key and don't hang together yet, as far as sizes and parities allow a link.
 
-    The sets of a key are dealt into blocks, and each pair of blocks is one piece of work of bounded size.
+    Keys with the same smallest set are taken together, so that a pair which shares many keys is met few times: all sets
+    of such keys are held against each other, whichever key they stand under. They are dealt into blocks, and each pair of
+    blocks is one piece of work of bounded size.
     """
     told = sets.join(joined.select(F.col("node").alias("set"), F.col("component").alias("joined")), "set", "left").select("set", "n", "parity", F.coalesce("joined", "set").alias("joined"))
-    rows = lists.distinct().join(told, "set")
-    open_ = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("joined").alias("lo"), F.max("joined").alias("hi")).where("lo <> hi").select("key", "m"), "open-keys")
-    rows = rows.join(open_, "key").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("k")).cast("int"))
+    rows = lists.where("key <> 0").join(told.select("set", "joined"), "set")
+    open_ = stored(rows.groupBy("key").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).where("lo <> hi").select("key"), "open-keys")
+    members = stored(lists.join(open_, "key").select("low", "set").distinct(), "open-sets")
+    counts = stored(members.groupBy("low").agg(F.count(F.lit(1)).alias("m")), "open-lows")
+    rows = members.join(counts, "low").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("k")).cast("int"))
     twice = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least("block", j).cast("long") * F.col("k") + F.greatest("block", j))
-    rows = rows.select("key", F.explode(twice).alias("work"), "block", "set", "n", "joined", "parity")
+    rows = rows.join(told, "set").select(F.col("low").alias("key"), F.explode(twice).alias("work"), "block", "set", "n", "joined", "parity")
     rows = rows.repartition(partitions(lists.sparkSession), "key", "work").sortWithinPartitions("key", "work", "set")
 
     def pairs_of(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -330,12 +344,12 @@ def join(docs: DataFrame) -> DataFrame:
     # One document stands for all that have its set; of an id with several texts each set has its own.
     sets = stored(every.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "distinct-sets")
     parts = partitions(spark)
-    shared = stored(_shared(_listed(docs, _frequent(docs), parts), parts), "shared-keys")
-    star = shared.where("set <> low").select(F.least("set", "low").alias("a"), F.greatest("set", "low").alias("b"))
+    lists = _with_lows(stored(_shared(_listed(docs, _frequent(docs), parts), parts), "shared-keys"))
+    star = lists.where("set <> low").select(F.least("set", "low").alias("a"), F.greatest("set", "low").alias("b"))
     links = _verified(docs, sets, _near_enough(star, sets))
     edges = lambda df: df.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     joined = components(edges(links))
-    more = _verified(docs, sets, _unsettled(shared.where("key <> 0").select("key", "set"), sets, joined))
+    more = _verified(docs, sets, _unsettled(lists, sets, joined))
     joined = stored(components(edges(links.union(more))), "components")
     lows = joined.join(sets.select("set", "doc_id"), F.col("node") == F.col("set")).groupBy("component").agg(F.min("doc_id").alias("low"))
     of_set = sets.join(joined, F.col("set") == F.col("node"), "left").join(lows, "component", "left").select("set", F.coalesce("low", "doc_id").alias("component_id"))
