@@ -32,7 +32,8 @@ def title_level(title: Column, text_level: Column, depth: Column) -> Column:
     """By a leading number, one more than its dots; else 0 for the first title, else the given level, 1 at least, else the depth."""
     number = F.regexp_extract(title, T.LEADING_NUMBER, 1)
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
-    return F.when(number != "", dots + 1).when(depth == 0, 0).otherwise(F.coalesce(F.greatest(text_level, F.lit(1)), depth)).cast("int")
+    given = F.when(text_level.isNotNull(), F.greatest(text_level, F.lit(1)))
+    return F.when(number != "", dots + 1).when(depth == 0, 0).otherwise(F.coalesce(given, depth)).cast("int")
 
 
 def title_paths(titles: Column) -> Column:

@@ -64,7 +64,7 @@ def resolved_ids(pairs: DataFrame) -> DataFrame:
 def merged_ids(explicit: Column, resolved: Column) -> Column:
     """Both lists, trimmed, without blanks and repeats, in order; null if nothing is left."""
     none = F.array().cast("array<string>")
-    both = F.transform(F.concat(F.coalesce(explicit, none), F.coalesce(resolved, none)), F.trim)
+    both = F.transform(F.concat(F.coalesce(explicit, none), F.coalesce(resolved, none)), lambda x: F.trim(x))  # noqa: PLW0108
     kept = F.array_distinct(F.filter(both, lambda x: x != ""))
     return F.when(F.size(kept) > 0, kept)
 
