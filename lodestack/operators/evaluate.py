@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +26,32 @@ def most_frequent_top_k(cases: DataFrame, request: int | None = None) -> DataFra
     return counts.agg(F.max_by("top_k", F.struct("n", "top_k")).alias("best")).select(F.coalesce(F.lit(request).cast("int"), F.col("best").cast("int"), F.lit(DEFAULT_TOP_K)).alias("top_k"))
 
 
-#: Length of a piece by which anchors meet the texts that may hold them.
-GRAM = 16
+#: Anchors that one pass over the texts looks for.
+ANCHORS_AT_ONCE = 50_000
+
+
+def _holding(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(chunk_id, anchor) for each of the distinct ``anchors`` that stands in a chunk's text: all are looked for in one pass.
+
+    Anchors are the stated labels; they go to the tasks in blocks of ``ANCHORS_AT_ONCE``.
+    """
+    blocks = -(-max(1, anchors.count()) // ANCHORS_AT_ONCE)
+    id_type, found = dict(chunks.dtypes)["chunk_id"], None
+    for b in range(blocks):
+        words = [r[0] for r in anchors.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b).collect()]
+
+        def search(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for w in words:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [(i, w) for i, t in enumerate(batch.column(1).to_pylist()) if t and words for w in {w for _, w in automaton.iter(t)}]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in hits], pa.int64())), pa.array([w for _, w in hits], pa.string())], ["chunk_id", "anchor"])
+
+        part = chunks.select("chunk_id", "chunk_text").mapInArrow(search, f"chunk_id {id_type}, anchor string")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def evidence_pairs(keys: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -31,27 +59,15 @@ def evidence_pairs(keys: DataFrame, chunks: DataFrame) -> DataFrame:
 
     ``keys``: case_id, key_pos, anchor_text, doc_id, content_hash; ``chunks``: chunk_id, doc_id, chunk_index, chunk_text, content_hash.
     A key fits if its doc_id is null or the chunk's, and its hash is the chunk's regardless of case or its anchor stands in the text.
-
-    Hashes are an equi-join, and so are anchors of a known document. Other anchors of ``GRAM`` characters or more meet texts by
-    their first ``GRAM`` characters, which the text must hold somewhere; only shorter ones are held against every text,
-    and those are a stated set of labels, small beside the chunks.
     """
     k = keys.select("case_id", "key_pos", F.nullif(F.trim("anchor_text"), F.lit("")).alias("anchor"), F.col("doc_id").alias("key_doc"), F.lower(F.nullif(F.trim("content_hash"), F.lit(""))).alias("hash"))
-    c = chunks.select("chunk_id", F.col("doc_id").alias("chunk_doc"), "chunk_index", "chunk_text", F.lower("content_hash").alias("chunk_hash"))
+    c = chunks.select("chunk_id", F.col("doc_id").alias("chunk_doc"), "chunk_index", F.lower("content_hash").alias("chunk_hash"))
     out = ["case_id", "key_pos", "chunk_id", "chunk_doc", "chunk_index"]
     same_doc = F.col("key_doc").isNull() | (F.col("key_doc") == F.col("chunk_doc"))
     by_hash = k.where("hash is not null").join(c, (F.col("hash") == F.col("chunk_hash")) & same_doc).select(*out)
-    holds = F.contains("chunk_text", "anchor")
-    anchored = k.where("anchor is not null")
-    in_doc = anchored.where("key_doc is not null").join(c, F.col("key_doc") == F.col("chunk_doc")).where(holds).select(*out)
-    free = anchored.where("key_doc is null")
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("chunk_text") - (GRAM - 1)), lambda i: F.substring("chunk_text", i, F.lit(GRAM)))))
-    heads = free.where(F.length("anchor") >= GRAM).withColumn("gram", F.substring("anchor", 1, GRAM))
-    # Heads are few beside the texts' pieces: a text meets only the heads that it holds, and its own row is read again by id.
-    met = c.where(F.length("chunk_text") >= GRAM).select("chunk_id", grams.alias("gram")).join(heads.select("gram").distinct(), "gram", "left_semi").distinct()
-    long = met.join(heads, "gram").join(c, "chunk_id").where(holds).select(*out)
-    short = free.where(F.length("anchor") < GRAM).join(c, holds).select(*out)
-    return by_hash.unionByName(in_doc).unionByName(long).unionByName(short).distinct()
+    held = _holding(chunks, k.where("anchor is not null").select("anchor").distinct())
+    by_anchor = held.join(k, "anchor").join(c, "chunk_id").where(same_doc).select(*out)
+    return by_hash.unionByName(by_anchor).distinct()
 
 
 def resolved_ids(pairs: DataFrame) -> DataFrame:
