@@ -27,6 +27,8 @@ from lodestack.llm.shingles import mixed, shingle_sets
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 6, 200_000
 #: Sets under one key that one task compares with each other, and that a stretch of texts hands on one by one.
 BLOCK, RUN = 1_024, 64
+#: Shingles of all documents for each part that keys are dealt into: about half a key of 16 bytes each, which one task holds.
+FOR_A_PART = 8_000_000
 #: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 IDS_SENT = 500_000
 _COUNTED = np.uint64(0x5851F42D4C957F2D)
@@ -343,7 +345,7 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # One document stands for all that have its set; of an id with several texts each set has its own.
     sets = stored(every.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "distinct-sets")
-    parts = partitions(spark)
+    parts = max(partitions(spark), -(-(every.agg(F.sum("n")).first()[0] or 0) // FOR_A_PART))
     lists = _with_lows(stored(_shared(_listed(docs, _frequent(docs), parts), parts), "shared-keys"))
     star = lists.where("set <> low").select(F.least("set", "low").alias("a"), F.greatest("set", "low").alias("b"))
     links = _verified(docs, sets, _near_enough(star, sets))
