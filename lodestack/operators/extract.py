@@ -11,7 +11,7 @@ from lodestack.functions.tables import captioned, goes_on, joined, with_id
 from lodestack.sources.shared import settled
 
 ITEM = (
-    "doc_id string, pos int, type string, text string, text_level string, list_items array<string>, table_body string, html string, table_caption array<string>, page_idx string, bbox array<double>"
+    "doc_id string, pos bigint, type string, text string, text_level string, list_items array<string>, table_body string, html string, table_caption array<string>, page_idx string, bbox array<double>"
 )
 #: Item types without content for retrieval.
 DROPPED_TYPES = ["image", "chart", "equation", "code", "header", "footer", "page_number", "aside_text", "page_footnote", "page_header", "page_footer", "page_aside_text"]
@@ -55,12 +55,12 @@ def _without_suffix_copies(nodes: DataFrame) -> DataFrame:
 
     What was kept decides about what comes next, so a document's short list of texts is folded in order.
     """
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<pos:int,sub:int>>").alias("gone"))
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<pos:bigint,sub:int>>").alias("gone"))
 
     def step(acc: Column, x: Column) -> Column:
         copy = (x["type"] != "table") & T.is_suffix_copy(acc["last"], x["text"])
         last = F.when(x["type"] == "table", "").when(copy, acc["last"]).otherwise(x["text"])
-        gone = F.when(copy, F.concat(acc["gone"], F.array(F.struct(x["pos"], x["sub"])))).otherwise(acc["gone"])
+        gone = F.when(copy, F.concat(acc["gone"], F.array(F.struct(x["pos"].cast("bigint").alias("pos"), x["sub"].alias("sub"))))).otherwise(acc["gone"])
         return F.struct(last.alias("last"), gone.alias("gone"))
 
     there = nodes.where("dropped is null")

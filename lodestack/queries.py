@@ -389,7 +389,7 @@ def protocol_flag(spark, sf_dir):
 def _items(spark, sf_dir) -> DataFrame:
     null = F.lit(None)
     return _lines(spark, sf_dir).select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.col("line").alias("pos"), F.lit("text").alias("type"), "text", null.cast("string").alias("text_level"), null.cast("array<string>").alias("list_items"),
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("line").cast("long").alias("pos"), F.lit("text").alias("type"), "text", null.cast("string").alias("text_level"), null.cast("array<string>").alias("list_items"),
         null.cast("string").alias("table_body"), null.cast("string").alias("html"), null.cast("array<string>").alias("table_caption"), F.col("line").cast("string").alias("page_idx"), null.cast("array<double>").alias("bbox"),
     )
 

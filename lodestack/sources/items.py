@@ -58,7 +58,8 @@ def items_of(texts: DataFrame) -> DataFrame:
     paged = top.where(is_page).select("doc_id", "page", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("sub", "w")).where(is_object("w"))
     paged = paged.select("doc_id", F.col("page").alias("at"), "sub", _paged(F.col("w"), F.col("page").cast("string")).alias("i")).where("i.type is not null")
     both = flat.unionByName(paged)
-    return both.select("doc_id", (F.col("at") * 100_000 + F.col("sub")).alias("pos"), "i.*")
+    # Both places are ints: one above the other in a long, so no number of items or pages runs over.
+    return both.select("doc_id", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("sub")).alias("pos"), "i.*")
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:

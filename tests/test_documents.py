@@ -58,6 +58,23 @@ def test_files(spark, tmp_path):
     assert {r[0]: r[1] for r in read_items(spark, str(tmp_path)).groupBy("doc_id").count().collect()} == {"a": 10, "b": 3}
 
 
+def test_places_of_many_items(spark):
+    """Over 21,475 items in a flat list, and over 100,000 on a page before another one, stay in order."""
+    flat = [{"type": "text", "text": str(i)} for i in range(21_480)]
+    page = [{"type": "paragraph", "content": {"paragraph_content": str(i)}} for i in range(100_002)]
+    texts = spark.createDataFrame([("f", json.dumps(flat)), ("p", json.dumps([page[:-1], page[-1:]]))], "doc_id string, json string")
+    found = items_of(texts).select("doc_id", "pos", F.col("text").cast("int").alias("i")).collect()
+    for doc, n in (("f", len(flat)), ("p", len(page))):
+        rows = sorted((r.pos, r.i) for r in found if r.doc_id == doc)
+        assert [i for _, i in rows] == list(range(n)) and len({p for p, _ in rows}) == n
+
+
+def test_suffix_copies_at_far_places(spark):
+    nodes = [("d", (30_000 << 32) + k, 0, "paragraph", t, None) for k, t in enumerate(("本办法适用于全体员工。", "全体员工。"))]
+    nodes = spark.createDataFrame(nodes, "doc_id string, pos long, sub int, type string, text string, dropped string")
+    assert [r.dropped for r in extract._without_suffix_copies(nodes).orderBy("pos").collect()] == [None, "fragment"]
+
+
 def test_title_paths(spark):
     titles = [("Doc", 1), ("1. One", 1), ("1.1 Two", 1), ("2 Three", 1), ("plain", None)]
     df = spark.createDataFrame([(titles,)], "t array<struct<title:string,level:int>>")
