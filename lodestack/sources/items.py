@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPANS_DEPTH = 4
-
-
 def _string(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def _spans(v: Column, depth: int = SPANS_DEPTH) -> Column:
-    """The text of nested spans: a string itself, else the content, else the children, one after the other."""
-    if not depth:
-        return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
-    inside = lambda path: F.array_join(F.transform(F.try_variant_get(v, path, "array<variant>"), lambda x: _spans(x, depth - 1)), "")
-    return F.coalesce(F.nullif(inside("$"), F.lit("")), F.nullif(inside("$.content"), F.lit("")), F.nullif(inside("$.children"), F.lit("")), _string(v, "$.content"), F.try_variant_get(v, "$", "string"), F.lit(""))
+def spans_text(spans: object) -> str:
+    """The text of nested spans, one after the other: a string itself, else its content if that is a string, else its children, however deep."""
+    parts, left = [], [spans]
+    while left:
+        x = left.pop()
+        if isinstance(x, list):
+            left.extend(reversed(x))
+        elif isinstance(x, dict):
+            left.append(x["children"] if "children" in x and not isinstance(x.get("content"), str) else x.get("content"))
+        elif x is not None:
+            parts.append(x if isinstance(x, str) else json.dumps(x))
+    return "".join(parts)
+
+
+def _loaded(text: str) -> object:
+    """JSON with its numbers as they are written."""
+    return json.loads(text, parse_int=str, parse_float=str)
 
 
 def _strings(v: Column, path: str) -> Column:
@@ -37,10 +48,22 @@ def _flat(v: Column, page: Column) -> Column:
 
 def _paged(v: Column, page: Column) -> Column:
     """An item of the form by page as a flat one; the type is null for types without content."""
+
+    @F.arrow_udf("string")
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else spans_text(_loaded(t)) for t in texts.to_pylist()], pa.string())
+
+    @F.arrow_udf("array<string>")
+    def told_each(texts: pa.Array) -> pa.Array:
+        lists = (None if t is None else _loaded(t) for t in texts.to_pylist())
+        return pa.array([[spans_text(x) for x in v] if isinstance(v, list) else None for v in lists], pa.list_(pa.string()))
+
     kind, null = F.lower(_string(v, "$.type")), F.lit(None).cast("string")
-    text = F.when(kind == "title", _spans(F.try_variant_get(v, "$.content.title_content", "variant"))).when(kind == "paragraph", _spans(F.try_variant_get(v, "$.content.paragraph_content", "variant")))
+    inside = lambda path: F.to_json(F.try_variant_get(v, path, "variant"))
+    spans = F.when(kind == "title", inside("$.content.title_content")).when(kind == "paragraph", inside("$.content.paragraph_content"))
+    text = F.when(kind.isin("title", "paragraph"), F.coalesce(told(spans), F.lit("")))
     level = F.when(kind == "title", F.coalesce(F.nullif(_string(v, "$.content.level"), F.lit("0")), F.lit("1"))).when(kind == "paragraph", "0")
-    entries = F.transform(F.try_variant_get(v, "$.content.list_items", "array<variant>"), lambda x: _spans(x))  # noqa: PLW0108
+    entries = told_each(F.when(kind.isin("list", "index"), inside("$.content.list_items")))
     return F.struct(
         F.when(kind.isin("title", "paragraph"), "text").when(kind.isin("list", "index"), "list").when(kind == "table", "table").alias("type"), text.alias("text"), level.alias("text_level"),
         F.when(kind.isin("list", "index"), F.filter(entries, lambda x: F.trim(x) != "")).alias("list_items"), F.coalesce(_string(v, "$.content.table_body"), _string(v, "$.content.html")).alias("table_body"), null.alias("html"),

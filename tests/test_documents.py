@@ -69,6 +69,19 @@ def test_places_of_many_items(spark):
         assert [i for _, i in rows] == list(range(n)) and len({p for p, _ in rows}) == n
 
 
+def test_deep_spans(spark):
+    """Text stands at any depth; content that is a string goes before children."""
+
+    def nested(depth):
+        return [{"content": f"t{depth}"}] if not depth else [{"children": nested(depth - 1)}, f"s{depth}"]
+
+    want = lambda depth: "t0" + "".join(f"s{k}" for k in range(1, depth + 1))
+    content = {"paragraph_content": nested(5)}, {"title_content": nested(300), "level": 2}, {"list_items": [nested(6), {"content": "a", "children": ["b"]}, 1.50, " "]}, {}
+    page = [{"type": t, "content": c} for t, c in zip(("paragraph", "title", "list", "paragraph"), content, strict=True)]
+    items = items_of(spark.createDataFrame([("p", json.dumps([page]))], "doc_id string, json string")).orderBy("pos").collect()
+    assert [i.text for i in items] == [want(5), want(300), None, ""] and items[2].list_items == [want(6), "a", "1.5"]
+
+
 def test_suffix_copies_at_far_places(spark):
     nodes = [("d", (30_000 << 32) + k, 0, "paragraph", t, None) for k, t in enumerate(("本办法适用于全体员工。", "全体员工。"))]
     nodes = spark.createDataFrame(nodes, "doc_id string, pos long, sub int, type string, text string, dropped string")
