@@ -98,12 +98,28 @@ def score_cases(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
     A positive case hits if a row is relevant; its recall is the share of its ids that were retrieved, its mrr one over the first
     relevant rank. A negative case hits if no row is relevant, and its recall and mrr are 0.
     """
-    labels = cases.select("case_id", "relevant_chunk_ids", "expected_keywords", "keyword_match_mode", F.coalesce("expect_hit", F.lit(True)).alias("expect_hit"))
+    labels = cases.select("case_id", "relevant_chunk_ids", "expected_keywords", "keyword_match_mode", F.coalesce("expect_hit", F.lit(True)).alias("expect_hit"), F.size(F.array_distinct("relevant_chunk_ids")).alias("n_ids"))
     rows = labels.join(retrieved.select("case_id", "rank", "chunk_id", "chunk_text"), "case_id", "left").withColumn("relevant", F.coalesce(is_relevant(), F.lit(False)))
-    by_id = F.array_contains("relevant_chunk_ids", F.col("chunk_id").cast("string"))
+    return _scored(rows.withColumn("by_id", F.array_contains("relevant_chunk_ids", F.col("chunk_id").cast("string"))))
+
+
+def score_pairs(cases: DataFrame, relevant: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """As ``score_cases`` by ids alone, which stand in rows: no case's ids are gathered.
+
+    ``cases``: case_id, n_ids (how many ids it has), expect_hit; ``relevant``: a row (case_id, chunk_id) for each id, of which those
+    that weren't retrieved can be missing; ``retrieved``: case_id, rank, chunk_id.
+    """
+    by_id = relevant.select("case_id", "chunk_id").distinct().withColumn("by_id", F.lit(True))
+    found = retrieved.select("case_id", "rank", "chunk_id").join(by_id, ["case_id", "chunk_id"], "left")
+    labels = cases.select("case_id", "n_ids", F.coalesce("expect_hit", F.lit(True)).alias("expect_hit"))
+    return _scored(labels.join(found, "case_id", "left").withColumn("relevant", F.coalesce("by_id", F.lit(False))))
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """Scores of the cases' retrieved rows, each with by_id and relevant; a case without any has one of nulls."""
     told = rows.groupBy("case_id").agg(
-        F.first("expect_hit").alias("expect_hit"), F.max(F.size(F.array_distinct("relevant_chunk_ids"))).alias("n_ids"),
-        F.countDistinct(F.when(by_id, F.col("chunk_id"))).alias("n_found"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_rank"),
+        F.first("expect_hit").alias("expect_hit"), F.max("n_ids").alias("n_ids"),
+        F.countDistinct(F.when(F.col("by_id"), F.col("chunk_id"))).alias("n_found"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_rank"),
         F.count("chunk_id").alias("n_retrieved"),
     )
     hit = F.col("first_rank").isNotNull()

@@ -17,6 +17,7 @@ from lodestack.functions.vectors import bigram_vector
 from lodestack.operators import evaluate, extract, monitor, retrieval
 from lodestack.operators.chunk import linked, sections, islands
 from lodestack.sources import store
+from lodestack.sources.shared import settled
 from lodestack.streaming import query_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,15 +209,14 @@ def relevant_merge(spark, sf_dir):
     return cases.select("case_id", F.array_join(evaluate.merged_ids(F.array(F.concat(F.lit(" "), "case_id", F.lit(" ")), F.lit("")), F.col("resolved")), ",").alias("ids"))
 
 
-def _cases(spark, sf_dir, positive: bool) -> tuple[DataFrame, DataFrame]:
-    """Each asking vector's case: those of its label are relevant. With what is retrieved for it."""
-    rows = _table(spark, sf_dir, "embeddings")
-    same = rows.select(F.col("vec_id").alias("other"), F.col("label").alias("l")).groupBy("l").agg(F.sort_array(F.collect_list(F.col("other").cast("string"))).alias("ids"))
-    asked = rows.where("vec_id % 50 = 0").join(same, F.col("label") == F.col("l"))
-    ids = F.filter("ids", lambda x: x != F.col("vec_id").cast("string"))
-    cases = asked.select(F.col("vec_id").alias("case_id"), ids.alias("relevant_chunk_ids"), F.lit(None).cast("array<string>").alias("expected_keywords"), F.lit("any").alias("keyword_match_mode"), F.lit(positive).alias("expect_hit"))
-    found = retrieval.candidates(_asked(spark, sf_dir), _index(spark, sf_dir), 10).select(F.col("query_id").alias("case_id"), "rank", "chunk_id", F.lit("").alias("chunk_text"))
-    return cases, found
+def _case_scores(spark, sf_dir, positive: bool) -> DataFrame:
+    """Scores of each asking vector's case: the other vectors of its label are relevant."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    sizes = rows.groupBy("label").agg((F.countDistinct("vec_id") - 1).alias("n_ids"))
+    cases = rows.where("vec_id % 50 = 0").join(sizes, "label").select(F.col("vec_id").alias("case_id"), "label", "n_ids", F.lit(positive).alias("expect_hit"))
+    found = settled(retrieval.candidates(_asked(spark, sf_dir), _index(spark, sf_dir), 10).select(F.col("query_id").alias("case_id"), "rank", "chunk_id"), "retrieved")
+    labelled = found.join(rows.withColumnsRenamed({"vec_id": "chunk_id", "label": "own"}), "chunk_id").join(cases.select("case_id", "label"), "case_id")
+    return evaluate.score_pairs(cases, labelled.where("own = label"), found)
 
 
 SCORES = FETCHED.format(n=10) + """,
@@ -228,17 +228,17 @@ POSITIVE = "SELECT case_id, (first IS NOT NULL)::INT AS hit, round(CASE WHEN n >
 
 @query(f"{SCORES} {POSITIVE}")
 def eval_hit_recall_mrr(spark, sf_dir):
-    return _rounded(evaluate.score_cases(*_cases(spark, sf_dir, True)).drop("n_retrieved"))
+    return _rounded(_case_scores(spark, sf_dir, True).drop("n_retrieved"))
 
 
 @query(f"{SCORES} SELECT case_id, (first IS NULL)::INT AS hit, 0.0::DOUBLE AS recall, 0.0::DOUBLE AS mrr FROM e")
 def eval_negative(spark, sf_dir):
-    return _rounded(evaluate.score_cases(*_cases(spark, sf_dir, False)).drop("n_retrieved"))
+    return _rounded(_case_scores(spark, sf_dir, False).drop("n_retrieved"))
 
 
 @query(f"{SCORES} SELECT count(*) AS dataset_size, round(avg(hit), 6) AS avg_hit, round(avg(recall), 6) AS avg_recall, round(avg(mrr), 6) AS avg_mrr FROM ({POSITIVE.replace('round(CASE', '(CASE').replace('END, 6)', 'END)').replace('round(coalesce(1 / first, 0.0), 6)', 'coalesce(1 / first, 0.0)')})")
 def eval_run_summary(spark, sf_dir):
-    return _rounded(evaluate.summary(evaluate.score_cases(*_cases(spark, sf_dir, True))))
+    return _rounded(evaluate.summary(_case_scores(spark, sf_dir, True)))
 
 
 def _keywords(spark, sf_dir, mode: str) -> DataFrame:

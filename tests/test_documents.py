@@ -127,6 +127,18 @@ def test_scores(spark):
     assert {r.case_id: (r.hit, r.recall, r.mrr) for r in told.collect()} == {"ids": (1, 0.5, 0.5), "words": (1, 0.0, 0.5), "all": (0, 0.0, 0.0), "negative": (1, 0.0, 0.0), "empty": (0, 0.0, 0.0)}
 
 
+def test_scores_of_pairs(spark):
+    """Relevance in rows scores as id lists do."""
+    ids = {"some": ["1", "2", "3"], "none": [], "negative": ["9"], "empty": ["1"], "late": ["8"]}
+    lists = [(c, v, None, "any", c != "negative") for c, v in ids.items()]
+    lists = spark.createDataFrame(lists, "case_id string, relevant_chunk_ids array<string>, expected_keywords array<string>, keyword_match_mode string, expect_hit boolean")
+    rows = spark.createDataFrame([(c, k, i, "") for c in ids if c != "empty" for k, i in ((1, 1), (2, 3), (3, 8))], "case_id string, rank int, chunk_id long, chunk_text string")
+    counts = spark.createDataFrame([(c, len(v), c != "negative") for c, v in ids.items()], "case_id string, n_ids long, expect_hit boolean")
+    pairs = spark.createDataFrame([(c, int(i)) for c, v in ids.items() for i in v + v], "case_id string, chunk_id long")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(evaluate.score_pairs(counts, pairs, rows)) == told(evaluate.score_cases(lists, rows))
+
+
 def test_service(spark, tmp_path, extracted):
     service = Service(spark, Store(spark, str(tmp_path / "store")), min_score=0.0)
     texts = spark.createDataFrame([("f", json.dumps(FLAT, ensure_ascii=False)), ("p", json.dumps(PAGED, ensure_ascii=False))], "doc_id string, json string")

@@ -32,6 +32,13 @@ def test_query(spark, duck, name):
         assert got == sorted(map(repr, told.project(", ".join(f'"{c}"' for c in columns)).fetchall()))
 
 
+@pytest.mark.parametrize("name", ["eval_hit_recall_mrr", "eval_negative", "eval_run_summary"])
+def test_relevance_is_not_gathered(spark, name):
+    """A label's ids stay rows: as one list, a hot label's would have to fit into a task."""
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
