@@ -1,15 +1,17 @@
 """Quality rules: statistics of whole texts, fixed base rules, and a decision list learned from labels.
 
 The list is learned by sequential covering: a rule, a conjunction of thresholds, is grown on two thirds of the labelled
-rows to the best gain, cut back on the others, and takes the rows that it covers away before the next one is grown. All
-counting is done by Spark; the list becomes one ordered conditional expression.
+rows to the best gain, cut back on the others, and takes the rows that it covers away before the next one is grown. Where
+a rule fails on the others, the next best first condition is tried; the list ends when no first condition that gains gives
+a rule that passes. Spark counts the labelled rows by the thresholds that they reach, and rules are grown over those
+counts; the list becomes one ordered conditional expression.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from lodestack.llm.common import WORD, stored
 
 #: Labelled rows that are learned from at most: those whose hashed id is smallest.
 LABELLED = 20_000
-RULES, CONDITIONS, LEAST_COVERED, LEAST_PRECISION = 8, 3, 5, 0.95
+CONDITIONS, LEAST_COVERED, LEAST_PRECISION = 3, 5, 0.95
 #: Thresholds that are tried: quantiles of the rows of either label.
 QUANTILES = [k / 24 for k in range(1, 24)] + [0.005, 0.02, 0.98, 0.995]
 
@@ -118,52 +120,80 @@ def holds(rule: Rule) -> Column:
     return out
 
 
-def _gain(p: int, n: int, all_p: int, all_n: int) -> float:
-    return p * (math.log2(p / (p + n)) - math.log2(all_p / (all_p + all_n))) if p else 0.0
-
-
 def _bin(name: str, thresholds: list[float]) -> Column:
     """How many thresholds the statistic has reached."""
     return F.size(F.filter(F.lit(thresholds), lambda t: t <= statistic(name)))
 
 
-def _grow(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule:
-    """The conjunction that gains most, a condition at a time, each from one histogram of all statistics."""
-    rule: Rule = ()
-    names = list(thresholds)
-    bins = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), _bin(k, thresholds[k]).alias("b")) for i, k in enumerate(names))))
+@dataclass(frozen=True)
+class Groups:
+    """Labelled rows that reach the same thresholds: ``bins`` has how many of each statistic's, ``bad`` and ``good`` their numbers."""
+
+    bins: np.ndarray
+    bad: np.ndarray
+    good: np.ndarray
+
+    def where(self, at: np.ndarray) -> Groups:
+        return Groups(self.bins[at], self.bad[at], self.good[at])
+
+    def covered(self, rule: Rule, thresholds: dict[str, list[float]]) -> np.ndarray:
+        names, out = list(thresholds), np.ones(len(self.bins), bool)
+        for c in rule:
+            out &= (self.bins[:, names.index(c.statistic)] > thresholds[c.statistic].index(c.threshold)) == c.at_least
+        return out
+
+
+def _gaining(groups: Groups, thresholds: dict[str, list[float]]) -> list[Condition]:
+    """The conditions that gain, best first."""
+    all_p, all_n = groups.bad.sum(), groups.good.sum()
+    if not all_p or not all_n:
+        return []
+    found = []
+    for i, (name, own) in enumerate(thresholds.items()):
+        p, n = (np.bincount(groups.bins[:, i], w, len(own) + 1).cumsum()[:-1] for w in (groups.bad, groups.good))
+        for at_least, p_in, n_in in ((False, p, n), (True, all_p - p, all_n - n)):
+            gain = np.where(p_in > 0, p_in * (np.log2(np.maximum(p_in, 1) / np.maximum(p_in + n_in, 1)) - np.log2(all_p / (all_p + all_n))), 0.0)
+            found += [(g, i, k, at_least, Condition(name, at_least, own[k])) for k, g in enumerate(gain.tolist()) if g > 0]
+    return [x[-1] for x in sorted(found, key=lambda x: (-x[0], *x[1:4]))]
+
+
+def _grow(groups: Groups, first: Condition, thresholds: dict[str, list[float]]) -> Rule:
+    """The conjunction that gains most from ``first`` on, a condition at a time."""
+    rule = (first,)
     while len(rule) < CONDITIONS:
-        told = rows.where(holds(rule)).select("bad", bins.alias("x")).groupBy("x.f", "x.b").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
-        seen = {(r["f"], r["b"]): (r["p"], r["n"]) for r in told}
-        all_p, all_n = (sum(v[j] for (f, _), v in seen.items() if f == 0) for j in (0, 1))
-        if not all_p or not all_n:
+        best = next(iter(_gaining(groups.where(groups.covered(rule, thresholds)), thresholds)), None)
+        if best is None or best in rule:
             break
-        best = (0.0, None)
-        for i, name in enumerate(names):
-            p = n = 0
-            for b, t in enumerate(thresholds[name]):
-                p, n = (x + y for x, y in zip((p, n), seen.get((i, b), (0, 0)), strict=True))
-                best = max(best, (_gain(p, n, all_p, all_n), (name, False, t)), (_gain(all_p - p, all_n - n, all_p, all_n), (name, True, t)), key=lambda x: x[0])
-        if best[1] is None or Condition(*best[1]) in rule:
-            break
-        rule += (Condition(*best[1]),)
+        rule += (best,)
     return rule
 
 
-def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
-    """The leading part of ``rule`` that is worth most on ``rows``, with the bad and good rows that it covers there."""
-    sums = [f(F.when(holds(rule[:k]), y)) for k in range(1, len(rule) + 1) for f, y in ((F.sum, F.col("bad")), (F.sum, 1 - F.col("bad")))]
-    told = [x or 0 for x in rows.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
-    parts = [(rule[:k], told[2 * k - 2], told[2 * k - 1]) for k in range(1, len(rule) + 1)]
+def _prune(groups: Groups, rule: Rule, thresholds: dict[str, list[float]]) -> tuple[Rule, int, int]:
+    """The leading part of ``rule`` that is worth most on ``groups``, with the bad and good rows that it covers there."""
+    parts = []
+    for k in range(1, len(rule) + 1):
+        at = groups.covered(rule[:k], thresholds)
+        parts.append((rule[:k], groups.bad[at].sum(), groups.good[at].sum()))
     return max(parts, key=lambda x: ((x[1] - x[2]) / (x[1] + x[2]) if x[1] + x[2] else -1.0, x[1], -len(x[0])))
 
 
+def _next_rule(growing: Groups, others: Groups, thresholds: dict[str, list[float]]) -> Rule | None:
+    """The rule of the best first condition that passes on ``others``; what fails is set aside. None if all do."""
+    for first in _gaining(growing, thresholds):
+        rule, p, n = _prune(others, _grow(growing, first, thresholds), thresholds)
+        if p >= LEAST_COVERED and p >= LEAST_PRECISION * (p + n):
+            return rule
+    return None
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Ordered rules for bad documents, learned from those of at most ``LABELLED`` labelled documents that pass the base rules.
 
     ``labels`` has doc_id and quality (0 bad, 1 good; others and nulls are left out; of repeated rows the lower counts).
     Without rows of both kinds there are no rules. A rule stays if it covers ``LEAST_COVERED`` bad rows and is right on
-    ``LEAST_PRECISION`` of what it covers among the rows that it wasn't grown on.
+    ``LEAST_PRECISION`` of what it covers among the rows that it wasn't grown on. Rules are learned until no first condition
+    that gains on the rows that are left gives one that stays; each takes bad rows away, so the sample bounds their number.
+    The driver holds a row for each set of thresholds that the labelled rows reach.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
@@ -174,16 +204,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     if len(quantiles) < 2:
         return []
     thresholds = {k: sorted({x for r in quantiles for x in r[k]}) for k in names}
+    reached = F.array(*(_bin(k, thresholds[k]) for k in names))
+    told = rows.groupBy("growing", reached.alias("bins")).agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
+    growing, others = (
+        Groups(np.array([r["bins"] for r in own], np.int64).reshape(-1, len(names)), np.array([r["p"] for r in own], np.int64), np.array([r["n"] for r in own], np.int64))
+        for own in ([r for r in told if r["growing"] == of] for of in (True, False))
+    )
     rules: list[Rule] = []
-    while len(rules) < RULES:
-        rule = _grow(rows.where("growing"), thresholds)
-        if not rule:
-            break
-        rule, p, n = _prune(rows.where("not growing"), rule)
-        if p < LEAST_COVERED or p < LEAST_PRECISION * (p + n):
-            break
+    while (rule := _next_rule(growing, others, thresholds)) is not None:
         rules.append(rule)
-        rows = rows.where(~holds(rule))
+        growing, others = (g.where(~g.covered(rule, thresholds)) for g in (growing, others))
     return rules
 
 

@@ -144,6 +144,22 @@ def test_rules_are_learned(spark):
     assert quality_rules.learn(docs, spark.createDataFrame([], "doc_id long, quality int")) == []
 
 
+def test_rules_go_on():
+    """A first condition that gains most but isn't right often enough is set aside, and more than eight kinds are learned."""
+    rnd = random.Random(5)
+    thresholds = {"a": [1.0], **{f"k{k}": [1.0] for k in range(10)}}
+    rows = [([0] * 11, 0)] * 3000 + [([1] + [0] * 10, rnd.random() < 0.8) for _ in range(600)]
+    rows += [([0] * (k + 1) + [1] + [0] * (9 - k), 1) for k in range(10) for _ in range(20)]
+    groups = quality_rules.Groups(np.array([r[0] for r in rows]), np.array([int(r[1]) for r in rows]), np.array([int(not r[1]) for r in rows]))
+    first = quality_rules._gaining(groups, thresholds)[0]
+    assert first.statistic == "a"
+    own, left = [], groups
+    while (rule := quality_rules._next_rule(left, left, thresholds)) is not None:
+        own.append(rule)
+        left = left.where(~left.covered(rule, thresholds))
+    assert {r[0].statistic for r in own} >= {f"k{k}" for k in range(10)} and all(r[0] != first or len(r) > 1 for r in own)
+
+
 # ---- 4 ----
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
