@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.sources.shared import settled as stored
+from lodestack.sources.shared import shared_dir
+
 # A word and the white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -25,23 +25,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session may do without."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
-    return named or sc.getCheckpointDir()
+def others(df: DataFrame, own: list[str]) -> list[str]:
+    """The columns of ``df`` but those that an operator gives itself, whatever their case."""
+    gone = {c.lower() for c in own}
+    return [c for c in df.columns if c.lower() not in gone]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def hashable(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of ``columns`` that Spark can hash."""
+    return [c for c in columns if not any(t in df.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
 
 
 def sized_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -53,14 +45,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, rows: int, in_a_part: int) -> int:
+    """Parts of about ``in_a_part`` rows; no fewer than the session's shuffles have."""
+    return max(partitions(spark), -(-rows // in_a_part))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+    least = stored(both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low")), "star-lows")
     return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("src").agg(F.min("dst").alias("low"))
+    least = stored(edges.groupBy("src").agg(F.min("dst").alias("low")), "star-lows")
     moved = edges.join(least, "src").where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return moved.unionByName(least.select("src", F.col("low").alias("dst"))).distinct()
 
@@ -69,17 +66,15 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (src, dst longs): a row (node, component) for each node of an edge.
 
     The component is its smallest node. Loops and repeated edges do no harm; no edges give no rows. Alternates large and
-    small stars until the edges stay as they are: a few rounds, each of partial minima and joins that split skewed nodes.
+    small stars until the edges stay as they are: a few rounds, each of partial minima and of joins with them. Minima are
+    stored before they are joined: both sides of a join are then shuffled for it alone, and Spark can split a hot node.
     """
-    shared_dir(edges.sparkSession)
-    now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct().checkpoint()
+    now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "star-edges")
     # Two sums of hashes tell apart the edge sets of successive rounds.
     mark = [F.count(F.lit(1)), F.sum(F.hash("src", "dst").cast("long")), F.bit_xor(F.xxhash64("src", "dst"))]
     before, after = None, now.agg(*mark).first()
     while after[0] and before != after:
-        now = _small_star(_large_star(now)).checkpoint()
+        now = stored(_small_star(stored(_large_star(now), "star-edges")), "star-edges")
         before, after = after, now.agg(*mark).first()
     members = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return members.unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
-
-

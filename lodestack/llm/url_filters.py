@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestack.llm.common import lower_ascii, partitions
+from lodestack.llm.common import hashable, lower_ascii, others, parts_for
 
-#: URLs looked at for each range when the borders between ranges are set.
-SAMPLES = 40
+#: URLs looked at for each range when the borders between ranges are set, about, and URLs in a range.
+SAMPLES, IN_A_RANGE = 40, 1_000_000
 
-OUT = "host string, path string, rule string, verdict string"
+OWN = ["host", "path", "rule", "verdict"]
 
 
 def host_of(url: Column) -> Column:
@@ -51,13 +52,12 @@ class Open:
         return next((self.rules[path[:n]] for n in self.sizes if path[:n] in self.rules), None)
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], schema: pa.Schema, default: str) -> Iterator[pa.RecordBatch]:
+def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
     stack: list[Open] = []
     part = None
     for batch in batches:
-        own = [batch.schema.names.index(n) for n in schema.names[:-4]]
-        rows, hosts, paths, rules, verdicts = [], [], [], [], []
-        told = [batch.column(batch.schema.names.index(f"__{n}")).to_pylist() for n in ("part", "key", "is_url", "host", "path", "verdict")]
+        found: list[list] = [[], [], [], [], []]
+        told = [batch.column(c).to_pylist() for c in ("part", "key", "is_url", "host", "path", "verdict")]
         for i, (p, key, is_url, host, path, verdict) in enumerate(zip(*told, strict=True)):
             if p != part:
                 part = p
@@ -71,36 +71,34 @@ def _sweep(batches: Iterator[pa.RecordBatch], schema: pa.Schema, default: str) -
                 continue
             # The longest rule wins; of equally long ones that of the more special host, which lies higher on the stack.
             best = max((f for o in reversed(stack) if (f := o.fitting(path))), key=lambda f: f[0], default=None)
-            rows.append(i)
-            hosts.append(host)
-            paths.append(path)
-            rules.append(best[1] if best else None)
-            verdicts.append(best[2] if best else default)
-        kept = batch.take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in own), *(pa.array(x, pa.string()) for x in (hosts, paths, rules, verdicts))], schema=schema)
+            for column, value in zip(found, (i, host, path, best[1] if best else None, best[2] if best else default), strict=True):
+                column.append(value)
+        rows = batch.column("row").take(pa.array(found[0], pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows, *(pa.array(x, pa.string()) for x in found[1:])], ["row", *OWN])
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """All rows and columns of ``urls`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    ``rules`` has ``host``, ``path`` and ``verdict``; a rule fits its host and all subdomains if the path starts with its
+    ``rules`` has ``host``, ``path`` and ``verdict``; a rule fits its host and all subdomains if the url's path starts with its
     own. The longest fitting rule (host and path together) wins. Without one ``rule`` is null and ``verdict`` is
     ``default``; so it is for a null url or one without ``://``, whose host and path are empty. Of rules with the same
     host and path the verdict that sorts first counts; rules with a null or empty host are left out. Own columns with the
-    names of the four are replaced. Repeated rows are judged each; empty tables give what they should.
+    names of the four, in any case, are replaced; others may have any name. Repeated rows are judged each; empty tables
+    give what they should.
 
-    Borders come from ``SAMPLES`` urls for each range, so the driver holds as many keys as there are ranges. Borders name
-    a row's hash besides its key: rows with one and the same host are split between ranges too.
+    Borders come from about ``SAMPLES`` urls for each range of ``IN_A_RANGE`` urls or fewer, so the driver holds some keys for
+    each range. A border names a row's hash besides its key, and the sample is of rows at random: urls of one host, or
+    of one and the same url, are split evenly over as many ranges as they fill. Copies of a row that are equal in every
+    column are told apart by the input partition that they stand in.
     """
-    spark, n = urls.sparkSession, partitions(urls.sparkSession)
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    keyed = (
-        urls.select(*kept, host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"))
-        .withColumn("__key", host_key(F.col("__host")))
-        .withColumn("__hash", F.xxhash64(*[c for c in kept if not urls.schema[c].dataType.typeName().startswith(("map", "variant"))]))
-    )
-    sample = keyed.select("__key", "__hash").orderBy("__hash", "__key").limit(SAMPLES * n).collect()
-    sample = sorted((r[0], r[1]) for r in sample)
+    spark, rows = urls.sparkSession, urls.count()
+    n = parts_for(spark, rows, IN_A_RANGE)
+    kept = others(urls, OWN)
+    # The table's own columns stand in one struct, so that none can clash with a name used here.
+    spread = F.xxhash64(*hashable(urls, kept), F.spark_partition_id())
+    keyed = urls.select(F.struct(*kept).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), spread.alias("hash")).withColumn("key", host_key(F.col("host")))
+    sample = sorted((r[0], r[1]) for r in keyed.select("key", "hash").sample(min(1.0, SAMPLES * n / max(1, rows)), 1).collect())
     borders = [sample[k * len(sample) // n] for k in range(1, n)] if sample else []
 
     @F.arrow_udf("int")
@@ -113,13 +111,9 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         low = -(1 << 63)
         return pa.array([list(range(bisect_right(borders, (k, low)), bisect_left(borders, (k[:-1] + "0", low)) + 1)) for k in keys.to_pylist()], pa.list_(pa.int32()))
 
-    good = rules.where("host <> ''").select(F.col("host").alias("__host"), F.coalesce("path", F.lit("")).alias("__path"), F.col("verdict").alias("__verdict"))
-    good = good.groupBy("__host", "__path").agg(F.min("__verdict").alias("__verdict")).withColumn("__key", host_key(F.col("__host")))
-    dealt = keyed.withColumn("__part", range_of("__key", "__hash")).withColumns({"__is_url": F.lit(True), "__verdict": F.lit(None).cast("string")}).drop("__hash")
-    sent = good.withColumn("__part", F.explode(ranges_of("__key"))).withColumn("__is_url", F.lit(False))
-    both = dealt.unionByName(sent, allowMissingColumns=True).repartitionById(n, F.col("__part")).sortWithinPartitions("__part", "__key", "__is_url", "__path")
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*kept).schema), OUT])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(spark.createDataFrame([], out).schema)
-    return both.mapInArrow(lambda batches: _sweep(batches, schema, default), out)
+    good = rules.where("host <> ''").groupBy("host", F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
+    dealt = keyed.withColumn("part", range_of("key", "hash")).withColumns({"is_url": F.lit(True), "verdict": F.lit(None).cast("string")}).drop("hash")
+    sent = good.withColumn("part", F.explode(ranges_of("key"))).withColumn("is_url", F.lit(False))
+    both = dealt.unionByName(sent, allowMissingColumns=True).repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "is_url", "path")
+    out = StructType([StructField("row", keyed.schema["row"].dataType), *(StructField(c, StringType()) for c in OWN)])
+    return both.mapInArrow(lambda batches: _sweep(batches, default), out).select("row.*", *OWN)

@@ -69,6 +69,19 @@ def test_many_url_rules(spark):
     assert empty.count() == 0
 
 
+def test_hot_host(spark):
+    """A host with nine tenths of the urls, most of them equal, fills as many ranges as it needs; names used inside may be the table's."""
+    names = ["row", "key", "hash", "part", "is_url", "__key", "HOST"]
+    urls = spark.range(0, 40_000, 1, 8).select("id", *(F.lit("mine").alias(c) for c in names), F.when(F.col("id") % 10 > 0, F.lit("http://a.example.com/de/x")).otherwise(F.concat(F.lit("http://h"), "id", F.lit(".net/"))).alias("url"))
+    told = url_filters.judge(urls, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string"))
+    assert told.columns == ["id", *names[:-1], "url", "host", "path", "rule", "verdict"]
+    again = urls.where("id % 10 > 0").drop("id")
+    for df, n in ((told, 40_000), (url_filters.judge(again, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")), 36_000)):
+        assert df.where("verdict = 'block'").count() == n and df.select("row", "key", "part").distinct().count() == 1
+        sizes = [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 2 * n / 4
+
+
 # ---- 2 and 8 ----
 
 
