@@ -19,8 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/lodestack-{spark.sparkContext.applicationId}"
+
+
 def settled(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written there as Parquet and read again: what uses it more than once doesn't work it out anew."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written there as Parquet and read again: lineage ends there, and what uses it more than once doesn't work it out anew."""
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables. Results that haven't been read yet are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
