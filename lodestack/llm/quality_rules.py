@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WORD, stored
+from lodestack.llm.common import WORD, others, stored
 
 #: Labelled rows that are learned from at most: those whose hashed id is smallest.
 LABELLED = 20_000
@@ -49,41 +49,39 @@ def _covered(places: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base counts and those that the statistics need.
+    """``row``, a struct of all columns of ``docs``, with the base counts and those that the statistics need.
 
     Repeated windows are found in an array of longs, a window's hash above its place, once sorted. Neighbours with equal
     hashes are held against the words; where they differ, or the text has 2**24 words or more, windows are sorted as
     strings. The counts are exact.
     """
-    body, w = F.coalesce(F.col(text), F.lit("")), F.col("__w")
+    body, w, s, g = F.col("body"), F.col("words"), F.col("packed"), F.col("slow")
     places = F.sequence(F.lit(0), F.size(w) - 3)
     none = F.array().cast("array<bigint>")
     mask = (1 << PLACE) - 1
-    df = docs.withColumn("__w", F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
+    # The table's own columns stand in one struct, so that none can clash with a name used here.
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    df = df.withColumn("words", F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
     packed = F.transform(places, lambda i: F.shiftleft(F.xxhash64(w[i], w[i + 1], w[i + 2]), PLACE).bitwiseOR(i.cast("bigint")))
-    df = df.withColumn("__s", F.when(F.size(w) >= 3, F.sort_array(packed)).otherwise(none))
-    s = F.col("__s")
+    df = df.withColumn("packed", F.when(F.size(w) >= 3, F.sort_array(packed)).otherwise(none))
     same = lambda k: F.shiftright(s[k], PLACE) == F.shiftright(s[k - 1], PLACE)
-    df = df.withColumn("__twins", F.when(F.size(s) >= 2, F.filter(F.sequence(F.lit(1), F.size(s) - 1), same)).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("twins", F.when(F.size(s) >= 2, F.filter(F.sequence(F.lit(1), F.size(s) - 1), same)).otherwise(F.array().cast("array<int>")))
     at = lambda k: s[k].bitwiseAND(F.lit(mask)).cast("int")
     alike = lambda a, b: (w[a] == w[b]) & (w[a + 1] == w[b + 1]) & (w[a + 2] == w[b + 2])
-    sure = (F.size(w) <= mask) & F.forall(F.col("__twins"), lambda k: alike(at(k), at(k - 1)))
-    found = F.sort_array(F.array_distinct(F.flatten(F.transform(F.col("__twins"), lambda k: F.array(at(k).cast("bigint"), at(k - 1).cast("bigint"))))))
-    df = df.withColumn("__sure", sure)
-    df = df.withColumn("__g", F.when(~F.col("__sure"), F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("g"), i.cast("bigint").alias("i"))))))
-    g = F.col("__g")
+    df = df.withColumn("sure", (F.size(w) <= mask) & F.forall(F.col("twins"), lambda k: alike(at(k), at(k - 1))))
+    found = F.sort_array(F.array_distinct(F.flatten(F.transform(F.col("twins"), lambda k: F.array(at(k).cast("bigint"), at(k - 1).cast("bigint"))))))
+    df = df.withColumn("slow", F.when(~F.col("sure"), F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("g"), i.cast("bigint").alias("i"))))))
     twin = lambda x, k: ((k > 0) & (g[F.greatest(k - 1, F.lit(0))]["g"] == x["g"])) | ((k < F.size(g) - 1) & (g[F.least(k + 1, F.size(g) - 1)]["g"] == x["g"]))
     slowly = F.sort_array(F.transform(F.filter(g, twin), lambda x: x["i"]))
     without = lambda chars: F.length(body) - F.length(F.translate(body, chars, ""))
-    df = df.withColumn("__lines", F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD)))
+    df = df.withColumn("lines", F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD)))
     counts = {
         "n_words": F.size(w), "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")), "n_symbols": without(SYMBOLS),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")), "n_repeat_words": F.when(F.size("__twins") == 0, 0).when(F.col("__sure"), _covered(found)).otherwise(_covered(slowly)),
-        "n_lines": F.size("__lines"), "n_chars": F.length(body), "n_upper": F.regexp_count(body, F.lit("[A-Z]")), "n_digits": F.regexp_count(body, F.lit("[0-9]")), "n_calls": without("!?"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")), "n_repeat_words": F.when(F.size("twins") == 0, 0).when(F.col("sure"), _covered(found)).otherwise(_covered(slowly)),
+        "n_lines": F.size("lines"), "n_chars": F.length(body), "n_upper": F.regexp_count(body, F.lit("[A-Z]")), "n_digits": F.regexp_count(body, F.lit("[0-9]")), "n_calls": without("!?"),
     }
-    kept = [c for c in docs.columns if c not in counts]
     # Through a generator of one row: filters on the counts stay above it instead of repeating the work below.
-    return df.select(*kept, F.inline(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))))
+    return df.select("row", F.inline(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))))
 
 
 def base_failed() -> Column:
@@ -195,10 +193,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     that gains on the rows that are left gives one that stays; each takes bad rows away, so the sample bounds their number.
     The driver holds a row for each set of thresholds that the labelled rows reach.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     told = with_statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
-    rows = stored(told.where(~base_failed()).select((1 - F.col("__quality")).cast("long").alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(3)) > 0).alias("growing"), *(c for c in told.columns if c.startswith(("n_", "word_")))), "labelled-statistics")
+    growing = F.pmod(F.xxhash64("row.doc_id", F.lit("split")), F.lit(3)) > 0
+    rows = stored(told.where(~base_failed()).select((1 - F.col("row.quality")).cast("long").alias("bad"), growing.alias("growing"), *(c for c in told.columns if c != "row")), "labelled-statistics")
     names = list(STATISTICS)
     quantiles = rows.groupBy("bad").agg(*(F.percentile(statistic(k), F.array(*map(F.lit, QUANTILES))).alias(k) for k in names)).collect()
     if len(quantiles) < 2:
@@ -228,9 +227,9 @@ def rule_number(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with the base counts, ``base_failed``, ``rule`` (that rejects it, or null) and ``kept``.
 
-    Null texts have no words. Own columns with these names are replaced. Rows stay where they are, repeated ones too.
+    Null texts have no words. Own columns with these names, in any case, are replaced, others may have any name. Rows stay
+    where they are, repeated ones too.
     """
     own = [*BASE, "base_failed", "rule", "kept"]
-    told = with_statistics(docs.drop(*own), text)
-    kept = [c for c in docs.columns if c not in own]
-    return told.select(*kept, *BASE, base_failed().alias("base_failed"), rule_number(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    told = with_statistics(docs, text).select("row", *BASE, base_failed().alias("base_failed"), rule_number(rules).alias("rule"))
+    return told.select(*(F.col("row")[c].alias(c) for c in others(docs, own)), *own[:-1], (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"))
