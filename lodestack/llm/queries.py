@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, embedding_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts, url_filters, warc
+from lodestack.llm.common import stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -83,7 +84,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    # Words are counted once, into a narrow table.
+    sizes = stored(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "document-sizes")
     mixed = mixing.mix(sizes)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
 
