@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.common import others
+
 #: Pieces that a worker remembers of late, pairs of neighbours whose boundary it has judged, and characters taken at once.
 PIECES = 150_000
 PAIRS = 400_000
@@ -329,5 +331,5 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
         ids = _encode(texts, ranks_path, pattern)
         return pa.StructArray.from_arrays([ids, _decode(ids, ranks_path)], ["ids", "decoded"])
 
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.select(*kept, both(F.col(text)).alias("__both")).select(*kept, "__both.ids", "__both.decoded")
+    kept = others(docs, ["ids", "decoded"])
+    return docs.select(F.struct(*kept).alias("row"), both(F.col(text)).alias("both")).select("row.*", "both.ids", "both.decoded")

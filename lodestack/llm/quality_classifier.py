@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.common import others
 from lodestack.llm.shingles import AT_ONCE, word_hashes
 
 #: Labelled documents that are learned from at most: those whose hashed ids are smallest.
@@ -141,7 +142,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Trees:
     """Learns ``quality`` (0 or 1; others and nulls are left out, of repeated rows the lower counts) of labelled documents outside the held-out fold.
 
-    Their statistics are worked out by Spark; the ``LABELLED`` rows at most that the trees see are what the driver holds.
+    Of an id with several texts that which sorts first counts. Their statistics are worked out by Spark; the ``LABELLED``
+    rows at most that the trees see are what the driver holds.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
@@ -151,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
             x = statistics(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).cast(pa.int32())], ["x", "y"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(measured, "x binary, y int").orderBy("x", "y").limit(2 * LABELLED).collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = texts.select("text", "quality").mapInArrow(measured, "x binary, y int").orderBy("x", "y").collect()
     x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(len(rows), len(STATISTICS))
     return Trees.fit(x, np.array([r["y"] for r in rows], np.float64))
 
@@ -166,6 +169,6 @@ def classify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(trees.score(statistics(texts)))
 
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    kept = others(docs, ["held_out", "score", "predicted"])
     told = docs.select(*kept, held_out(F.col("doc_id")).alias("held_out"), score(F.col(text)).alias("score"))
     return told.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
