@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.sources.shared import settled as stored
-from lodestack.sources.shared import shared_dir
 
 # A word and the white space between words.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -20,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import components, partitions, sized_broadcast, stored
+from lodestack.llm.common import components, parts_for, sized_broadcast, stored
 from lodestack.llm.shingles import mixed, shingle_sets
 
-#: Documents whose shingles tell which ones are frequent; that only puts frequent keys last, no link hangs on it.
-SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 6, 200_000
-#: Sets under one key that one task compares with each other, and that a stretch of texts hands on one by one.
-BLOCK, RUN = 1_024, 64
-#: Shingles of all documents for each part that keys are dealt into: about half a key of 16 bytes each, which one task holds.
-FOR_A_PART = 8_000_000
-#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+#: Documents whose shingles tell which ones are frequent: this many, or one in ``SHARE`` if that is more. A shingle that so many
+#: of them have is listed last, and that many such shingles are held by a task; that only orders keys, no link hangs on it.
+SAMPLE, SHARE, FREQUENT, MOST_FREQUENT = 8_000, 64, 6, 500_000
+#: Sets under one key that one task compares with each other, bytes of their parities, and sets that a stretch of texts hands on one by one.
+BLOCK, BLOCK_BYTES, RUN = 1_024, 16 << 20, 16
+#: Shingles of all documents for each part that keys are dealt into, about half a key of 28 bytes each, and rows of a part of pairs.
+FOR_A_PART, IN_A_PART = 16_000_000, 500_000
+#: Ids, or keys with their smallest sets, that are broadcast at most (8 or 16 bytes each); more are joined by a shuffle.
 IDS_SENT = 500_000
 _COUNTED = np.uint64(0x5851F42D4C957F2D)
 
@@ -76,8 +77,9 @@ def parities(h: np.ndarray, n: np.ndarray) -> list[bytes]:
 def keys_of(h: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys under which sets are listed, and the row of each. Groups of frequent shingles alone are listed last.
 
-    A band lists its own sets and those of the band below that may reach a set of its own. Raises ValueError if a set
-    has too few groups, which doesn't happen by chance (see ``groups_of``).
+    A band lists its own sets and those of the band below that may reach a set of its own. A set with d groups or fewer,
+    which by chance comes less often than once in 10**15 sets (see ``groups_of``), is listed under all of them: so it meets
+    every set that has enough.
     """
     ends, own = np.cumsum(n), bands(n)
     known = np.isin(h, frequent) if len(frequent) else np.zeros(len(h), bool)
@@ -98,8 +100,6 @@ def keys_of(h: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tuple[np.ndar
             x, row, group, rare = np.bitwise_xor.reduceat(x, starts), row[starts], group[starts], np.logical_or.reduceat(rare, starts)
         partner = np.where(guest[idx], 4 * size // 3, np.minimum(4 * size // 3, (2 << band) - 1))
         d = most_different(size, partner)
-        if (np.bincount(row, minlength=len(idx)) <= d).any():
-            raise ValueError(f"a set has too few groups in band {band}")
         order = np.lexsort((np.arange(len(x)), ~rare, row))
         row = row[order]
         rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(idx)))[row]
@@ -110,9 +110,7 @@ def keys_of(h: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tuple[np.ndar
 
 
 def _runs(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, member) in order, and the start and length of each key's run."""
-    order = np.lexsort((members, keys))
-    keys, members = keys[order], members[order]
+    """Distinct (key, member) of what stands in order, and the start and length of each key's run."""
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
     keys, members = keys[fresh], members[fresh]
@@ -133,79 +131,89 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(described, "doc_id long, n long, set long, parity binary")
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that many of a sample's documents have."""
-    sample = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+def _frequent(docs: DataFrame, many: int) -> np.ndarray:
+    """Shingles that a good many of a sample of the ``many`` documents have."""
+    of = 1 << 20
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(of)) < min(of, of * max(SAMPLE, many // SHARE) // max(1, many))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, _ in shingle_sets(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id", "left_semi").select("text").mapInArrow(listed, "h long")
+    rows = docs.where(drawn).select("text").mapInArrow(listed, "h long")
     often = rows.groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h")
     return np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
 
 
-def _listed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """Keys and the sets under them, packed by the part that a key belongs to.
+def _listed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Rows (key, set, low): every key with the sets under it; equal sets of a stretch of texts have one row.
 
-    Where a stretch of texts has over ``RUN`` sets under one key, only three of them go to its part, and all of them
-    stand in a row of their own (``whole``): a very frequent key is summed up before anything is shuffled.
+    Where a stretch has over ``RUN`` sets under one key, only three of them, its smallest one among them, stand for it in
+    rows whose ``low`` is null; besides, each of them has a row with that smallest one as ``low``, which need not meet the
+    key's other rows. So a very frequent key is summed up before anything is shuffled.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, n in shingle_sets(batch.column(0)):
                 keys, rows = keys_of(h, n, frequent)
-                keys, members, starts, length = _runs(keys, identities(h, n).view(np.uint64)[rows])
-                place = np.arange(len(keys)) - np.repeat(starts, length)
-                long = np.repeat(length > RUN, length)
-                out = [(int(keys[s] % np.uint64(parts)), keys[s : s + 1].tobytes(), members[s : s + k].tobytes(), True) for s, k in zip(starts[length > RUN].tolist(), length[length > RUN].tolist(), strict=True)]
-                keys, members = keys[~long | (place < 3)], members[~long | (place < 3)]
-                part = (keys % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                out += [(p, keys[order[a:b]].tobytes(), members[order[a:b]].tobytes(), False) for p, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)) if b > a]
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["part", "keys", "members", "whole"])
+                members = identities(h, n)[rows]
+                order = np.lexsort((members, keys))
+                keys, members, starts, length = _runs(keys[order], members[order])
+                place, low = np.arange(len(keys)) - np.repeat(starts, length), np.repeat(members[starts], length)
+                many = np.repeat(length > RUN, length)
+                few = ~many | (place < 3)
+                keys = keys.view(np.int64)
+                told = [np.concatenate([x[few], y[many]]) for x, y in ((keys, keys), (members, members), (low, low))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, told[:2]), pa.array(told[2], mask=np.arange(len(told[2])) < few.sum())], ["key", "set", "low"])
 
-    return docs.select("text").mapInArrow(listed, "part int, keys binary, members binary, whole boolean")
+    return docs.select("text").mapInArrow(listed, "key long, set long, low long")
 
 
-def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """Rows (key, set, low): the sets under each key that more than two share, with the smallest of those seen together.
+def _emitted(keys: np.ndarray, members: np.ndarray, low: np.ndarray, whole: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, (keys, members, low)), pa.array(np.full(len(keys), whole))], ["key", "set", "low", "whole"])
 
-    The key of two sets has one row, with key 0, for the larger one.
-    """
-    longs = lambda raw: np.frombuffer(raw, np.uint64)
 
-    def emit(keys: np.ndarray, members: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, members, low)], ["key", "set", "low"])
+def _shared(listed: DataFrame, parts: int) -> DataFrame:
+    """Rows (key, set, low, whole): the sets under each key that more than two share, with the smallest of those seen together.
+
+    The key of two sets has one row, with key 0, for the larger one. Keys are sorted by Spark, which spills; a task holds a
+    batch of rows and the one row before it, whose key may go on. Rows that have their ``low`` already are ``whole``; they
+    are dealt evenly.
+    """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        last = None
         for batch in batches:
-            for part, keys, members, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if whole:
-                    m = longs(members)
-                    yield emit(np.repeat(longs(keys), len(m)), m, np.repeat(m[:1], len(m)))
-                else:
-                    mine = held.setdefault(part, ([], []))
-                    mine[0].append(keys)
-                    mine[1].append(members)
-        for part in list(held):
-            keys, members = (longs(b"".join(x)) for x in held.pop(part))
-            keys, members, starts, length = _runs(keys, members)
-            low = np.repeat(members[starts], length)
-            length = np.repeat(length, length)
-            # Of two sets the second names the first, and that is all there is to compare.
-            kept = (length > 2) | (length == 2) & (members != low)
-            for at in range(0, int(kept.sum()), 500_000):
-                idx = np.flatnonzero(kept)[at : at + 500_000]
-                yield emit(np.where(length[idx] > 2, keys[idx], np.uint64(0)), members[idx], low[idx])
-
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(shared, "key long, set long, low long")
+            whole = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            key, member = (batch.column(c).to_numpy() for c in (0, 1))
+            if whole.any():
+                yield _emitted(key[whole], member[whole], batch.column(2).filter(pa.array(whole)).to_numpy(), True)
+                key, member = key[~whole], member[~whole]
+            if not len(key):
+                continue
+            if last is not None:
+                key, member = np.append(last[0], key), np.append(last[1], member)
+            key, member, starts, length = _runs(key, member)
+            place, low = np.arange(len(key)) - np.repeat(starts, length), np.repeat(member[starts], length)
+            if last is not None:
+                place[: length[0]] += last[3]
+                low[: length[0]] = last[2]
+            yield from told(key[:-1], member[:-1], low[:-1], place[:-1], key[1:] != key[:-1])
+            last = key[-1], member[-1], low[-1], place[-1]
+        if last is not None:
+            yield from told(*(np.array([x]) for x in last), np.array([True]))
+
+    def told(key, member, low, place, ends) -> Iterator[pa.RecordBatch]:
+        # Of two sets the second names the first, and that is all there is to compare; of more the first one has a row too.
+        at, first = np.flatnonzero(place > 0), np.flatnonzero((place == 1) & ~ends)
+        if len(at):
+            lone = (place[at] == 1) & ends[at]
+            yield _emitted(np.append(np.where(lone, 0, key[at]), key[first]), np.append(member[at], low[first]), np.append(low[at], low[first]), False)
+
+    dealt = listed.withColumn("deal", F.when(F.col("low").isNull(), F.col("key")).otherwise(F.xxhash64("key", "set")))
+    return dealt.repartition(parts, "deal").sortWithinPartitions("key", "set").select("key", "set", "low").mapInArrow(shared, "key long, set long, low long, whole boolean")
 
 
 def _distance(a: bytes, b: bytes) -> int:
@@ -228,7 +236,8 @@ def _near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("set").alias("a"), F.col("n").alias("n"), F.col("parity").alias("p"))
     two = sets.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("parity").alias("q"))
-    both = pairs.distinct().join(one, "a").join(two, "b").where("4 * least(n, m) >= 3 * greatest(n, m)")
+    # Many pairs may share their smaller set: it is joined last, and nothing is shuffled after that, so Spark can split it.
+    both = pairs.distinct().join(two, "b").join(one, "a").where("4 * least(n, m) >= 3 * greatest(n, m)")
     return stored(both.where(near("p", "q", "n", "m")).select("a", "b"), "near-pairs")
 
 
@@ -255,14 +264,16 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     # Repeated rows of one id make a set come more than once.
     shingles = stored(docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(packed, "set long, shingles binary").dropDuplicates(["set"]), "shingles")
     one, two = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("x")), shingles.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(one, "a").join(two, "b").where(linked("x", "y")).select("a", "b"), "links")
+    return stored(pairs.join(two, "b").join(one, "a").where(linked("x", "y")).select("a", "b"), "links")
 
 
 def _with_lows(shared: DataFrame) -> DataFrame:
-    """(key, set, low) with the smallest set of each whole key."""
-    lists = shared.where("key <> 0").select("key", "set")
-    lows = stored(lists.groupBy("key").agg(F.min("set").alias("low")), "key-lows")
-    return stored(lists.join(lows, "key").distinct(), "key-lists").unionByName(shared.where("key = 0"))
+    """(key, set, low) with the smallest set of each whole key: that of the rows that met each other."""
+    hot = stored(shared.where("whole").select("key").distinct(), "hot-keys")
+    met = shared.where("key <> 0 and not whole").join(sized_broadcast(hot, hot.count(), IDS_SENT), "key", "left_semi")
+    lows = stored(met.groupBy("key").agg(F.min("low").alias("least")), "key-lows")
+    few = shared.where("key <> 0").join(sized_broadcast(lows, lows.count(), IDS_SENT), "key", "left")
+    return few.select("key", "set", F.coalesce("least", "low").alias("low")).unionByName(shared.where("key = 0").select("key", "set", "low"))
 
 
 def _unsettled(lists: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
@@ -275,12 +286,15 @@ def _unsettled(lists: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFram
     told = sets.join(joined.select(F.col("node").alias("set"), F.col("component").alias("joined")), "set", "left").select("set", "n", "parity", F.coalesce("joined", "set").alias("joined"))
     rows = lists.where("key <> 0").join(told.select("set", "joined"), "set")
     open_ = stored(rows.groupBy("key").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).where("lo <> hi").select("key"), "open-keys")
-    members = stored(lists.join(open_, "key").select("low", "set").distinct(), "open-sets")
-    counts = stored(members.groupBy("low").agg(F.count(F.lit(1)).alias("m")), "open-lows")
-    rows = members.join(counts, "low").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("k")).cast("int"))
+    members = lists.join(sized_broadcast(open_, open_.count(), IDS_SENT), "key", "left_semi").select("low", "set").distinct()
+    members = stored(members.join(told, "set"), "open-sets")
+    blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("parity")) / BLOCK_BYTES)
+    counts = stored(members.groupBy("low").agg(F.count(F.lit(1)).alias("m"), F.ceil(blocks).cast("int").alias("k")), "open-lows")
+    parts = parts_for(lists.sparkSession, counts.agg(F.sum(F.col("m") * F.col("k"))).first()[0] or 0, IN_A_PART)
+    rows = members.join(counts.drop("m"), "low").withColumn("block", F.pmod(F.xxhash64("set"), F.col("k")).cast("int"))
     twice = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least("block", j).cast("long") * F.col("k") + F.greatest("block", j))
-    rows = rows.join(told, "set").select(F.col("low").alias("key"), F.explode(twice).alias("work"), "block", "set", "n", "joined", "parity")
-    rows = rows.repartition(partitions(lists.sparkSession), "key", "work").sortWithinPartitions("key", "work", "set")
+    rows = rows.select(F.col("low").alias("key"), F.explode(twice).alias("work"), "block", "set", "n", "joined", "parity")
+    rows = rows.repartition(parts, "key", "work").sortWithinPartitions("key", "work", "set")
 
     def pairs_of(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         block, ids, n, joined_ = (t.column(c).to_numpy() for c in ("block", "set", "n", "joined"))
@@ -345,8 +359,8 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # One document stands for all that have its set; of an id with several texts each set has its own.
     sets = stored(every.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "distinct-sets")
-    parts = max(partitions(spark), -(-(every.agg(F.sum("n")).first()[0] or 0) // FOR_A_PART))
-    lists = _with_lows(stored(_shared(_listed(docs, _frequent(docs), parts), parts), "shared-keys"))
+    parts = parts_for(spark, every.agg(F.sum("n")).first()[0] or 0, FOR_A_PART)
+    lists = _with_lows(stored(_shared(_listed(docs, _frequent(docs, every.count())), parts), "shared-keys"))
     star = lists.where("set <> low").select(F.least("set", "low").alias("a"), F.greatest("set", "low").alias("b"))
     links = _verified(docs, sets, _near_enough(star, sets))
     edges = lambda df: df.select(F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text whose hashes are worked out at once; a longer text is taken alone.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 _RANDOM = np.random.RandomState(20_240_229)
 _VALUE = _RANDOM.randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
