@@ -127,8 +127,9 @@ def is_poor_table(html_text: Column) -> Column:
 
 
 def access_groups(groups: Column) -> Column:
-    """The allowed ones of an array of groups; ``rd`` if none is left."""
-    allowed = F.filter(F.coalesce(groups, F.array().cast("array<string>")), lambda g: g.isin(ACCESS_GROUPS))
+    """The allowed ones of an array of groups; the first group of all if none is left."""
+    trimmed = F.transform(F.coalesce(groups, F.array().cast("array<string>")), lambda g: stripped(g))  # noqa: PLW0108
+    allowed = F.filter(trimmed, lambda g: g.isin(ACCESS_GROUPS))
     return F.when(F.size(allowed) > 0, allowed).otherwise(F.array(F.lit(ACCESS_GROUPS[0])))
 
 
@@ -140,15 +141,6 @@ def page_number(page_idx: Column) -> Column:
     return page_idx + 1
 
 
-def markdown_cell(text: Column) -> Column:
-    return collapsed(F.replace(text, F.lit("|"), F.lit("\\|")))
-
-
-def row_of_width(cells: Column, width: Column) -> Column:
-    """Cut or padded with empty cells to ``width``."""
-    return F.slice(F.concat(cells, F.array_repeat(F.lit(""), width)), F.lit(1), width)
-
-
 def matches_keywords(text: Column, keywords: Column, mode: Column) -> Column:
     """Whether any, or all, of the keywords occur, regardless of case; false without keywords."""
     holds = lambda k: F.contains(F.lower(text), F.lower(k))
