@@ -5,6 +5,7 @@ A document is the unit of order; windows and folds never reach beyond it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,29 +29,29 @@ class ChunkSettings:
     section_soft_max: int | None = 1000
 
 
-def title_level(title: Column, text_level: Column, depth: Column) -> Column:
-    """By a leading number, one more than its dots; else 0 for the first title, else the given level, 1 at least, else the depth."""
-    number = F.regexp_extract(title, T.LEADING_NUMBER, 1)
-    dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
-    given = F.when(text_level.isNotNull(), F.greatest(text_level, F.lit(1)))
-    return F.when(number != "", dots + 1).when(depth == 0, 0).otherwise(F.coalesce(given, depth)).cast("int")
-
-
 def title_paths(titles: Column) -> Column:
     """The path (titles from the outermost to the own one) after each of an array of structs (title, level); as many as titles.
 
-    A title takes those of its level and below off the stack before it goes on it.
+    A title takes those of its level and below off the stack before it goes on it. Its level is one more than the dots of a
+    leading number; without one it is 0 on an empty stack, else the given level, 1 at least, else the stack's depth.
     """
-    stack_type, paths_type = "array<struct<level:int,title:string>>", "array<array<string>>"
-    start = F.struct(F.array().cast(stack_type).alias("stack"), F.array().cast(paths_type).alias("paths"))
 
-    def step(acc: Column, t: Column) -> Column:
-        level = title_level(t["title"], t["level"], F.size(acc["stack"]))
-        above = F.filter(acc["stack"], lambda s: s["level"] < level)
-        stack = F.concat(above, F.array(F.struct(level.alias("level"), t["title"].alias("title"))))
-        return F.struct(stack.alias("stack"), F.concat(acc["paths"], F.array(F.transform(stack, lambda s: s["title"]))).alias("paths"))
+    @F.arrow_udf("array<array<string>>")
+    def paths(lists: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _paths([(x["title"], x["level"]) for x in t]) for t in lists.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    return paths(titles)
 
-    return F.aggregate(titles, start, step, lambda acc: acc["paths"])
+
+def _paths(titles: list[tuple[str, int | None]]) -> list[list[str]]:
+    stack: list[tuple[int, str]] = []
+    out = []
+    for title, given in titles:
+        number = re.match(T.LEADING_NUMBER.removeprefix("(?U)"), title)
+        level = number[1].count(".") + 1 if number else 0 if not stack else max(given, 1) if given is not None else len(stack)
+        stack = [*(s for s in stack if s[0] < level), (level, title)]
+        out.append([t for _, t in stack])
+    return out
 
 
 def islands(blocks: DataFrame) -> DataFrame:
@@ -87,10 +88,11 @@ def sections(blocks: DataFrame) -> DataFrame:
     only_titles = ~F.col("is_table") & (F.col("body") == "")
     one = one.withColumn("goes_to_table", only_titles & F.coalesce(F.lead("is_table").over(by_section), F.lit(False)))
     one = one.withColumn("prefix", F.when(F.col("is_table") & F.lag("goes_to_table").over(by_section), F.lag("header").over(by_section)))
-    # One fold over a document's titles; each section has the path after the titles up to its own.
+    # One fold over a document's titles gives the path after each; a section has that after the titles up to its own.
     one = one.withColumn("so_far", F.sum(F.size("titles")).over(by_section))
-    folded = one.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section", "titles"))), lambda s: s["titles"])).alias("all")).select("doc_id", title_paths(F.col("all")).alias("paths"))
-    one = one.join(folded, "doc_id").withColumn("path", F.coalesce(F.try_element_at("paths", F.nullif(F.col("so_far").cast("int"), F.lit(0))), F.array().cast("array<string>")))
+    folded = one.where(F.size("titles") > 0).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section", "titles"))), lambda s: s["titles"])).alias("all"))
+    paths = folded.select("doc_id", F.posexplode(title_paths(F.col("all"))).alias("k", "path")).select("doc_id", (F.col("k") + 1).cast("long").alias("so_far"), "path")
+    one = one.join(paths, ["doc_id", "so_far"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
     a, b = _span(F.col("html"))
     first = F.when(F.col("is_table") & a.isNotNull(), a).otherwise(F.col("first_page"))
     last = F.when(F.col("is_table") & a.isNotNull(), b).otherwise(F.col("last_page"))
@@ -136,30 +138,45 @@ def linked(chunks: DataFrame) -> DataFrame:
     return out.withColumns({"prev_chunk_index": F.lag("chunk_index").over(by_place), "next_chunk_index": F.lead("chunk_index").over(by_place)})
 
 
+def attributes(docs: DataFrame) -> DataFrame:
+    """What chunks take over from their document: doc_id, file_path, source, category, doc_version, access_group, create_time, update_time, metadata.
+
+    Each comes from the column of its name if ``docs`` has it, else from that key of the JSON object in ``metadata``; blank
+    ones are null. Groups may be a list or one text. Times are those of the metadata, else created_at and updated_at.
+    """
+    has, told = set(docs.columns), F.try_parse_json("metadata" if "metadata" in docs.columns else F.lit(None).cast("string"))
+    own = lambda name, type_="string": F.col(name).cast(type_) if name in has else F.lit(None).cast(type_)
+    given = lambda name: F.nullif(F.coalesce(own(name), F.try_variant_get(told, f"$.{name}", "string")), F.lit(""))
+    said = lambda name: F.when(T.stripped(given(name)) != "", given(name)).alias(name)
+    listed = F.when(F.schema_of_variant(F.try_variant_get(told, "$.access_group", "variant")).startswith("ARRAY"), F.try_variant_get(told, "$.access_group", "array<string>"))
+    groups = F.coalesce(listed, F.array(F.try_variant_get(told, "$.access_group", "string")))
+    if "access_group" in has:
+        groups = F.coalesce("access_group" if dict(docs.dtypes)["access_group"].startswith("array") else F.array("access_group"), groups)
+    time = lambda name, at: F.coalesce(F.nullif(F.try_variant_get(told, f"$.{name}", "string"), F.lit("")), T.iso_seconds(own(at, "timestamp"))).alias(name)
+    return docs.select(
+        "doc_id", said("file_path"), said("source"), said("category"), T.stripped(said("doc_version")).alias("doc_version"), T.access_groups(groups).alias("access_group"),
+        time("create_time", "created_at"), time("update_time", "updated_at"), own("metadata").alias("metadata"),
+    )
+
+
 def chunk_documents(docs: DataFrame, blocks: DataFrame, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
     """Chunks of ``docs`` (doc_id, full_text and attributes) from their ``blocks`` (see ``BLOCK``), or from the full text without blocks.
 
-    Attributes file_path, source, category, doc_version, access_group and created_at are taken over where ``docs`` has them.
+    What a chunk takes over from its document is told in ``attributes``; other keys of the metadata stay in its ``metadata``.
     A chunk's id is a hash of its document, place and text, so other documents' chunks keep theirs.
     Documents that give no chunk are not in the result (see ``without_chunks``).
     """
     bare = docs.join(blocks.select("doc_id").distinct(), "doc_id", "left_anti")
     pieces = _pieces(sections(blocks.join(docs.select("doc_id"), "doc_id", "left_semi")), settings).unionByName(_whole_texts(bare, settings))
     pieces = pieces.withColumn("chunk_text", T.stripped(F.col("chunk_text"))).where("chunk_text <> ''")
-    told = linked(pieces)
-    attributes = [c for c in ("file_path", "source", "category", "doc_version", "access_group", "created_at") if c in docs.columns]
-    told = told.join(docs.select("doc_id", *attributes), "doc_id")
-    if "access_group" in attributes:
-        told = told.withColumn("access_group", T.access_groups(F.col("access_group")))
-    if "created_at" in attributes:
-        told = told.withColumn("create_time", T.iso_seconds(F.col("created_at"))).drop("created_at")
-    attributes = [c for c in told.columns if c in ("file_path", "source", "category", "doc_version", "access_group", "create_time")]
+    of_doc = attributes(docs)
+    told = linked(pieces).join(of_doc, "doc_id")
     return told.select(
         F.substring(F.sha2(F.concat_ws("\x1f", "doc_id", "chunk_index", "chunk_text"), 256), 1, 16).alias("chunk_id"), "doc_id", "chunk_index", "chunk_text", "chunk_kind",
         F.length("chunk_text").alias("char_count"), T.token_count(F.col("chunk_text")).alias("token_count"), "chunk_overlap", "prev_chunk_index", "next_chunk_index",
         T.has_protocol_code(F.col("chunk_text")).alias("has_protocol_code"), "page_num", "page_end", F.coalesce(F.col("page_end") > F.col("page_num"), F.lit(False)).alias("is_cross_page"), "bbox",
         F.col("path").alias("full_section_path"), "section_title", F.try_element_at("path", F.lit(-2)).alias("parent_section"),
-        F.when(F.col("chunk_kind").startswith("table"), "markdown").alias("table_format"), "logical_table_id", "table_cols", "table_row_start", "table_row_end", *attributes,
+        F.when(F.col("chunk_kind").startswith("table"), "markdown").alias("table_format"), "logical_table_id", "table_cols", "table_row_start", "table_row_end", *of_doc.columns[1:],
     )
 
 

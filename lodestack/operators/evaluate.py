@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import matches_keywords
 from lodestack.operators.retrieval import present
+from lodestack.sources.shared import settled
 
 DEFAULT_TOP_K = 3
 
@@ -33,7 +34,8 @@ ANCHORS_AT_ONCE = 50_000
 def _holding(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
     """(chunk_id, anchor) for each of the distinct ``anchors`` that stands in a chunk's text: all are looked for in one pass.
 
-    Anchors are the stated labels; they go to the tasks in blocks of ``ANCHORS_AT_ONCE``.
+    Anchors are the stated labels; they go to the tasks in blocks of ``ANCHORS_AT_ONCE``. If there are several, one's result
+    is stored before the next is read, so the driver holds one block at most.
     """
     blocks = -(-max(1, anchors.count()) // ANCHORS_AT_ONCE)
     id_type, found = dict(chunks.dtypes)["chunk_id"], None
@@ -50,6 +52,7 @@ def _holding(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in hits], pa.int64())), pa.array([w for _, w in hits], pa.string())], ["chunk_id", "anchor"])
 
         part = chunks.select("chunk_id", "chunk_text").mapInArrow(search, f"chunk_id {id_type}, anchor string")
+        part = settled(part, "anchored") if blocks > 1 else part
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -129,9 +132,9 @@ def _scored(rows: DataFrame) -> DataFrame:
 
 
 def summary(scores: DataFrame) -> DataFrame:
-    """dataset_size and the means of hit, recall and mrr; 0 without cases."""
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}")
-    return scores.agg(F.count(F.lit(1)).alias("dataset_size"), mean("hit"), mean("recall"), mean("mrr"))
+    """dataset_size and the means of hit, recall and mrr, and of latency_ms where it is known; 0 without cases."""
+    known = [c for c in ("hit", "recall", "mrr", "latency_ms") if c in scores.columns]
+    return scores.agg(F.count(F.lit(1)).alias("dataset_size"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}") for c in known))
 
 
 def usable(chunks: DataFrame) -> DataFrame:

@@ -70,15 +70,19 @@ def _without_suffix_copies(nodes: DataFrame) -> DataFrame:
     return marked.withColumn("dropped", F.coalesce("dropped", F.when(F.col("copy"), "fragment"))).drop("copy")
 
 
+def with_copies(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``copies``: of a short text that is left, how often it stands in its document; null for others."""
+    short = F.col("dropped").isNull() & (F.col("type") != "table") & (F.length("text") <= T.SHORT_REPEATED)
+    return nodes.withColumn("copies", F.when(short, F.count(F.when(short, 1)).over(Window.partitionBy("doc_id", "text"))))
+
+
 def cleaned(nodes: DataFrame) -> DataFrame:
     """``nodes`` through the text rules in order; ``dropped`` tells which rule took a node away. Tables pass untouched."""
     is_table, text, left = F.col("type") == "table", F.col("text"), F.col("dropped").isNull()
     df = nodes.withColumn("text", F.when(is_table, text).otherwise(T.nfkc(text)))
     df = df.withColumn("text", F.when(is_table, text).otherwise(T.tidied(text, F.col("type") == "title")))
     why = F.when(~left | is_table, F.col("dropped")).when(text == "", "element").when(T.is_fragment(text), "fragment").when(T.is_garbled(text), "garbled")
-    df = _without_suffix_copies(settled(_worked_out(df, dropped=why), "nodes"))
-    short = left & ~is_table & (F.length("text") <= T.SHORT_REPEATED)
-    df = df.withColumn("copies", F.when(short, F.count(F.when(short, 1)).over(Window.partitionBy("doc_id", "text"))))
+    df = with_copies(_without_suffix_copies(settled(_worked_out(df, dropped=why), "nodes")))
     why = F.when(~left, F.col("dropped")).when(is_table, F.when(T.is_poor_table(text), "table"))
     why = why.when(F.col("copies") >= 2, "element").when(T.is_contents_line(text) | T.is_watermark(text), "element")
     kind = F.when((F.col("type") == "paragraph") & T.is_list_line(text), "list_item").otherwise(F.col("type"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,39 +10,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How many times the wanted rows are fetched before filters, and queries that a scan of the index takes along at once.
+from lodestack.sources.shared import settled
+
+#: How many times the wanted rows are fetched before filters, queries that a scan of the index takes along, and scores held at once.
 OVER_FETCH = 3
-QUERIES_AT_ONCE = 4_096
+QUERIES_AT_ONCE, SCORES_AT_ONCE = 32_768, 4_000_000
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, skip: list, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each query's number, its best ``n`` rows of ``x`` and their scores; rows that tie at the border come along."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        score = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None])
+    for k, s in enumerate(score):
+        usable = np.flatnonzero(np.isfinite(s) & (ids != skip[k] if skip[k] is not None else True))
+        if len(usable) > n:
+            least = np.partition(s[usable], len(usable) - n)[len(usable) - n]
+            usable = usable[s[usable] >= least - 1e-9]  # ties at the border are for the ranking to settle
+        yield k, usable, s[usable]
 
 
 def _scored(index: DataFrame, queries: list, n: int, id_type: str) -> DataFrame:
     """The best ``n`` of each batch of rows for each query: no more than that leaves a task for the shuffle."""
-    ids = [q["query_id"] for q in queries]
+    ids, skip = [q["query_id"] for q in queries], [q["exclude"] for q in queries]
     q = np.array([q["vector"] for q in queries], np.float64)
-    norms = np.sqrt((q * q).sum(1))
-    skip = [q["exclude"] for q in queries]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(1)
-            good = np.array([v is not None and v == q.shape[1] for v in vectors.value_lengths().to_pylist()], bool)
+            good = np.array([v is not None and v == q.shape[1] for v in batch.column(1).value_lengths().to_pylist()], bool)
             rows = batch.filter(pa.array(good))
             if not rows.num_rows:
                 continue
             x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
-            size = np.sqrt((x * x).sum(1))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                score = (q @ x.T) / (norms[:, None] * size[None])
-            chunk_ids = rows.column(0).to_numpy(zero_copy_only=False)
-            out = []
-            for k, s in enumerate(score):
-                usable = np.flatnonzero(np.isfinite(s) & (chunk_ids != skip[k] if skip[k] is not None else True))
-                if len(usable) > n:
-                    least = np.partition(s[usable], len(usable) - n)[len(usable) - n]
-                    usable = usable[s[usable] >= least - 1e-9]  # ties at the border are for the ranking to settle
-                out.append((np.full(len(usable), k), usable, s[usable]))
-            k, at, s = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in k.tolist()]), rows.column(0).take(pa.array(at)), pa.array(s)], ["query_id", "chunk_id", "score"])
+            chunk_ids, step = rows.column(0).to_numpy(zero_copy_only=False), max(1, SCORES_AT_ONCE // rows.num_rows)
+            for a in range(0, len(q), step):
+                found = list(_best(q[a : a + step], x, chunk_ids, skip[a : a + step], n))
+                asked = [ids[a + k] for k, at, _ in found for _ in at]
+                at, score = (np.concatenate(c) for c in list(zip(*found, strict=True))[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(asked), rows.column(0).take(pa.array(at)), pa.array(score)], ["query_id", "chunk_id", "score"])
 
     return index.select("chunk_id", "vector").mapInArrow(scored, f"query_id {id_type}, chunk_id {dict(index.dtypes)['chunk_id']}, score double")
 
@@ -50,31 +55,67 @@ def candidates(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """The ``n`` rows of ``index`` (chunk_id, vector) nearest to each of ``queries`` (query_id, vector; optionally exclude, a chunk_id).
 
     Columns query_id, chunk_id, score (cosine) and rank from 1; ties stand by chunk_id. Queries are the stated set: they go to
-    the tasks in blocks of ``QUERIES_AT_ONCE``. Vectors that are null, zero or of another length are in no result.
+    the tasks in blocks of ``QUERIES_AT_ONCE`` of one length. If there are several blocks, one's result is stored before the
+    next is read, so the driver holds one block at most. Vectors that are null, zero or of another length are in no result.
     """
-    stated = queries.select("query_id", "vector", queries["exclude"] if "exclude" in queries.columns else F.lit(None).alias("exclude")).where("vector is not null")
-    blocks = -(-max(1, stated.count()) // QUERIES_AT_ONCE)
+    id_type, chunk_type = dict(queries.dtypes)["query_id"], dict(index.dtypes)["chunk_id"]
+    stated = queries.select("query_id", "vector", queries["exclude"] if "exclude" in queries.columns else F.lit(None).cast(chunk_type).alias("exclude")).where("size(vector) > 0")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    lots = sorted(map(tuple, stated.groupBy(F.size("vector")).count().collect()))  # as many rows as vectors have lengths
+    work = [(size, b, -(-many // QUERIES_AT_ONCE)) for size, many in lots for b in range(-(-many // QUERIES_AT_ONCE))]
     found = None
-    for b in range(blocks):
-        own = stated.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else stated.collect()
-        by_size: dict[int, list] = {}
-        for r in own:
-            by_size.setdefault(len(r["vector"]), []).append(r)
-        for group in by_size.values():
-            part = _scored(index, group, n, dict(queries.dtypes)["query_id"])
+    for size, b, blocks in work:
+        block = stated.where((F.size("vector") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
+        if block:
+            part = ranked(_scored(index, block, n, id_type))
+            part = settled(part, "nearest") if len(work) > 1 else part
             found = part if found is None else found.unionByName(part)
     if found is None:
-        found = index.select(F.lit(None).cast(dict(queries.dtypes)["query_id"]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+        found = ranked(index.select(F.lit(None).cast(id_type).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")).limit(0))
+    return found
 
 
-def matches(filters: dict[str, object]) -> Column:
-    """Whether every named column has its value; a missing value equals a null one, and no filter holds for all rows."""
-    out = F.lit(True)
-    for name, value in filters.items():
-        out = out & F.col(name).eqNullSafe(F.lit(value))
-    return out
+def fetched(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """``OVER_FETCH`` * k rows of ``index`` by similarity for each query; its columns but the vector come along."""
+    return candidates(queries, index, OVER_FETCH * k).join(index.drop("vector"), "chunk_id")
+
+
+ANY = "map<string,variant>"
+
+
+def values_of(columns: list[str]) -> Column:
+    """What filters may ask for, by name: the ``columns``, and under other names the keys of the JSON object in a column ``metadata``."""
+    named = [c for c in columns if c not in ("vector", "metadata")]
+    own = F.coalesce(F.try_variant_get(F.parse_json(F.to_json(F.struct(*named))), "$", ANY), F.create_map().cast(ANY))
+    if "metadata" not in columns:
+        return own
+    more = F.coalesce(F.try_variant_get(F.try_parse_json("metadata"), "$", ANY), F.create_map().cast(ANY))
+    return F.map_concat(F.map_filter(more, lambda k, _: ~k.isin(named)), own)
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Whether two values are equal: numbers and truth values by number, lists as a whole, nothing like null."""
+    kind = F.schema_of_variant
+    number = lambda x: F.when(kind(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("int").cast("double")).when(kind(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(x, "$", "double"))
+    none = lambda x: x.isNull() | F.is_variant_null(x)
+    both = F.when(number(a).isNotNull() & number(b).isNotNull(), number(a) == number(b)).otherwise(F.to_json(a) == F.to_json(b))
+    return F.when(none(a) | none(b), none(a) & none(b)).otherwise(both)
+
+
+def fits(filters: Column, values: Column) -> Column:
+    """Whether every named value of the map ``filters`` is that of the map ``values``; a missing one equals null, no filter fits all."""
+    return F.coalesce(F.forall(F.map_entries(filters), lambda e: _same(e["value"], F.try_element_at(values, e["key"]))), F.lit(True))
+
+
+def filters_of(told: Column) -> Column:
+    """A filter written as a JSON object; null without one."""
+    return F.try_variant_get(F.try_parse_json(told), "$", ANY)
+
+
+def matches(filters: dict[str, object], columns: list[str]) -> Column | None:
+    """Whether a row with these ``columns`` fits ``filters`` (see ``values_of`` and ``fits``); None without filters."""
+    return fits(filters_of(F.lit(json.dumps(filters))), values_of(columns)) if filters else None
 
 
 def present(*columns: str) -> Column:
@@ -97,23 +138,26 @@ def filtered(fetched: DataFrame, condition: Column, min_score: float | None, k:
 
 
 def retrieve(queries: DataFrame, index: DataFrame, k: int, condition: Column | None = None, min_score: float | None = None) -> DataFrame:
-    """Ranked rows of ``index`` for each query: ``OVER_FETCH`` * k by similarity, then condition, threshold and cut.
+    """Ranked rows of ``index`` for each query: over-fetch by similarity, then condition, threshold and cut.
 
-    ``index`` has chunk_id, vector and whatever the condition and the reader need; its columns but the vector come along.
+    ``index`` has chunk_id, vector and whatever the condition and the reader need.
     """
-    fetched = candidates(queries, index, OVER_FETCH * k).join(index.drop("vector"), "chunk_id")
-    return filtered(fetched, F.lit(True) if condition is None else condition, min_score, k)
+    return filtered(fetched(queries, index, k), F.lit(True) if condition is None else condition, min_score, k)
 
 
-def trace(queries: DataFrame, index: DataFrame, k: int, condition: Column | None = None, min_score: float | None = None) -> DataFrame:
-    """A row for each query: rows fetched and returned, their scores' max, min and mean, and the best score before the threshold."""
-    fetched = candidates(queries, index, OVER_FETCH * k).join(index.drop("vector"), "chunk_id")
-    fits = F.lit(True) if condition is None else condition
-    before = fetched.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved_before_filter"), F.max(F.when(fits, F.col("score"))).alias("top_before_threshold"))
-    after = filtered(fetched, fits, min_score, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved_after_filter"), F.max("score").alias("max_score"), F.min("score").alias("min_score_value"), F.avg("score").alias("avg_score"))
+def traced(queries: DataFrame, rows: DataFrame, k: int, condition: Column | None = None, min_score: float | None = None) -> DataFrame:
+    """A row for each query and its fetched ``rows``: how many were fetched and returned, their scores' max, min and mean, and the best score before the threshold."""
+    fit = F.lit(True) if condition is None else condition
+    before = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved_before_filter"), F.max(F.when(fit, F.col("score"))).alias("top_before_threshold"))
+    after = filtered(rows, fit, min_score, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved_after_filter"), F.max("score").alias("max_score"), F.min("score").alias("min_score_value"), F.avg("score").alias("avg_score"))
     told = queries.select("query_id").join(before, "query_id", "left").join(after, "query_id", "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return told.select(
         "query_id", count("retrieved_before_filter"), count("retrieved_after_filter"), (F.coalesce("retrieved_after_filter", F.lit(0)) == 0).alias("is_empty_recall"),
         F.coalesce("max_score", "top_before_threshold").alias("top_score"), "min_score_value", "avg_score",
     )
+
+
+def trace(queries: DataFrame, index: DataFrame, k: int, condition: Column | None = None, min_score: float | None = None) -> DataFrame:
+    """``traced`` of the rows of ``index`` that the queries fetch; these are stored, as they are needed twice."""
+    return traced(queries, settled(fetched(queries, index, k), "fetched"), k, condition, min_score)

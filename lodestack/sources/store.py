@@ -1,13 +1,11 @@
 """Keyed tables as Parquet: replace by key, upsert, append, snapshots.
 
-A table is a folder of versions; a write makes a new version and then moves the pointer, a small file, so readers see the old
-table or the new one. There is one writer at a time. An append adds files to the version that the pointer names.
+A table is a folder of Parquet files, dealt into buckets by the hash of its key. What replaces rows rewrites the buckets of
+its keys alone, by Spark's dynamic partition overwrite. There is one writer at a time.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,8 +48,19 @@ def missing(requested: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def of_documents(rows: DataFrame, doc_ids: list[str] | None) -> DataFrame:
-    """Rows of these documents; null and an empty list both mean all."""
-    return rows.where(F.col("doc_id").isin(doc_ids)) if doc_ids else rows
+    """Chunks of these documents; null and an empty list both mean all. By document and place."""
+    found = rows.where(F.col("doc_id").isin(doc_ids)) if doc_ids else rows
+    return found.orderBy("doc_id", "chunk_index")
+
+
+def documents_named(rows: DataFrame, doc_ids: list[str]) -> DataFrame:
+    """The documents of these ids, by id; an empty list names none."""
+    return rows.where(F.col("doc_id").isin(doc_ids) if doc_ids else F.lit(False)).orderBy("doc_id")
+
+
+def document(rows: DataFrame, doc_id: str) -> DataFrame:
+    """The document of this id: a row or none."""
+    return documents_named(rows, [doc_id]).limit(1)
 
 
 def cases_of(cases: DataFrame, case_ids: list[str] | None) -> DataFrame:
@@ -70,65 +79,75 @@ def preview(items: DataFrame, n: int = 5, chars: int = 120) -> DataFrame:
     return items.withColumn("n", F.row_number().over(first)).where(F.col("n") <= n).select("freeze_id", "doc_id", "chunk_index", "content_hash", F.left("chunk_text", F.lit(chars)).alias("preview"))
 
 
+#: Buckets of a keyed table.
+BUCKETS = 64
+BUCKET = "_bucket"
+
+
 class Store:
     """Tables by name below a folder that the cluster shares."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _version(self, name: str) -> str | None:
-        pointer = f"{self.path}/{name}/current"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(pointer)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return self.spark.read.text(pointer).orderBy(F.desc("value")).first()[0].split(" ")[1]
+    def _at(self, name: str) -> str:
+        return f"{self.path}/{name}"
 
-    def _point(self, name: str, version: str) -> None:
-        # Pointers only grow, and the last one counts, so there is no moment without one.
-        n = self.spark.read.text(f"{self.path}/{name}/current").count() if self._version(name) else 0
-        self.spark.createDataFrame([(f"{n:012d} {version}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/{name}/current")
+    def _there(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def read(self, name: str, schema: StructType | str | None = None) -> DataFrame:
         """The table as it is; without one an empty table of ``schema``."""
-        version = self._version(name)
-        if version is None:
+        if not self._there(name):
             if schema is None:
                 raise LookupError(f"no table {name}")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}/{version}")
+        return self.spark.read.option("mergeSchema", "true").parquet(self._at(name)).drop(BUCKET)
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}/{version}")
-        self._point(name, version)
+        """``rows`` in place of the whole table."""
+        settled(rows, name).write.mode("overwrite").parquet(self._at(name))
         return self.read(name)
 
-    def replace(self, name: str, rows: DataFrame, *keys: str) -> DataFrame:
-        rows = settled(rows, name)
-        return self.write(name, replaced(self.read(name, rows.schema), rows, *keys))
+    def replace(self, name: str, rows: DataFrame, key: str) -> DataFrame:
+        """``rows`` in place of those with their keys; other buckets than theirs stay as they are."""
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        rows = settled(rows.withColumn(BUCKET, bucket), name)
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
+        if self._there(name):
+            old = self.spark.read.option("mergeSchema", "true").parquet(self._at(name)).where(F.col(BUCKET).isin(touched))
+            rows = settled(replaced(old, rows, key), name)
+        # Rows of a bucket stand together, so a bucket has few files.
+        rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self._at(name))
+        return self.read(name)
 
     def upsert(self, name: str, rows: DataFrame, key: str, ordinal: str) -> DataFrame:
-        rows = settled(last_of_each(rows, key, ordinal), name)
-        return self.write(name, replaced(self.read(name, rows.schema), rows, key))
+        return self.replace(name, last_of_each(rows, key, ordinal), key)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        version = self._version(name)
-        if version is None:
-            return self.write(name, rows)
-        rows.write.mode("append").parquet(f"{self.path}/{name}/{version}")
+        rows.write.mode("append").parquet(self._at(name))
         return self.read(name)
 
-    def freeze(self, label: str, chunks: DataFrame, created_at: Column, note: str | None = None) -> int:
-        """Snapshots ``chunks`` under a label that isn't taken and tells the snapshot's id."""
-        heads = self.read("freezes", "freeze_id long, freeze_label string, note string, doc_count long, chunk_count long, created_at timestamp")
+    def freeze(self, label: str, chunks: DataFrame, created_at: Column, note: str | None = None, pipeline_version: str | None = None) -> int:
+        """Snapshots ``chunks`` under a label that isn't taken and tells the snapshot's id.
+
+        Its head is written last, under an id that neither heads nor items have: items that a failure leaves behind belong to
+        no snapshot.
+        """
+        heads = self.read("freezes", FREEZE)
         if heads.where(F.col("freeze_label") == label).limit(1).count():
             raise DuplicateLabel(label)
-        freeze_id = (heads.agg(F.max("freeze_id")).first()[0] or 0) + 1
+        last = heads.select("freeze_id").unionByName(self.read("freeze_items", "freeze_id long").select("freeze_id")).agg(F.max("freeze_id")).first()[0]
+        freeze_id = (last or 0) + 1
         items = settled(snapshot(chunks, F.lit(freeze_id).cast("long")), "snapshot")
         n = items.agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("chunks")).first()
         if not n["chunks"]:
             raise NoChunks("there are no chunks to freeze")
         self.append("freeze_items", items)
-        told = self.spark.range(1).select(F.lit(freeze_id).cast("long").alias("freeze_id"), F.lit(label).alias("freeze_label"), F.lit(note).cast("string").alias("note"), F.lit(n["docs"]).cast("long").alias("doc_count"), F.lit(n["chunks"]).cast("long").alias("chunk_count"), created_at.cast("timestamp").alias("created_at"))
-        self.append("freezes", told)
+        told = {"freeze_id": freeze_id, "freeze_label": label, "note": note, "pipeline_version": pipeline_version, "doc_count": n["docs"], "chunk_count": n["chunks"]}
+        self.append("freezes", self.spark.range(1).select(*(F.lit(v).cast(self.spark.createDataFrame([], FREEZE).schema[k].dataType).alias(k) for k, v in told.items()), created_at.cast("timestamp").alias("created_at")))
         return freeze_id
+
+
+FREEZE = "freeze_id long, freeze_label string, note string, pipeline_version string, doc_count long, chunk_count long, created_at timestamp"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def test_service(spark, tmp_path, extracted):
     first = service.query(queries, 2).orderBy("rank").first()
     assert first.doc_id == "f" and first.rank == 1
     assert service.metrics().first()["query_count"] == 2 and service.health().first()["index_ready"]
-    cases = spark.createDataFrame([("c", "全体员工", None, None, [("本办法适用于全体员工", None, None)], "any", 3, True, True), ("c", "全体员工适用", None, ["全体员工"], None, "any", 3, True, True)], CASE)
+    cases = spark.createDataFrame([("c", "全体员工", None, None, [("本办法适用于全体员工", None, None)], "any", 3, True, True, None), ("c", "全体员工适用", None, ["全体员工"], None, "any", 3, True, True, None)], CASE)
     service.upsert_cases(cases.withColumn("at", F.monotonically_increasing_id()), "at")
     run = service.run_eval().first()
     assert (run.dataset_size, run.avg_hit, run.top_k) == (1, 1.0, 3) and service.runs().count() == 1
@@ -167,6 +168,100 @@ def test_service(spark, tmp_path, extracted):
         assert e.value.code == code
 
 
+@pytest.fixture(scope="module")
+def built(spark, tmp_path_factory):
+    """A store with chunks of two documents, with metadata, and its index."""
+    path = tmp_path_factory.mktemp("built")
+    service = Service(spark, Store(spark, str(path)), min_score=0.0)
+    texts = [("f", json.dumps(FLAT, ensure_ascii=False)), ("p", json.dumps(PAGED, ensure_ascii=False))]
+    told = spark.createDataFrame([("f", "f.pdf", '{"category": "law", "level": 2}'), ("p", "p.pdf", '{"category": "note", "access_group": ["ops"]}')], "doc_id string, file_path string, metadata string")
+    docs = service.extract(items_of(spark.createDataFrame(texts, "doc_id string, json string")), told)
+    totals = service.extract_totals(docs).first(), service.chunk_totals(["f", "p", "f"], service.chunk(["f", "p", "f"])).first()
+    service.build_index()
+    return path, totals
+
+
+@pytest.fixture
+def service(spark, tmp_path, built):
+    """A service of its own on a copy of that store."""
+    shutil.copytree(built[0], tmp_path / "store")
+    service = Service(spark, Store(spark, str(tmp_path / "store")), min_score=0.0)
+    service.index, service.totals = service.store.read("index"), built[1]
+    return service
+
+
+def test_metadata_reaches_the_filter(spark, service):
+    asked = spark.createDataFrame([("q", "全体员工适用的办法"), ("r", "标题")], "query_id string, query_text string")
+    of = lambda filters, q="q": {r.doc_id for r in service.query(asked, 20, filters).where(f"query_id = '{q}'").collect()}
+    assert of(None) == {"f", "p"} and of({"category": "law"}) == {"f"} and of({"level": None}) == {"p"} and of({"level": 2.0}) == {"f"}
+    assert of({"access_group": ["ops"], "file_path": "p.pdf"}) == {"p"} and of({"access_group": ["rd"]}, "r") == {"f"} and of({"absent": 1}) == set()
+    logs = service.store.read("query_logs").collect()
+    assert len(logs) == 14 and all(r.total_ms >= r.embed_ms + r.retrieve_ms > 0 for r in logs) and sum(r.is_empty_recall for r in logs) == 2 and sum(r.filters_applied for r in logs) == 12
+    docs, chunks = service.totals
+    assert (docs.extracted_doc_count, docs.total_page_count, chunks.stored_doc_count) == (2, 5, 3) and chunks.stored_chunk_count > service._chunks().count()
+
+
+def test_runs_keep_items_and_filters(spark, service):
+    ids = {r.doc_id: r.chunk_id for r in service._chunks().where("chunk_index = 0").collect()}
+    cases = [("any", " 全体员工 ", None, ["全体员工"], None, None, None, True, None, None), ("other", "全体员工", None, ["全体员工"], None, "any", 2, True, True, '{"category": "note"}'), ("gone", "标题", [ids["p"]], None, None, "any", 2, True, True, '{"category": "note"}')]
+    service.upsert_cases(spark.createDataFrame(cases, CASE).withColumn("at", F.lit(0)), "at")
+    run = service.run_eval().first()
+    items = {r.case_id: r for r in service.run_items(run.run_id).collect()}
+    assert (items["any"].hit, items["other"].hit, items["gone"].hit, items["gone"].recall) == (1, 0, 1, 1.0)
+    assert ids["p"] in items["gone"].retrieved_chunk_ids and all(r.latency_ms > 0 and r.query_text for r in items.values())
+    assert run.avg_latency_ms == pytest.approx(sum(r.latency_ms for r in items.values()) / 3) and run.top_k == 2 and run.dataset_size == 3
+
+
+def test_failures_have_codes_and_are_logged(spark, service):
+    asked = spark.createDataFrame([("q", "全体员工")], "query_id string, query_text string")
+    code = lambda f: pytest.raises(ServiceError, f).value.code
+    service.vectorise = lambda text: F.raise_error(F.lit("no model"))
+    assert code(lambda: service.query(asked)) == "QUERY_EXECUTION_ERROR" and code(service.build_index) == "INDEX_BUILD_ERROR"
+    assert [r.error_code for r in service.store.read("query_logs").collect()] == ["QUERY_EXECUTION_ERROR"]
+    assert code(lambda: service.query(spark.createDataFrame([("q", " ")], "query_id string, query_text string"))) == "VALIDATION_ERROR"
+    assert code(lambda: service.chunk([])) == code(lambda: service.chunk([" "])) == code(lambda: service.freeze(" ")) == code(lambda: service.metrics(0)) == code(lambda: service.runs(0)) == "VALIDATION_ERROR"
+    assert code(lambda: service.chunk(["f", "x"])) == "DOCUMENT_NOT_EXTRACTED" and code(service.run_eval) == "EVAL_DATASET_EMPTY"
+    case = lambda **k: spark.createDataFrame([tuple(({"case_id": "c", "query_text": "t", "expected_keywords": ["k"]} | k).get(c.split(" ")[0]) for c in CASE.split(", "))], CASE).withColumn("at", F.lit(0))
+    for wrong in ({"case_id": " "}, {"query_text": None}, {"expected_keywords": None}, {"expected_keywords": [" "]}, {"top_k": 21}, {"keyword_match_mode": "some"}, {"filters": "[1]"}, {"evidence_keys": [(" ", "d", None)]}):
+        assert code(lambda wrong=wrong: service.upsert_cases(case(**wrong), "at")) == "VALIDATION_ERROR", wrong
+    service.store.read = lambda *_: 1 / 0
+    assert (code(service.metrics), code(service.cases), code(service.runs), code(service.freezes), code(lambda: service.freeze_detail(1)), code(lambda: service.freeze("l"))) == (
+        "METRICS_READ_ERROR", "EVAL_DATASET_READ_ERROR", "EVAL_RUNS_READ_ERROR", "CHUNK_FREEZE_LIST_ERROR", "CHUNK_FREEZE_READ_ERROR", "CHUNK_FREEZE_CREATE_ERROR")
+
+
+def test_a_log_that_fails_doesnt_fail_the_query(spark, service):
+    service.store.append = lambda *_: 1 / 0
+    assert service.query(spark.createDataFrame([("q", "全体员工")], "query_id string, query_text string")).count() == 3
+
+
+def test_items_without_head_belong_to_no_snapshot(spark, service):
+    """A freeze that fails before its head is written leaves nothing behind for the next one."""
+    append = service.store.append
+    service.store.append = lambda name, rows: append(name, rows) if name != "freezes" else 1 / 0
+    assert pytest.raises(ServiceError, service.freeze, "one").value.code == "CHUNK_FREEZE_CREATE_ERROR"
+    service.store.append = append
+    freeze = service.freeze("one", ["p"], pipeline_version="v1")
+    head, items = service.freeze_detail(freeze)
+    assert freeze == 2 and {r.doc_id for r in items.collect()} == {"p"} and head.first().pipeline_version == "v1" and service.freezes().count() == 1
+
+
+def test_embedded_metadata(spark, service):
+    service.embed_metadata, service.index_source = True, "store"
+    before = {r.chunk_id: r.vector for r in service.index.collect()}
+    after = service.build_index().collect()
+    assert {r.source for r in after} == {"store"} and all(r.vector != before[r.chunk_id] for r in after)
+
+
+def test_replace_rewrites_only_its_buckets(spark, tmp_path):
+    keyed = Store(spark, str(tmp_path))
+    keyed.replace("t", spark.range(1000).select(F.col("id").cast("string").alias("doc_id"), F.lit("a").alias("v")), "doc_id")
+    files = lambda: {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    keyed.replace("t", spark.createDataFrame([("7", "b"), ("7", "c"), ("x", "d")], "doc_id string, v string"), "doc_id")
+    assert len(before - files()) <= 2 and len(before) > 30
+    assert {(r.doc_id, r.v) for r in keyed.read("t").collect()} == {(str(i), "a") for i in range(1000) if i != 7} | {("7", "b"), ("7", "c"), ("x", "d")}
+
+
 def test_stream(spark, tmp_path):
     rows = "created_at timestamp, total_ms double, is_empty_recall boolean"
     spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id) as created_at, double(id) as total_ms, id % 2 = 0 as is_empty_recall from range(20)").write.parquet(str(tmp_path / "in"))
