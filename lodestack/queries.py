@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions import split
+from lodestack import cases
+from lodestack.functions import split, tables
 from lodestack.functions import text as T
 from lodestack.functions.vectors import bigram_vector
 from lodestack.operators import evaluate, extract, monitor, retrieval
-from lodestack.operators.chunk import linked, sections, islands
+from lodestack.operators.chunk import chunk_documents, islands, linked, sections
+from lodestack.plans.service import Service
 from lodestack.sources import store
 from lodestack.sources.shared import settled
 from lodestack.streaming import query_log
@@ -78,7 +80,7 @@ AFTER = "(SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id OR
 
 @query(FETCHED.format(n=15) + " SELECT * FROM " + AFTER.format(where="label IS NOT DISTINCT FROM 3") + " WHERE rank <= 5")
 def topk_postfilter_label(spark, sf_dir):
-    return _shown(retrieval.retrieve(_asked(spark, sf_dir), _index(spark, sf_dir), 5, retrieval.matches({"label": 3})))
+    return _shown(retrieval.retrieve(_asked(spark, sf_dir), _index(spark, sf_dir), 5, retrieval.matches({"label": 3}, ["chunk_id", "label"])))
 
 
 @query(FETCHED.format(n=15) + " SELECT * FROM " + AFTER.format(where="score >= 0.3") + " WHERE rank <= 5")
@@ -316,6 +318,57 @@ def replace_by_key(spark, sf_dir):
     return store.replaced(docs.where("source <> 'src2'"), new, "source").select("doc_id", "lang", "n_chars")
 
 
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 5, 8)")
+def fetch_documents(spark, sf_dir):
+    return store.documents_named(_table(spark, sf_dir, "documents"), [8, 3, 5]).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE false")
+def fetch_no_documents(spark, sf_dir):
+    """An empty list names no document."""
+    return store.documents_named(_table(spark, sf_dir, "documents"), []).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id = 7")
+def fetch_document(spark, sf_dir):
+    return store.document(_table(spark, sf_dir, "documents"), 7).select("doc_id", "lang")
+
+
+@query("SELECT source AS doc_id, doc_id AS chunk_index FROM documents WHERE source IN ('src1', 'src3')")
+def fetch_chunks_of(spark, sf_dir):
+    return store.of_documents(_frozen(spark, sf_dir), ["src3", "src1"]).select("doc_id", "chunk_index")
+
+
+@query("SELECT source AS doc_id, doc_id AS chunk_index FROM documents")
+def fetch_all_chunks(spark, sf_dir):
+    """An empty list means all chunks."""
+    return store.of_documents(_frozen(spark, sf_dir), []).select("doc_id", "chunk_index")
+
+
+@query("SELECT doc_id AS run_id, quality FROM labels ORDER BY doc_id DESC LIMIT 20")
+def newest_first(spark, sf_dir):
+    return store.in_order_of(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("run_id"), "quality"), "run_id", 20)
+
+
+@query("SELECT doc_id FROM documents WHERE trim(source) <> '' AND trim(text, ' ') <> '' AND doc_id IS NOT NULL")
+def usable_chunks(spark, sf_dir):
+    """Chunks without document, id or text aren't embedded."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    return evaluate.usable(rows).select(F.col("chunk_id").alias("doc_id"))
+
+
+@query("SELECT count(*) AS extracted_doc_count, sum(doc_id % 7 + 1)::BIGINT AS total_page_count, sum(n_chars)::BIGINT AS total_char_count FROM documents")
+def extract_totals(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return Service.extract_totals(docs.select((F.col("doc_id") % 7 + 1).alias("page_count"), F.col("n_chars").alias("char_count")))
+
+
+@query("SELECT 3::BIGINT AS stored_doc_count, (SELECT count(*) FILTER (source = 'src1') * 2 + count(*) FILTER (source = 'src2') FROM documents) AS stored_chunk_count")
+def chunk_totals(spark, sf_dir):
+    """An id that a request names twice counts twice."""
+    return Service(spark, store.Store(spark, "unused")).chunk_totals(["src1", "src2", " src1 "], _frozen(spark, sf_dir))
+
+
 # ---- Text rules over lines of documents: T2-T9, T17, T18, A9, A12, A15 ----
 
 
@@ -351,14 +404,17 @@ def garbled_lines(spark, sf_dir):
 
 @query(f"SELECT doc_id, line, length(text) BETWEEN 1 AND 30 AND count(*) OVER (PARTITION BY doc_id, text) >= 2 AS dropped FROM {LINES}")
 def repeated_short_lines(spark, sf_dir):
-    copies = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "text"))
-    return _lines(spark, sf_dir).select("doc_id", "line", (F.length("text").between(1, T.SHORT_REPEATED) & (copies >= 2)).alias("dropped"))
+    copies = F.coalesce("copies", F.lit(0))
+    return extract.with_copies(_nodes(spark, sf_dir)).select("doc_id", F.col("pos").alias("line"), ((F.length("text") > 0) & (copies >= 2)).alias("dropped"))
+
+
+def _nodes(spark, sf_dir) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", F.col("line").alias("pos"), F.lit(0).alias("sub"), F.lit("paragraph").alias("type"), "text", F.lit(None).cast("string").alias("dropped"))
 
 
 @query()
 def suffix_duplicates(spark, sf_dir):
-    nodes = _lines(spark, sf_dir).select("doc_id", F.col("line").alias("pos"), F.lit(0).alias("sub"), F.lit("paragraph").alias("type"), "text", F.lit(None).cast("string").alias("dropped"))
-    return extract._without_suffix_copies(nodes).select("doc_id", F.col("pos").alias("line"), F.col("dropped").isNotNull().alias("dropped"))
+    return extract._without_suffix_copies(_nodes(spark, sf_dir)).select("doc_id", F.col("pos").alias("line"), F.col("dropped").isNotNull().alias("dropped"))
 
 
 @query(f"SELECT doc_id, line, length(text) < 80 AND (regexp_matches(text, '^.{{0,40}}[.·…\\s]{{3,}}.{{0,20}}[0-9]+\\s*$') OR ((contains(text, '…') OR regexp_matches(text, '\\.{{4,}}')) AND regexp_matches(text, '[0-9]+\\s*$'))) AS dropped FROM {LINES}")
@@ -434,8 +490,18 @@ def page_span(spark, sf_dir):
     return sections(_blocks(spark, sf_dir)).select("doc_id", F.col("section").cast("long").alias("section"), "page_num", "page_end")
 
 
-@query()
+LEVELS = f"(SELECT doc_id, line, section, text, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k, regexp_extract(text, '^([0-9]+(\\.[0-9]+)*)', 1) AS number FROM {ISLANDS} WHERE is_title)"
+PATHS = f"""WITH l AS (SELECT doc_id, section, text, k, CASE WHEN number <> '' THEN length(number) - length(replace(number, '.', '')) + 1 WHEN k = 1 THEN 0 ELSE 1 END AS level FROM {LEVELS}),
+s AS (SELECT doc_id, section::BIGINT AS section, max(line) AS line FROM {ISLANDS} GROUP BY doc_id, section),
+last AS (SELECT s.doc_id, s.section, max(l.k) AS k FROM s LEFT JOIN l ON l.doc_id = s.doc_id AND l.section <= s.section GROUP BY s.doc_id, s.section),
+gone AS (SELECT a.doc_id, a.k, min(b.k) AS until_k FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.k > a.k AND b.level <= a.level GROUP BY a.doc_id, a.k),
+held AS (SELECT l.*, until_k FROM l LEFT JOIN gone USING (doc_id, k))
+SELECT last.doc_id, last.section, coalesce(string_agg(held.text, ' > ' ORDER BY held.k), '') AS path FROM last LEFT JOIN held ON held.doc_id = last.doc_id AND held.k <= last.k AND (held.until_k IS NULL OR held.until_k > last.k) GROUP BY last.doc_id, last.section"""
+
+
+@query(PATHS)
 def section_path(spark, sf_dir):
+    """A title stays on the path until one of its level or above comes."""
     return sections(_blocks(spark, sf_dir)).select("doc_id", F.col("section").cast("long").alias("section"), F.array_join("path", " > ").alias("path"))
 
 
@@ -454,7 +520,11 @@ def recursive_split_text(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(split.text_pieces(F.col("text"), 500, 20)).alias("pos", "piece"))
 
 
-@query()
+SENTENCES = f"""SELECT doc_id, unnest(range(len(p)))::INT AS pos, unnest(p) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？；.!?;])({SPACE[:-1]}*)', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+lambda x: regexp_replace(regexp_replace(x, '^{SPACE}', ''), '{SPACE}$', '')), lambda x: x <> '') AS p FROM documents)"""
+
+
+@query(SENTENCES)
 def sentence_split(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(split.sentence_pieces(F.col("text"))).alias("pos", "sentence"))
@@ -465,3 +535,30 @@ def section_split(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     told = docs.select("doc_id", split.sections_split(F.col("source"), F.col("text"), 500, 20, 20, 1000).alias("s"))
     return told.select("doc_id", "s.cut", F.posexplode("s.pieces").alias("pos", "piece"))
+
+
+# ---- Whole documents as chunks, and tables: K1-K3, K19, K20, K22-K25 ----
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    """Chunks of all documents from their blocks, and from the full text of those without any."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("full_text"), "source")
+    return chunk_documents(docs, _blocks(spark, sf_dir).where("cast(doc_id as long) % 2 = 0")).select("doc_id", "chunk_index", "chunk_kind", "chunk_text", "section_title", "page_num", "page_end")
+
+
+TABLE_ROWS = "(SELECT doc_id // 20 AS table_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS k, '| ' || lpad(doc_id::VARCHAR, 9, '0') || ' | ' || lang || ' |' AS row FROM documents)"
+
+
+@query(f"""SELECT table_id::BIGINT AS table_id, (k // 4)::INT AS pos, '| id | lang |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(row, chr(10) ORDER BY k) AS text, min(k)::INT AS row_start, max(k)::INT AS row_end
+FROM {TABLE_ROWS} GROUP BY table_id, k // 4""")
+def table_markdown(spark, sf_dir):
+    """A table of each twenty documents, its rows as Markdown under the header, as many at a time as fit: four."""
+    row = F.format_string("<tr><td> %s</td><td>%s </td></tr>", F.lpad(F.col("doc_id").cast("string"), 9, "0"), "lang")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("row")))), lambda x: x["row"]), "")
+    html = _table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 20).alias("table_id")).agg(F.concat(F.lit("<table><thead><tr><th>id</th><th>lang</th></tr></thead><tbody>"), rows, F.lit("</tbody></table>")).alias("html"))
+    return html.select("table_id", F.posexplode(tables.tables_split(F.col("html"), F.lit(None).cast("string"), 110)).alias("pos", "p")).select("table_id", "pos", "p.text", "p.row_start", "p.row_end")
+
+
+QUERIES |= cases.QUERIES
+ORACLE_SQL |= cases.ORACLE_SQL
