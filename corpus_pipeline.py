@@ -37,7 +37,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes, in training order."""
     sized = docs.withColumn("size", mixing.words(F.col("text")))
-    return mixing.training_order(mixing.mix(sized)).select(*docs.columns)
+    return mixing.training_order(mixing.mix(sized), docs.count()).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
