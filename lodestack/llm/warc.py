@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import shared_dir, sized_broadcast, stored
+from lodestack.llm.common import sized_broadcast, stored
+from lodestack.sources.shared import own_dir
 
 #: Groups of equal payloads that are broadcast at most (about 100 bytes each); more are joined by a shuffle.
 GROUPS_SENT = 100_000
@@ -28,7 +29,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Bytes of blocks that a reading task hands on at once.
 AT_ONCE = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
-RECORD = "record_id string, kind string, page_id long, refers string, refers_page long, digest string, origin string, number int, total long, block binary"
+RECORD = "record_id string, kind string, page_id long, refers string, refers_page long, digest string, origin string, number int, total long, block binary, size long, sha1 string"
 
 
 def _record_id(page_id: int | None, digest: str) -> str:
@@ -131,42 +132,47 @@ def _parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield fields, f.read(int(fields["content-length"]))
 
 
-def read_records(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
-    """A row for each record of the archives in ``path``; ``segmented`` keeps only those that are segments or that aren't."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def read_records(spark: SparkSession, path: str, measured: bool = False) -> DataFrame:
+    """A row for each record of the archives in ``path`` (see ``RECORD``).
 
-    schema = to_arrow_schema(spark.createDataFrame([], RECORD).schema)
+    With ``measured`` a record that is no segment comes with ``size`` and ``sha1`` (base32) of its payload, null if it can't be
+    restored, instead of its block: blocks of whole records needn't leave the task that reads them.
+    """
     number = lambda v: None if v is None else int(v)
+    names = [c.split(" ")[0] for c in RECORD.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(c.split(" ")[1], pa.string()) for c in RECORD.split(", ")]
+    emitted = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        rows, held = [], 0
         for batch in batches:
             for archive in batch.column(0):
                 for f, block in _parsed(archive.as_py()):
                     part = number(f.get("warc-segment-number"))
-                    if segmented is not None and segmented != (part is not None):
-                        continue
                     origin = f.get("warc-segment-origin-id") or (f["warc-record-id"] if part else None)
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    rows.append((f["warc-record-id"], f["warc-type"], number(f.get("x-page-id")), f.get("warc-refers-to"), number(f.get("x-refers-to-page-id")), digest, origin, part, number(f.get("warc-segment-total-length")), block))
-                    size += len(block)
-                    if size > AT_ONCE:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                        rows, size = [], 0
-        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+                    size = sha1 = None
+                    if measured and part is None:
+                        size, sha1 = _measured(_payload([block], None))
+                        block = None
+                    rows.append((f["warc-record-id"], f["warc-type"], number(f.get("x-page-id")), f.get("warc-refers-to"), number(f.get("x-refers-to-page-id")), digest, origin, part, number(f.get("warc-segment-total-length")), block, size, sha1))
+                    held += len(block or b"") + 200
+                    if held > AT_ONCE:
+                        yield emitted(rows)
+                        rows, held = [], 0
+        yield emitted(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
 
 
-def reassembled(spark: SparkSession, path: str) -> DataFrame:
-    """Responses and revisits with all their ``blocks`` in order and the ``total`` length told, null for whole records.
+def joined_segments(records: DataFrame) -> DataFrame:
+    """The records whose segments are among ``records``, with all ``blocks`` in order and the ``total`` length told.
 
-    Segments that the same origin holds more than once, from repeated rows, stand for as many records. A record lacking
-    a segment has the others' blocks; its total doesn't fit them then.
+    Segments are grouped by their origin. Those that the same origin holds more than once, from repeated rows, are counted
+    first and stand for as many records. A record lacking a segment has the others' blocks; its total can't be met then.
     """
-    whole = read_records(spark, path, segmented=False).select("record_id", "kind", "page_id", "refers", "refers_page", "digest", F.array("block").alias("blocks"), F.lit(None).cast("long").alias("total"))
-    parts = read_records(spark, path, segmented=True).groupBy("origin", "number", "block").agg(*(F.first(c, True).alias(c) for c in ("page_id", "digest")), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"))
+    same = ["origin", "number", F.xxhash64("block").alias("content")]
+    parts = records.where("number is not null").groupBy(*same).agg(F.first("block").alias("block"), F.max("total").alias("total"), *(F.first(c, True).alias(c) for c in ("page_id", "digest")), F.count(F.lit(1)).alias("n"))
     # A group is one record: its size is that of a page.
     joined = parts.groupBy("origin").agg(
         F.first("page_id", True).alias("page_id"), F.first("digest", True).alias("digest"), F.max("total").alias("total"),
@@ -174,11 +180,10 @@ def reassembled(spark: SparkSession, path: str) -> DataFrame:
     )
     gapless = F.forall(F.sequence(F.lit(1), F.size("sorted")), lambda i: F.col("sorted")[i - 1]["number"] == i)
     # Without the first segment it is unknown whose record it is; a gap shows as a total that can't be met.
-    again = joined.where("n is not null").select(
+    return joined.where("n is not null").select(
         F.col("origin").alias("record_id"), F.lit("response").alias("kind"), "page_id", F.lit(None).cast("string").alias("refers"), F.lit(None).cast("long").alias("refers_page"), "digest",
-        F.col("sorted.block").alias("blocks"), F.when(gapless, F.coalesce("total", F.lit(-1))).otherwise(-1).alias("total"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"),
+        F.col("sorted.block").alias("blocks"), F.when(gapless, F.coalesce("total", F.lit(-1))).otherwise(-1).alias("total"), "n",
     )
-    return whole.unionByName(again.drop("copy"))
 
 
 def _payload(blocks: list[bytes], total: int | None) -> bytes | None:
@@ -190,6 +195,10 @@ def _payload(blocks: list[bytes], total: int | None) -> bytes | None:
     return dechunked(body) if b"\r\ntransfer-encoding: chunked" in head.lower() else body
 
 
+def _measured(payload: bytes | None) -> tuple[int | None, str | None]:
+    return (None, None) if payload is None else (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
+
+
 def payloads(spark: SparkSession, path: str) -> DataFrame:
     """Each response's page_id, record_id and ``payload`` (binary; null if it can't be restored)."""
 
@@ -197,7 +206,10 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
     def payload(blocks: pa.Array, totals: pa.Array) -> pa.Array:
         return pa.array([_payload(b, t) for b, t in zip(blocks.to_pylist(), totals.to_pylist(), strict=True)], pa.binary())
 
-    return reassembled(spark, path).where("kind = 'response'").select("page_id", "record_id", payload("blocks", "total").alias("payload"))
+    records = read_records(spark, path)
+    whole = records.where("number is null and kind = 'response'").select("page_id", "record_id", F.array("block").alias("blocks"), F.lit(None).cast("long").alias("total"))
+    again = joined_segments(records).select("page_id", "record_id", "blocks", "total", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return whole.unionByName(again.drop("col")).select("page_id", "record_id", payload("blocks", "total").alias("payload"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -210,12 +222,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     @F.arrow_udf("n long, digest string")
     def measured(blocks: pa.Array, totals: pa.Array) -> pa.Array:
-        found = [_payload(b, t) for b, t in zip(blocks.to_pylist(), totals.to_pylist(), strict=True)]
-        digests = [None if p is None else base64.b32encode(hashlib.sha1(p).digest()).decode() for p in found]
-        return pa.StructArray.from_arrays([pa.array([None if p is None else len(p) for p in found], pa.int64()), pa.array(digests, pa.string())], ["n", "digest"])
-
-    # Narrow rows, stored once, since both kinds of record need them.
-    every = stored(reassembled(spark, path).withColumn("got", measured("blocks", "total")).drop("blocks", "total"), "warc-index")
+        found = [_measured(_payload(b, t)) for b, t in zip(blocks.to_pylist(), totals.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())], ["n", "digest"])
+
+    # Archives are read once: whole records leave that task measured, and only segments take their blocks along.
+    records = stored(read_records(spark, path, measured=True), "warc-records")
+    common = ["record_id", "kind", "page_id", "refers", "refers_page", "digest", "got"]
+    whole = records.where("number is null").withColumn("got", F.struct(F.col("size").alias("n"), F.col("sha1").alias("digest"))).select(*common)
+    # Stored, so that the blocks are joined once though both kinds of record need them.
+    again = stored(joined_segments(records).withColumn("got", measured("blocks", "total")).select(*common, "n"), "warc-joined")
+    every = whole.unionByName(again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*common))
     responses = every.where("kind = 'response'")
     # Stored: then both sides of the join are shuffled anew, and Spark can split a response with very many revisits.
     known = stored(responses.groupBy("record_id").agg(F.first("got").alias("got")), "warc-responses")
@@ -227,6 +243,6 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes ``pages`` into archives in the shared folder and gives what ``read_index`` finds there."""
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = f"{own_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
     return read_index(pages.sparkSession, path)
