@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by product quantisation.
 
-Coarse centroids deal unit vectors into inverted lists; residuals are coded by subspace. A vector probes every list in
-which a vector within the threshold's distance can lie, holds its distances to the codes, looked up by subspace, against
-what the codes' own errors allow, and only what is left is compared by exact cosine. The bounds are exact, so no link is
-lost; the sample that centroids and codebooks are fitted on decides the cost alone.
+Coarse centroids deal unit vectors into inverted lists; residuals are coded by subspace. A label's vectors are dealt into
+as many lists as their number asks for: there is a quantiser for each power of two of lists, and a label takes the one of
+its size. A vector probes every list in which a vector within the threshold's distance can lie, holds its distances to the
+codes, looked up by subspace, against what the codes' own errors allow, and only what is left is compared by exact cosine.
+The bounds are exact, so no link is lost; the sample that centroids and codebooks are fitted on decides the cost alone.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import components, partitions, sized_broadcast, stored
+from lodestack.llm.common import components, parts_for, sized_broadcast, stored
 
 #: Vectors that centroids and codebooks are fitted on at most: those whose hashes are smallest.
 SAMPLE = 20_000
-#: Vectors for each list that is made, lists at most, list entries that one piece of work holds, subspaces and their codes.
-FOR_A_LIST, MOST_LISTS, BLOCK, SUBSPACES, CODES = 2_000, 1_024, 1_024, 8, 64
-#: Rows of list sizes that are broadcast at most.
-SIZES_SENT = 100_000
+#: Vectors for each list of a label, lists at most, list entries that one piece of work holds, subspaces and their codes.
+FOR_A_LIST, MOST_LISTS, BLOCK, SUBSPACES, CODES = 2_000, 1_024, 4_096, 8, 64
+#: Rows of label or list sizes that are broadcast at most, and rows of a part of the work.
+SIZES_SENT, IN_A_PART = 100_000, 200_000
 TOLERANCE = 1e-6
 
 
@@ -109,7 +110,7 @@ def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         column = fresh
 
 
-def _links(rows: DataFrame, quantiser: Quantiser, cosine: float, dtype: str) -> DataFrame:
+def _links(rows: DataFrame, quantisers: list[Quantiser], cosine: float, dtype: str) -> DataFrame:
     """Rows (id, other, links): partial sums of links, and edges enough to tell what hangs together."""
     radius = math.sqrt(2 - 2 * cosine)
 
@@ -117,7 +118,7 @@ def _links(rows: DataFrame, quantiser: Quantiser, cosine: float, dtype: str) ->
         unit_of = None
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            label, cell, block, query, own, ids, n, error = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "cell", "block", "query", "own", "id", "n", "error"))
+            label, level, cell, block, query, own, ids, n, error = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "level", "cell", "block", "query", "own", "id", "n", "error"))
             if not len(ids):
                 continue
             x = unit(np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype).reshape(len(ids), -1))
@@ -136,7 +137,7 @@ def _links(rows: DataFrame, quantiser: Quantiser, cosine: float, dtype: str) ->
                     continue
                 for at in range(s, e, 512):
                     q = slice(at, min(e, at + 512))
-                    near = quantiser.lower_bounds(x[q], int(cell[s]), held["codes"], held["error"]) <= radius + TOLERANCE
+                    near = quantisers[level[s]].lower_bounds(x[q], int(cell[s]), held["codes"], held["error"]) <= radius + TOLERANCE
                     # A pair of one list would meet twice; of two lists only the first one's vectors are queries.
                     near &= ~own[q][:, None] | (ids[q][:, None] < held["ids"][None])
                     i, j = np.nonzero(near)
@@ -157,18 +158,19 @@ def _links(rows: DataFrame, quantiser: Quantiser, cosine: float, dtype: str) ->
     return rows.mapInArrow(compared, "id long, other long, links long")
 
 
-def _indexed(vectors: DataFrame, quantiser: Quantiser, cosine: float, dtype: str) -> DataFrame:
-    """``vectors`` (id, label, n, vector) with their list, codes, error and the lists that they probe."""
+def _indexed(vectors: DataFrame, quantisers: list[Quantiser], cosine: float, dtype: str) -> DataFrame:
+    """``vectors`` (id, label, n, level, vector) with their list, codes, error and the lists that they probe."""
     radius = math.sqrt(2 - 2 * cosine)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype).reshape(batch.num_rows, -1))
-            cell, codes, error, probes = quantiser.coded(x, radius)
-            more = [pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "cell", "code", "error", "probes"])
+            levels = batch.column("level").to_numpy()
+            for level in np.unique(levels):
+                rows = batch.take(pa.array(np.flatnonzero(levels == level)))
+                x = unit(np.frombuffer(b"".join(rows.column("vector").to_pylist()), dtype).reshape(rows.num_rows, -1))
+                cell, codes, error, probes = quantisers[level].coded(x, radius)
+                more = [pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "cell", "code", "error", "probes"])
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
     return vectors.mapInArrow(indexed, f"{columns}, cell int, code binary, error double, probes array<int>")
@@ -187,7 +189,9 @@ def link(table: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", embeddi
     v = F.col("embedding")
     double = dict(table.dtypes)[embedding] == "array<double>"
     real, dtype = ("double", "<f8") if double else ("float", "<f4")
-    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{real}>").alias("embedding"), F.col(label).cast("int").alias("label"))
+    whole = dict(table.dtypes)[label] in ("tinyint", "smallint", "int", "bigint")
+    label_key = F.when(F.col(label).isNotNull(), F.col(label).cast("long") if whole else F.xxhash64(label))
+    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{real}>").alias("embedding"), label_key.alias("label"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")).cast(real)))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one number, so equal vectors have one hash.
@@ -203,23 +207,29 @@ def link(table: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", embeddi
 
     distinct = rows.where("good").groupBy("id").agg(F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"))
     distinct = stored(distinct, "distinct-vectors")
-    vectors = stored(distinct.select("id", "embedding", "label", "n").mapInArrow(packed, "id long, label int, n long, dim int, vector binary"), "vectors")
+    vectors = stored(distinct.select("id", "embedding", "label", "n").mapInArrow(packed, "id long, label long, n long, dim int, vector binary"), "vectors")
     found = None
     for dim, many in sorted((r["dim"], r["count"]) for r in vectors.groupBy("dim").count().collect()):
         own = vectors.where(F.col("dim") == dim).drop("dim")
         sample = own.orderBy(F.xxhash64("id"), "id").select("vector").limit(SAMPLE).collect()
         x = unit(np.frombuffer(b"".join(r[0] for r in sample), dtype).reshape(len(sample), dim))
-        quantiser = Quantiser.fit(x, min(MOST_LISTS, 1 + many // FOR_A_LIST))
-        indexed = stored(_indexed(own, quantiser, cosine, dtype), "indexed-vectors")
+        # A label of m vectors takes the quantiser of 2 ** level lists, the power of two next to its number of lists.
+        level = F.least(F.floor(F.log2(1 + F.col("count") / FOR_A_LIST) + 0.5), F.lit(int(math.log2(MOST_LISTS)))).cast("int")
+        levels = stored(own.groupBy("label").count().select("label", level.alias("level")), "label-levels")
+        top = levels.agg(F.max("level"), F.count(F.lit(1))).first()
+        quantisers = [Quantiser.fit(x, 1 << k) for k in range(top[0] + 1)]
+        indexed = stored(_indexed(own.join(sized_broadcast(levels, top[1], SIZES_SENT), "label"), quantisers, cosine, dtype), "indexed-vectors")
         sizes = stored(indexed.groupBy("label", "cell").count().select("label", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "list-sizes")
         sizes = sized_broadcast(sizes, sizes.count(), SIZES_SENT)
-        common = ["label", "cell", "block", "query", "own", "id", "n", "vector", "code", "error"]
+        common = ["label", "level", "cell", "block", "query", "own", "id", "n", "vector", "code", "error"]
         entries = indexed.drop("probes").join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         entries = entries.withColumns({"query": F.lit(False), "own": F.lit(True)}).select(*common)
         asked = indexed.withColumn("probe", F.explode("probes")).withColumn("own", F.col("cell") == F.col("probe")).drop("cell", "probes").withColumnRenamed("probe", "cell")
-        asked = asked.join(sizes, ["label", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True)).select(*common)
-        work = entries.unionByName(asked).repartition(partitions(table.sparkSession), "label", "cell", "block").sortWithinPartitions("label", "cell", "block", "query", "id")
-        links = stored(_links(work, quantiser, cosine, dtype), "vector-links")
+        asked = asked.join(sizes, ["label", "cell"])
+        parts = parts_for(table.sparkSession, many + (asked.agg(F.sum("blocks")).first()[0] or 0), IN_A_PART)
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True)).select(*common)
+        work = entries.unionByName(asked).repartition(parts, "label", "cell", "block").sortWithinPartitions("label", "cell", "block", "query", "id")
+        links = stored(_links(work, quantisers, cosine, dtype), "vector-links")
         found = links if found is None else found.unionByName(links)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
