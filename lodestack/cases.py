@@ -6,6 +6,7 @@ What each must give was worked out by hand from the rules and stands as the VALU
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import split, tables
 from lodestack.functions import text as T
-from lodestack.operators import extract
+from lodestack.operators import evaluate, extract, retrieval
 from lodestack.operators.chunk import BLOCK, ChunkSettings, attributes, chunk_documents, sections, title_paths
+from lodestack.plans.service import CASE, Service, ServiceError
 from lodestack.sources import forms, items
+from lodestack.sources.shared import own_dir
+from lodestack.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -334,3 +338,116 @@ def stored_documents(spark):
     """Stored text read back: metadata that isn't an object is null, a missing report counts nothing."""
     df = _of(spark, [('[{"type": "title"}]', '{"element_count": 3}', '{"a": "é"}'), (None, None, "[1]")], "blocks string, extract_report string, metadata string")
     return forms.extracted_of(df).select("id", F.col("metadata").alias("told"), F.size("blocks").alias("n"), F.col("extract_report.element_count").alias("elements"))
+
+
+@case("doc_id VARCHAR, pages INT", ("f", 3), ("p", 3))
+def page_counts(spark):
+    """One more than the highest page; pages that are negative don't count."""
+    return extract.page_counts(_items(spark)).select("doc_id", F.col("page_count").cast("int").alias("pages"))
+
+
+@case("doc_id VARCHAR", ("x",))
+def empty_extractions(spark):
+    """Documents of which nothing is left."""
+    rows = [("x", [{"type": "text", "text": "short english line"}, {"type": "image"}]), ("y", [{"type": "text", "text": "留下的正文内容。"}])]
+    told = spark.createDataFrame([(d, json.dumps(v)) for d, v in rows], "doc_id string, json string")
+    return extract.empty_documents(extract.extract(items.items_of(told))[0])
+
+
+@case("id INT, at INT, piece VARCHAR",
+      (0, 0, "一" * 24 + "。"), (0, 1, "。" + "二" * 29), (0, 2, "二" * 21), (1, 0, "三" * 24 + "，"), (1, 1, "三" * 20), (2, 0, "四" * 30), (2, 1, "四" * 22), (3, 0, "五" * 30 + "五" * 10))
+def window_cuts(spark):
+    """A strong mark in the second half ends a window, else a weak one, else its length; windows overlap, a short tail is glued on."""
+    values = [("一" * 24 + "。" + "二" * 49, 30, 1), ("三" * 24 + "，" + "三" * 20, 30, 0), ("四" * 52, 30, 0), ("五" * 40, 30, 0)]
+    df = _of(spark, values, "x string, size int, overlap int")
+    return df.select("id", F.posexplode(_by_row(split.windows, "array<string>", "x", "size", "overlap")).alias("at", "piece"))
+
+
+# ---- Retrieval, evaluation and the service ----
+
+CHUNKS = [("1", "d1", 0, "alpha beta gamma", "law", ["rd"], '{"level": 2}', "AB"), ("2", "d1", 1, "alpha delta", "law", ["rd", "ops"], None, "CD"), ("3", "d2", 0, "omega psi", None, ["rd"], '{"level": true, "x": null}', "EF")]
+
+
+def _chunks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CHUNKS, "chunk_id string, doc_id string, chunk_index int, chunk_text string, category string, access_group array<string>, metadata string, content_hash string")
+
+
+@case("filters VARCHAR, found VARCHAR", ("{}", "1,2,3"), ('{"category": "law"}', "1,2"), ('{"category": null}', "3"), ('{"level": 2.0}', "1"), ('{"level": 1}', "3"), ('{"x": null}', "1,2,3"),
+      ('{"access_group": ["rd"]}', "1,3"), ('{"access_group": ["rd"], "doc_id": "d1"}', "1"), ('{"absent": 0}', None), ('{"chunk_index": 0, "level": true}', "3"))
+def filter_cases(spark):
+    """All names must fit: columns first, then metadata; a missing one equals null, numbers equal truth values, lists a whole list."""
+    asked = [json.dumps(f) for f in ({}, {"category": "law"}, {"category": None}, {"level": 2.0}, {"level": 1}, {"x": None}, {"access_group": ["rd"]}, {"access_group": ["rd"], "doc_id": "d1"}, {"absent": 0}, {"chunk_index": 0, "level": True})]
+    df, chunks = spark.createDataFrame([(a,) for a in asked], "filters string"), _chunks(spark)
+    fit = F.when(retrieval.fits(retrieval.filters_of(F.col("filters")), retrieval.values_of(chunks.columns)), F.col("chunk_id"))
+    found = chunks.join(F.broadcast(df)).groupBy("filters").agg(F.array_join(F.array_sort(F.collect_list(fit)), ",").alias("found"))
+    return found.select("filters", F.nullif("found", F.lit("")).alias("found"))
+
+
+@case("case_id VARCHAR, ids VARCHAR", ("both", "1"), ("doc", "2"), ("hash", "3"), ("order", "3,1,2"))
+def evidence_cases(spark):
+    """A key's document, if named, and its hash in any case or its anchor must fit; keys come in order, then documents and places."""
+    keys = [("both", 0, " beta ", "d1", "ef"), ("doc", 0, "delta", "d1", None), ("doc", 1, "delta", "d2", None), ("hash", 0, None, None, " eF "), ("order", 0, "psi", None, None), ("order", 1, "alpha", None, None), ("order", 2, "psi", None, None)]
+    keys = spark.createDataFrame(keys, "case_id string, key_pos int, anchor_text string, doc_id string, content_hash string")
+    return evaluate.resolved_ids(evaluate.evidence_pairs(keys, _chunks(spark))).select("case_id", F.array_join("resolved", ",").alias("ids"))
+
+
+@case("case_id VARCHAR, hit INT, recall DOUBLE, mrr DOUBLE",
+      ("ids", 1, 0.5, 0.5), ("words", 1, 0.0, 1.0), ("all", 0, 0.0, 0.0), ("either", 1, 0.0, 1.0), ("negative", 1, 0.0, 0.0), ("shown", 0, 0.0, 0.0), ("nothing", 0, 0.0, 0.0), ("vacuous", 1, 0.0, 0.0))
+def score_cases(spark):
+    """Ids or words make a row relevant; a negative case hits if none is, and has neither recall nor rank."""
+    rows = [("ids", ["3", "9"], None, "any", True), ("words", None, ["ALPHA"], "any", True), ("all", None, ["alpha", "zeta"], "all", True), ("either", ["9"], ["beta", "zeta"], "any", True),
+            ("negative", ["9"], None, "any", False), ("shown", ["1"], None, "any", False), ("nothing", ["1"], None, "any", True), ("vacuous", None, None, "any", False)]
+    cases = spark.createDataFrame(rows, "case_id string, relevant_chunk_ids array<string>, expected_keywords array<string>, keyword_match_mode string, expect_hit boolean")
+    found = [(c[0], rank, i, CHUNKS[int(i) - 1][3]) for c in rows if c[0] != "nothing" for rank, i in ((1, "1"), (2, "3"))]
+    return evaluate.score_cases(cases, spark.createDataFrame(found, "case_id string, rank int, chunk_id string, chunk_text string")).drop("n_retrieved")
+
+
+def _service(spark: SparkSession) -> Service:
+    service = Service(spark, Store(spark, f"{own_dir(spark)}/service-{uuid.uuid4().hex}"), min_score=0.0)
+    service.store.replace("chunks", _chunks(spark).drop("content_hash"), "doc_id")
+    return service
+
+
+@case("case_id VARCHAR, hit INT, recall DOUBLE, mrr DOUBLE, ids VARCHAR, size INT, top_k INT", ("a", 1, 1.0, 1.0, "1", 3, 2), ("b", 0, 0.0, 0.0, "3", 3, 2), ("c", 1, 0.0, 0.0, "3", 3, 2))
+def service_eval(spark):
+    """A run over three cases with their filters, joined to its items: evidence, words, and a negative case."""
+    service = _service(spark)
+    service.build_index([])
+    rows = [("a", "alpha beta gamma", None, None, [("beta", None, None)], "any", 1, True, True, '{"level": 2}'), ("b", "omega", None, ["alpha"], None, "any", 2, True, True, '{"doc_id": "d2"}'),
+            ("c", "omega", None, ["alpha"], None, None, 2, True, False, '{"doc_id": "d2"}'), ("off", "x", ["1"], None, None, "any", None, False, True, None)]
+    service.upsert_cases(spark.createDataFrame(rows, CASE).withColumn("at", F.lit(0)), "at")
+    run = service.run_eval()
+    told = run.join(service.run_items(run.first()["run_id"]).drop("latency_ms"), "run_id")
+    return told.select("case_id", "hit", "recall", "mrr", F.array_join("retrieved_chunk_ids", ",").alias("ids"), F.col("dataset_size").cast("int").alias("size"), "top_k")
+
+
+@case("query_text VARCHAR, top_k INT, before_filter INT, after_filter INT, filters_applied BOOLEAN, is_empty_recall BOOLEAN, error_code VARCHAR",
+      ("alpha", 3, 0, 0, False, True, "INDEX_NOT_READY"), ("alpha", 1, 3, 1, True, False, None), ("alpha", 2, 3, 0, True, True, None))
+def service_log(spark):
+    """A query before the index is built, one that finds a row, and one whose filter leaves none."""
+    service, asked = _service(spark), spark.createDataFrame([("q", "alpha")], "query_id string, query_text string")
+    try:
+        service.query(asked)
+    except ServiceError:
+        service.build_index()
+    service.query(asked, 1, {"category": "law"})
+    service.query(asked, 2, {"category": "none"})
+    count = lambda c: F.col(f"retrieved_{c}").cast("int").alias(c)
+    return service.store.read("query_logs").select("query_text", "top_k", count("before_filter"), count("after_filter"), "filters_applied", "is_empty_recall", "error_code")
+
+
+@case("freeze_label VARCHAR, docs INT, chunks INT, version VARCHAR, doc_id VARCHAR, chunk_index INT, preview VARCHAR",
+      ("all", 2, 3, None, "d1", 0, "alpha beta gamma"), ("all", 2, 3, None, "d1", 1, "alpha delta"), ("all", 2, 3, None, "d2", 0, "omega psi"), ("one", 1, 1, "v2", "d2", 0, "omega psi"))
+def service_freezes(spark):
+    """Heads of snapshots joined to their first items."""
+    service = _service(spark)
+    told = [service.freeze_detail(service.freeze(*a)) for a in (("all",), (" one ", ["d2"], None, "v2"))]
+    parts = [head.join(rows, "freeze_id").select("freeze_label", F.col("doc_count").cast("int").alias("docs"), F.col("chunk_count").cast("int").alias("chunks"), F.col("pipeline_version").alias("version"), "doc_id", "chunk_index", "preview") for head, rows in told]
+    return parts[0].unionByName(parts[1])
+
+
+@case("extracted_documents INT, chunked_documents INT, chunks INT, index_ready BOOLEAN", (0, 2, 3, True))
+def service_health(spark):
+    service = _service(spark)
+    service.build_index()
+    return service.health().select(*(F.col(c).cast("int").alias(c) for c in ("extracted_documents", "chunked_documents", "chunks")), "index_ready")

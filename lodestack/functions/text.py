@@ -96,12 +96,22 @@ def is_watermark(text: Column) -> Column:
     return found
 
 
-def is_suffix_copy(before: Column, text: Column) -> Column:
+def repeats_end(before: str, text: str) -> bool:
     """Equal to the text before it, or its end and so much shorter that it is a leftover."""
-    m, n = F.length(before), F.length(text)
-    ends = F.endswith(before, text) & (n < m)
-    left = (n <= F.greatest(F.floor(m / 2), F.lit(8))) | ((n < 40) & (n < m * 0.6))
-    return (text != "") & (before != "") & ((text == before) | (ends & left))
+    m, n = len(before), len(text)
+    if not m or not n or not before.endswith(text):
+        return False
+    return n == m or n <= max(m // 2, 8) or (n < 40 and n < 0.6 * m)
+
+
+def is_suffix_copy(before: Column, text: Column) -> Column:
+    """``repeats_end`` of two columns."""
+
+    @F.arrow_udf("boolean")
+    def each(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if None in r else repeats_end(*r) for r in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+
+    return each(before, text)
 
 
 def token_count(text: Column) -> Column:

@@ -50,24 +50,33 @@ def _worked_out(nodes: DataFrame, **columns: Column) -> DataFrame:
     return nodes.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
 
 
+def _suffix_copies(types: list[str], texts: list[str], dropped: list[str | None]) -> list[bool]:
+    """For each node of a document in order whether it repeats the end of the last text kept before it; tables begin anew."""
+    last, out = "", []
+    for kind, text, gone in zip(types, texts, dropped, strict=True):
+        copy = gone is None and kind != "table" and T.repeats_end(last, text)
+        out.append(copy)
+        if gone is None and not copy:
+            last = "" if kind == "table" else text
+    return out
+
+
 def _without_suffix_copies(nodes: DataFrame) -> DataFrame:
-    """Marks a text that repeats the end of the last text kept before it; tables begin anew.
+    """Marks a text that repeats the end of the last text kept before it.
 
-    What was kept decides about what comes next, so a document's short list of texts is folded in order.
+    What was kept decides about what comes next, so a document's nodes are gathered, folded in order, and dealt out again.
     """
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<pos:bigint,sub:int>>").alias("gone"))
 
-    def step(acc: Column, x: Column) -> Column:
-        copy = (x["type"] != "table") & T.is_suffix_copy(acc["last"], x["text"])
-        last = F.when(x["type"] == "table", "").when(copy, acc["last"]).otherwise(x["text"])
-        gone = F.when(copy, F.concat(acc["gone"], F.array(F.struct(x["pos"].cast("bigint").alias("pos"), x["sub"].alias("sub"))))).otherwise(acc["gone"])
-        return F.struct(last.alias("last"), gone.alias("gone"))
+    @F.arrow_udf("array<boolean>")
+    def copies(types: pa.Array, texts: pa.Array, dropped: pa.Array) -> pa.Array:
+        rows = zip(types.to_pylist(), texts.to_pylist(), dropped.to_pylist(), strict=True)
+        return pa.array([_suffix_copies(*r) for r in rows], pa.list_(pa.bool_()))
 
-    there = nodes.where("dropped is null")
-    of = there.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "type", "text"))).alias("all"))
-    gone = of.select("doc_id", F.explode(F.aggregate("all", start, step, lambda acc: acc["gone"])).alias("g")).select("doc_id", "g.pos", "g.sub", F.lit(True).alias("copy"))
-    marked = nodes.join(gone, ["doc_id", "pos", "sub"], "left")
-    return marked.withColumn("dropped", F.coalesce("dropped", F.when(F.col("copy"), "fragment"))).drop("copy")
+    others = [c for c in nodes.columns if c not in ("doc_id", "pos", "sub")]
+    of = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", *others))).alias("n"))
+    told = of.select("doc_id", F.inline(F.arrays_zip("n", copies("n.type", "n.text", "n.dropped").alias("copy"))))
+    dropped = F.coalesce("n.dropped", F.when(F.col("copy"), "fragment")).alias("dropped")
+    return told.select(*(dropped if c == "dropped" else "doc_id" if c == "doc_id" else f"n.{c}" for c in nodes.columns))
 
 
 def with_copies(nodes: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def cleaned(nodes: DataFrame) -> DataFrame:
     df = nodes.withColumn("text", F.when(is_table, text).otherwise(T.nfkc(text)))
     df = df.withColumn("text", F.when(is_table, text).otherwise(T.tidied(text, F.col("type") == "title")))
     why = F.when(~left | is_table, F.col("dropped")).when(text == "", "element").when(T.is_fragment(text), "fragment").when(T.is_garbled(text), "garbled")
-    df = with_copies(_without_suffix_copies(settled(_worked_out(df, dropped=why), "nodes")))
+    df = with_copies(_without_suffix_copies(_worked_out(df, dropped=why)))
     why = F.when(~left, F.col("dropped")).when(is_table, F.when(T.is_poor_table(text), "table"))
     why = why.when(F.col("copies") >= 2, "element").when(T.is_contents_line(text) | T.is_watermark(text), "element")
     kind = F.when((F.col("type") == "paragraph") & T.is_list_line(text), "list_item").otherwise(F.col("type"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.functions import tables
 from lodestack.functions import text as T
 
 
@@ -62,6 +63,5 @@ def test_access_groups(spark):
     assert [r[0] for r in df.select(T.access_groups(F.col("g"))).collect()] == [["ops"], ["rd"], ["rd"]]
 
 
-def test_rows_of_a_width(spark):
-    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],)], "c array<string>")
-    assert [r[0] for r in df.select(T.row_of_width(F.col("c"), F.lit(2))).collect()] == [["a", "b"], ["a", ""]]
+def test_rows_of_a_width():
+    assert [tables._line(cells, 2) for cells in (["a", "b", "c"], ["a"], ["x|y\n z", "b"])] == ["| a | b |", "| a |  |", "| x\\|y z | b |"]
