@@ -147,7 +147,9 @@ def scan(docs: DataFrame, owner: Column, repository: Column, text: str = "text",
     told = some.join(flags, "list", "left").unionByName(marked.where("list is null").withColumn("flags", F.lit(None).cast("array<struct<at:int,live:boolean>>")))
     live = lambda spans, first: F.transform(spans, lambda x, k: F.struct(x["start"], x["kind"], x["end"], x["hash"], F.col("flags")[k + first]["live"].alias("live")))
     base, mixed = live(F.col("base"), F.lit(0)), F.filter(live(F.col("mixed"), F.size("base")), lambda x: x["live"])
-    return told.select("row.*", F.sort_array(F.concat(base, mixed)).alias("spans"), base.alias("base"))
+    # Only then the own columns come out: a name in a lambda could be taken for one of theirs.
+    told = told.select("row", F.sort_array(F.concat(base, mixed)).alias("spans"), base.alias("base"))
+    return told.select("row.*", "spans", "base")
 
 
 def written(spans: Column) -> Column:

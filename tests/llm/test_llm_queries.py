@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestack.llm import ngram_join, quality_rules, queries
+from lodestack.llm import bpe, ngram_join, quality_rules, queries
 
 DIR = "/root/testdata/sf0.001"
 ROWS = {"op1_url_filters": "pages", "op5_embedding_dedup": "embeddings", "op7_warc": "pages"}
@@ -47,3 +52,39 @@ def test_pipeline(spark):
     last = stages[names[4]](spark, mixed, DIR)
     assert last.count() == mixed.count()
     assert sorted(map(tuple, corpus_pipeline.run(spark, DIR).collect())) == sorted(map(tuple, last.collect()))
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """On a small corpus of known parts the stages keep, drop, mask and copy what they must."""
+    rnd = random.Random(2)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("n", "rt", "sp", "m")]
+    prose = lambda n=90: " ".join(rnd.choice(words) for _ in range(n))
+    bodies = [prose() for _ in range(40)]
+    texts = {i: t for i, t in enumerate(bodies)}
+    texts |= {100: "too short", 101: "again and again " * 40, 102: None}  # the base rules reject these
+    texts |= {200 + i: bodies[i] for i in range(5)} | {300 + i: bodies[i] + f" {words[i]}" for i in range(5)}  # copies and near copies
+    key = "aB3" + "".join(rnd.choice("abcDEF456") for _ in range(30))
+    texts |= {400: prose() + f" {key} end", 401: prose() + " password=hunter2hunter2"}
+    rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet").select(*corpus_pipeline.COLUMNS), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        seen[name] = docs.collect()
+    ids = lambda name: sorted(r.doc_id for r in seen[name])
+    rules, join, secrets, mix, encode = (n for n, _ in corpus_pipeline.STAGES)
+    assert ids(rules) == sorted(i for i in texts if i not in (100, 101, 102))
+    assert ids(join) == ids(secrets) == [*range(40), 400, 401]
+    masked = {r.doc_id: r.text for r in seen[secrets]}
+    assert masked[400] == texts[400].replace(key, "[SECRET]") and masked[401] == texts[401].replace("password=hunter2hunter2", "[SECRET]")
+    assert all(masked[i] == bodies[i] for i in range(40)) and all(r.n_chars == len(r.text) for r in seen[secrets])
+    # Two sources weigh 5 and 2: so many of their words, up to three times each, make up the sum of all.
+    size = lambda source, name: sum(len(r.text.split(" ")) for r in seen[name] if r.source == source)
+    total = size("s0", secrets) + size("s1", secrets)
+    assert abs(size("s0", mix) - 5 / 7 * total) <= 95 and abs(size("s1", mix) - 2 / 7 * total) <= 95
+    assert {r.text for r in seen[mix]} <= set(masked.values())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.rank_file(queries.RANKS).ranks, special_tokens={})
+    want = sorted((r.doc_id, len(library.encode_ordinary(r.text)), hashlib.sha256(r.text.encode()).hexdigest()) for r in seen[mix])
+    assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in seen[encode]) == want
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, seen[encode]))
