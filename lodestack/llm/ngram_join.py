@@ -27,11 +27,11 @@ from lodestack.llm.shingles import mixed, shingle_sets
 #: of them have is listed last, and that many such shingles are held by a task; that only orders keys, no link hangs on it.
 SAMPLE, SHARE, FREQUENT, MOST_FREQUENT = 8_000, 64, 6, 500_000
 #: Sets under one key that one task compares with each other, bytes of their parities, and sets that a stretch of texts hands on one by one.
-BLOCK, BLOCK_BYTES, RUN = 1_024, 16 << 20, 16
+BLOCK, BLOCK_BYTES, RUN = 256, 16 << 20, 16
 #: Shingles of all documents for each part that keys are dealt into, about half a key of 28 bytes each, and rows of a part of pairs.
 FOR_A_PART, IN_A_PART = 16_000_000, 500_000
-#: Ids, or keys with their smallest sets, that are broadcast at most (8 or 16 bytes each); more are joined by a shuffle.
-IDS_SENT = 500_000
+#: Ids of documents that are broadcast at most (8 bytes each), and keys (16 bytes each); more are joined by a shuffle.
+IDS_SENT, KEYS_SENT = 500_000, 50_000
 _COUNTED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -270,9 +270,9 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def _with_lows(shared: DataFrame) -> DataFrame:
     """(key, set, low) with the smallest set of each whole key: that of the rows that met each other."""
     hot = stored(shared.where("whole").select("key").distinct(), "hot-keys")
-    met = shared.where("key <> 0 and not whole").join(sized_broadcast(hot, hot.count(), IDS_SENT), "key", "left_semi")
+    met = shared.where("key <> 0 and not whole").join(sized_broadcast(hot, hot.count(), KEYS_SENT), "key", "left_semi")
     lows = stored(met.groupBy("key").agg(F.min("low").alias("least")), "key-lows")
-    few = shared.where("key <> 0").join(sized_broadcast(lows, lows.count(), IDS_SENT), "key", "left")
+    few = shared.where("key <> 0").join(sized_broadcast(lows, lows.count(), KEYS_SENT), "key", "left")
     return few.select("key", "set", F.coalesce("least", "low").alias("low")).unionByName(shared.where("key = 0").select("key", "set", "low"))
 
 
@@ -286,7 +286,7 @@ def _unsettled(lists: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFram
     told = sets.join(joined.select(F.col("node").alias("set"), F.col("component").alias("joined")), "set", "left").select("set", "n", "parity", F.coalesce("joined", "set").alias("joined"))
     rows = lists.where("key <> 0").join(told.select("set", "joined"), "set")
     open_ = stored(rows.groupBy("key").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).where("lo <> hi").select("key"), "open-keys")
-    members = lists.join(sized_broadcast(open_, open_.count(), IDS_SENT), "key", "left_semi").select("low", "set").distinct()
+    members = lists.join(sized_broadcast(open_, open_.count(), KEYS_SENT), "key", "left_semi").select("low", "set").distinct()
     members = stored(members.join(told, "set"), "open-sets")
     blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("parity")) / BLOCK_BYTES)
     counts = stored(members.groupBy("low").agg(F.count(F.lit(1)).alias("m"), F.ceil(blocks).cast("int").alias("k")), "open-lows")
@@ -367,7 +367,7 @@ def join(docs: DataFrame) -> DataFrame:
     joined = components(edges(links))
     more = _verified(docs, sets, _unsettled(lists, sets, joined))
     joined = stored(components(edges(links.union(more))), "components")
-    lows = joined.join(sets.select("set", "doc_id"), F.col("node") == F.col("set")).groupBy("component").agg(F.min("doc_id").alias("low"))
+    lows = stored(joined.join(sets.select("set", "doc_id"), F.col("node") == F.col("set")).groupBy("component").agg(F.min("doc_id").alias("low")), "component-lows")
     of_set = sets.join(joined, F.col("set") == F.col("node"), "left").join(lows, "component", "left").select("set", F.coalesce("low", "doc_id").alias("component_id"))
     of_set = stored(of_set, "set-components")
     some = every.where("n > 0 and doc_id is not null").join(of_set, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("set").alias("set_id"))
