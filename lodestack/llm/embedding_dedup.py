@@ -236,7 +236,7 @@ def link(table: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", embeddi
     joined = components(found.select(F.col("id").alias("src"), F.col("other").alias("dst")))
     of = distinct.select("id", "n", "low").join(joined, F.col("id") == F.col("node"), "left").join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
     of = stored(of.select("id", "n", "low", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "vector-components")
-    lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
+    lows = stored(of.groupBy("component").agg(F.min("low").alias("component_id")), "component-lows")
     of = stored(of.join(lows, "component").select("id", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component_id"), "linked-vectors")
     some = rows.where("good").select("vec_id", "id").join(of, "id").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     rest = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
