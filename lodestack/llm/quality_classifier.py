@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).cast(pa.int32())], ["x", "y"])
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
-    rows = texts.select("text", "quality").mapInArrow(measured, "x binary, y int").orderBy("x", "y").collect()
+    # A row for each labelled id, put in order here, so that the trees don't hang on how rows arrive.
+    rows = sorted(texts.select("text", "quality").mapInArrow(measured, "x binary, y int").collect(), key=lambda r: (bytes(r["x"]), r["y"]))
     x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(len(rows), len(STATISTICS))
     return Trees.fit(x, np.array([r["y"] for r in rows], np.float64))
 
