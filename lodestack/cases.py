@@ -56,7 +56,7 @@ def _of(spark: SparkSession, values: list, schema: str = "x string") -> DataFram
 
 
 def _by_row(function: Callable, returns: str, *columns: str) -> Column:
-    return F.udf(function, returns)(*columns)
+    return F.udf(lambda *row: function(*row), returns)(*columns)
 
 
 # ---- Text ----
