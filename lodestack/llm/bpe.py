@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import others
+from lodestack.llm.common import others, quoted
 
 #: Pieces that a worker remembers of late, pairs of neighbours whose boundary it has judged, and characters taken at once.
 PIECES = 150_000
@@ -332,4 +332,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
         return pa.StructArray.from_arrays([ids, _decode(ids, ranks_path)], ["ids", "decoded"])
 
     kept = others(docs, ["ids", "decoded"])
-    return docs.select(F.struct(*kept).alias("row"), both(F.col(text)).alias("both")).select("row.*", "both.ids", "both.decoded")
+    return docs.select(F.struct(*quoted(kept)).alias("row"), both(F.col(text)).alias("both")).select("row.*", "both.ids", "both.decoded")

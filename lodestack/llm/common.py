@@ -30,6 +30,11 @@ def others(df: DataFrame, own: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Names as Spark takes them for one column each, whatever they hold."""
+    return [f"`{c.replace('`', '``')}`" for c in columns]
+
+
 def hashable(df: DataFrame, columns: list[str]) -> list[str]:
     """Those of ``columns`` that Spark can hash."""
     return [c for c in columns if not any(t in df.schema[c].dataType.simpleString() for t in ("map<", "variant"))]

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import SPACE, hashable, others, parts_for, stored
+from lodestack.llm.common import SPACE, hashable, others, parts_for, quoted, stored
 
 # Weights of the sources in order, repeating; what a source may be repeated at most.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[flo
     kept = others(docs, own)
     words_of = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     # The table's own columns stand in one struct, so that none can clash with a name used here.
-    df = docs.select(F.struct(*kept).alias("row"), F.col(source).alias("source"), words_of.alias("size"), F.xxhash64(*sorted(hashable(docs, kept))).alias("order"))
+    df = docs.select(F.struct(*quoted(kept)).alias("row"), F.col(source).alias("source"), words_of.alias("size"), F.xxhash64(*quoted(sorted(hashable(docs, kept)))).alias("order"))
     sizes = stored(df.select("source", "size", "order"), "sizes")
     rows = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "source-sizes")
     most_rows = rows.agg(F.max("n")).first()[0] or 0
@@ -118,12 +118,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[flo
     return told.select("row.*", *own)
 
 
+def ranked(ordered: DataFrame) -> DataFrame:
+    """``ordered``, as ``training_order`` gives it, with ``place``: each copy's from 1 on in the whole order. Stored.
+
+    A copy's place is that in its range after the sizes of the ranges before, of which the driver holds one number each.
+    """
+    rows = stored(ordered.withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "training-order")
+    before, total = {}, 0
+    for r in rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).orderBy("range").collect():
+        before[r["range"]] = total - r["first"]
+        total += r["n"]
+    if not before:
+        return rows.withColumn("place", F.lit(0).cast("long")).drop("range", "at")
+    shift = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("range"))
+    return rows.withColumn("place", (F.col("at") + shift + 1).cast("long")).drop("range", "at")
+
+
 def training_order(mixed: DataFrame, rows: int = 0) -> DataFrame:
     """A row for each copy in ``mixed`` with its ``position``, range-sorted by it; ties stand in an order by hash.
 
     ``rows``, about how many rows ``mixed`` has, tells how many ranges there are: one for ``IN_A_PART`` of them.
     """
     own = ["source_size", "target", "copies", "taken", "positions", "position"]
-    copies = mixed.select(*others(mixed, own), F.explode("positions").alias("position"))
-    order = ["position", F.xxhash64(*hashable(mixed, others(mixed, own)))]
+    copies = mixed.select(*quoted(others(mixed, own)), F.explode("positions").alias("position"))
+    order = ["position", F.xxhash64(*quoted(hashable(mixed, others(mixed, own))))]
     return copies.repartitionByRange(parts_for(mixed.sparkSession, rows, IN_A_PART), *order).sortWithinPartitions(*order)

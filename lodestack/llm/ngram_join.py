@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import components, parts_for, sized_broadcast, stored
@@ -118,17 +118,22 @@ def _runs(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, members, starts, np.diff(np.append(starts, len(keys)))
 
 
+def text_id() -> Column:
+    """Tells texts of one document apart."""
+    return F.xxhash64("text").alias("text_id")
+
+
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set (its identity) and parity of every document."""
+    """doc_id, text_id (a hash of the text), n, set (its identity) and parity of every document."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for h, n in shingle_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n), pa.array(identities(h, n)), pa.array(parities(h, n), pa.binary())], ["doc_id", "n", "set", "parity"])
+            for h, n in shingle_sets(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(n)) for k in (0, 1)), pa.array(n), pa.array(identities(h, n)), pa.array(parities(h, n), pa.binary())], ["doc_id", "text_id", "n", "set", "parity"])
                 at += len(n)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(described, "doc_id long, n long, set long, parity binary")
+    return docs.select(F.col("doc_id").cast("long"), text_id(), "text").mapInArrow(described, "doc_id long, text_id long, n long, set long, parity binary")
 
 
 def _frequent(docs: DataFrame, many: int) -> np.ndarray:
@@ -347,11 +352,11 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and set_id of every row of ``docs`` (doc_id, text; other columns are left out).
+    """doc_id, n_shingles, component_id, set_id, group_id and text_id of every row of ``docs`` (doc_id, text; other columns are left out).
 
     Two documents link when 100 * intersection >= 75 * union of their sets; all links count, none are sampled or capped.
     ``component_id`` is the smallest doc_id reachable by links, a document's own if there are none; rows with one set
-    share ``set_id``. Texts without words and null texts have no shingles and link with nothing. Rows without doc_id
+    share ``set_id``, and sets that hang together ``group_id``, though ids may repeat. Texts without words and null texts have no shingles and link with nothing. Rows without doc_id
     link with nothing and have no component. Repeated rows come back each. Sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -368,8 +373,8 @@ def join(docs: DataFrame) -> DataFrame:
     more = _verified(docs, sets, _unsettled(lists, sets, joined))
     joined = stored(components(edges(links.union(more))), "components")
     lows = stored(joined.join(sets.select("set", "doc_id"), F.col("node") == F.col("set")).groupBy("component").agg(F.min("doc_id").alias("low")), "component-lows")
-    of_set = sets.join(joined, F.col("set") == F.col("node"), "left").join(lows, "component", "left").select("set", F.coalesce("low", "doc_id").alias("component_id"))
+    of_set = sets.join(joined, F.col("set") == F.col("node"), "left").join(lows, "component", "left").select("set", F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("component", "set").alias("group_id"))
     of_set = stored(of_set, "set-components")
-    some = every.where("n > 0 and doc_id is not null").join(of_set, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("set").alias("set_id"))
-    rest = every.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("set").alias("set_id"))
+    some = every.where("n > 0 and doc_id is not null").join(of_set, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("set").alias("set_id"), "group_id", "text_id")
+    rest = every.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("set").alias("set_id"), F.lit(None).cast("long").alias("group_id"), "text_id")
     return some.unionByName(rest)

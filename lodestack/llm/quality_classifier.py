@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import others
+from lodestack.llm.common import others, quoted
 from lodestack.llm.shingles import AT_ONCE, word_hashes
 
 #: Labelled documents that are learned from at most: those whose hashed ids are smallest.
@@ -171,5 +171,5 @@ def classify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
         return pa.array(trees.score(statistics(texts)))
 
     kept = others(docs, ["held_out", "score", "predicted"])
-    told = docs.select(*kept, held_out(F.col("doc_id")).alias("held_out"), score(F.col(text)).alias("score"))
+    told = docs.select(*quoted(kept), held_out(F.col("doc_id")).alias("held_out"), score(F.col(text)).alias("score"))
     return told.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

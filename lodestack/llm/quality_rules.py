@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WORD, others, stored
+from lodestack.llm.common import WORD, others, quoted, stored
 
 #: Labelled rows that are learned from at most: those whose hashed id is smallest.
 LABELLED = 20_000
-CONDITIONS, LEAST_COVERED, LEAST_PRECISION = 3, 5, 0.95
+LEAST_COVERED, LEAST_PRECISION = 5, 0.95
 #: Thresholds that are tried: quantiles of the rows of either label.
 QUANTILES = [k / 24 for k in range(1, 24)] + [0.005, 0.02, 0.98, 0.995]
 
@@ -60,7 +60,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<bigint>")
     mask = (1 << PLACE) - 1
     # The table's own columns stand in one struct, so that none can clash with a name used here.
-    df = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    df = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     df = df.withColumn("words", F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
     packed = F.transform(places, lambda i: F.shiftleft(F.xxhash64(w[i], w[i + 1], w[i + 2]), PLACE).bitwiseOR(i.cast("bigint")))
     df = df.withColumn("packed", F.when(F.size(w) >= 3, F.sort_array(packed)).otherwise(none))
@@ -156,14 +156,13 @@ def _gaining(groups: Groups, thresholds: dict[str, list[float]]) -> list[Conditi
 
 
 def _grow(groups: Groups, first: Condition, thresholds: dict[str, list[float]]) -> Rule:
-    """The conjunction that gains most from ``first`` on, a condition at a time."""
+    """The conjunction that gains most from ``first`` on, a condition at a time, as long as one gains."""
     rule = (first,)
-    while len(rule) < CONDITIONS:
+    while True:
         best = next(iter(_gaining(groups.where(groups.covered(rule, thresholds)), thresholds)), None)
         if best is None or best in rule:
-            break
+            return rule
         rule += (best,)
-    return rule
 
 
 def _prune(groups: Groups, rule: Rule, thresholds: dict[str, list[float]]) -> tuple[Rule, int, int]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import let, others, stored
+from lodestack.llm.common import let, others, quoted, stored
 
 # The kinds in order with their patterns, and the least length of what must be long enough.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -135,7 +135,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, text: str = "text",
     """
     kept = [c for c in others(docs, ["spans", "base"]) if keep_text or c != text]
     # The table's own columns stand in one struct, so that none can clash with a name used here.
-    marked = found(docs.select(F.struct(*kept).alias("row"), owner.alias("owner"), repository.alias("repository"), F.coalesce(F.col(text), F.lit("")).alias("body")), "body").drop("body")
+    marked = found(docs.select(F.struct(*quoted(kept)).alias("row"), owner.alias("owner"), repository.alias("repository"), F.coalesce(F.col(text), F.lit("")).alias("body")), "body").drop("body")
     hashes = F.transform(F.concat("base", "mixed"), lambda x: x["hash"])
     marked = stored(marked.withColumn("list", F.when(F.size(hashes) > 0, F.md5(F.array_join(hashes, ",").cast("binary")))), "candidates")
     some = marked.where("list is not null")

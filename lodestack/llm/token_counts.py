@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import others
+from lodestack.llm.common import others, quoted
 from lodestack.llm.bpe import Remembered, Vocabulary, coded, splitter
 
 # Fixed value: how a byte-level vocabulary splits a text before it merges.
@@ -137,5 +137,5 @@ def count_documents(docs: DataFrame, path: str, limit: int, text: str = "text")
     Repeated rows are counted each. Own columns with these names are replaced. Rows aren't moved.
     """
     kept = others(docs, ["n_bytes", "n_tokens", "over_limit", "fit_bytes"])
-    told = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), token_counts(F.col(text), path, limit).alias("counted"))
+    told = docs.select(F.struct(*quoted(kept)).alias("row"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), token_counts(F.col(text), path, limit).alias("counted"))
     return told.select("row.*", "n_bytes", "counted.n_tokens", (F.col("counted.n_tokens") > limit).alias("over_limit"), "counted.fit_bytes")

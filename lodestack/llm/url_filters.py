@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestack.llm.common import hashable, lower_ascii, others, parts_for
+from lodestack.llm.common import hashable, lower_ascii, others, parts_for, quoted
 
 #: URLs looked at for each range when the borders between ranges are set, about, and URLs in a range.
 SAMPLES, IN_A_RANGE = 40, 1_000_000
@@ -83,7 +83,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     ``rules`` has ``host``, ``path`` and ``verdict``; a rule fits its host and all subdomains if the url's path starts with its
     own. The longest fitting rule (host and path together) wins. Without one ``rule`` is null and ``verdict`` is
     ``default``; so it is for a null url or one without ``://``, whose host and path are empty. Of rules with the same
-    host and path the verdict that sorts first counts; rules with a null or empty host are left out. Own columns with the
+    host and path the verdict that sorts first counts; A-Z of hosts are lower-cased; rules with a null or empty host are left out. Own columns with the
     names of the four, in any case, are replaced; others may have any name. Repeated rows are judged each; empty tables
     give what they should.
 
@@ -96,8 +96,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     n = parts_for(spark, rows, IN_A_RANGE)
     kept = others(urls, OWN)
     # The table's own columns stand in one struct, so that none can clash with a name used here.
-    spread = F.xxhash64(*hashable(urls, kept), F.spark_partition_id())
-    keyed = urls.select(F.struct(*kept).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), spread.alias("hash")).withColumn("key", host_key(F.col("host")))
+    spread = F.xxhash64(*quoted(hashable(urls, kept)), F.spark_partition_id())
+    keyed = urls.select(F.struct(*quoted(kept)).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), spread.alias("hash")).withColumn("key", host_key(F.col("host")))
     sample = sorted((r[0], r[1]) for r in keyed.select("key", "hash").sample(min(1.0, SAMPLES * n / max(1, rows)), 1).collect())
     borders = [sample[k * len(sample) // n] for k in range(1, n)] if sample else []
 
@@ -111,7 +111,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         low = -(1 << 63)
         return pa.array([list(range(bisect_right(borders, (k, low)), bisect_left(borders, (k[:-1] + "0", low)) + 1)) for k in keys.to_pylist()], pa.list_(pa.int32()))
 
-    good = rules.where("host <> ''").groupBy("host", F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
+    good = rules.where("host <> ''").groupBy(lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
     dealt = keyed.withColumn("part", range_of("key", "hash")).withColumns({"is_url": F.lit(True), "verdict": F.lit(None).cast("string")}).drop("hash")
     sent = good.withColumn("part", F.explode(ranges_of("key"))).withColumn("is_url", F.lit(False))
     both = dealt.unionByName(sent, allowMissingColumns=True).repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "is_url", "path")
