@@ -8,6 +8,7 @@ budget is spent.
 from __future__ import annotations
 
 import json
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
@@ -43,11 +44,12 @@ class PrefixCounts:
         ranks = {raw(c): i for i, c in enumerate(letters)} | {raw(a + b): 256 + i for i, (a, b) in enumerate(merges)}
         self.special = [t["content"] for t in told["added_tokens"]]
         self.vocabulary, self.find = Vocabulary(ranks), splitter(BYTE_LEVEL)
-        self.totals = Remembered(lambda piece: self._prefixes(piece)[-1])
+        #: The stored table of each piece, at most 64 characters long, that came up of late.
+        self.tables = Remembered(self._prefixes)
 
-    def _prefixes(self, piece: str) -> list[int]:
+    def _prefixes(self, piece: str) -> array:
         """The count at the end of each byte prefix of a piece."""
-        counts: list[int] = []
+        counts = array("I")
         for end, token in enumerate(self.vocabulary.last_tokens(piece.encode()), 1):
             before = end - len(self.vocabulary.bytes_of[token])
             counts.append(1 + (counts[before - 1] if before else 0))
@@ -68,32 +70,38 @@ class PrefixCounts:
             yield text[at:], False
 
     def count(self, text: str) -> int:
-        total = self.totals.__getitem__
-        return sum(1 if special else sum(map(total, self.find(part))) for part, special in self.parts(text))
+        tables = self.tables
+        return sum(1 if special else sum(tables[p][-1] for p in self.find(part)) for part, special in self.parts(text))
 
-    def measure(self, texts: list[str], limit: int) -> tuple[list[int], list[int]]:
-        """For each text its count and the bytes of it that ``limit`` tokens hold, as ``count`` and ``fitting`` tell them."""
+    def measure(self, texts: list[str], limits: list[int]) -> tuple[list[int], list[list[int]]]:
+        """For each text its count, and for each of ``limits`` the bytes of the texts that so many tokens hold, as ``count`` and ``fitting`` tell them.
+
+        However many limits there are, a text is split once and a piece's table is worked out once.
+        """
         marked = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        n, fit = [], []
+        n: list[int] = []
+        fit: list[list[int]] = [[] for _ in limits]
         for pieces, codes, many in coded([None if i in marked else t for i, t in enumerate(texts)], self.find):
-            tokens = np.concatenate([[0], np.cumsum(np.array([self.totals[p] for p in pieces], np.int64)[codes])])
+            tokens = np.concatenate([[0], np.cumsum(np.array([self.tables[p][-1] for p in pieces], np.int64)[codes])])
             size = np.concatenate([[0], np.cumsum(np.array([len(p.encode()) for p in pieces], np.int64)[codes])])
             ends = np.cumsum(many)
             starts = ends - many
             n += (tokens[ends] - tokens[starts]).tolist()
-            last = np.minimum(np.searchsorted(tokens, tokens[starts] + limit, "right") - 1, ends)
-            whole = (size[last] - size[starts]).tolist()
-            left = (limit - (tokens[last] - tokens[starts])).tolist()
-            fit += [w if k == e else w + self._within(pieces[codes[k]], x) for w, k, e, x in zip(whole, last.tolist(), ends.tolist(), left, strict=True)]
+            for limit, out in zip(limits, fit, strict=True):
+                last = np.minimum(np.searchsorted(tokens, tokens[starts] + limit, "right") - 1, ends)
+                whole = (size[last] - size[starts]).tolist()
+                left = (limit - (tokens[last] - tokens[starts])).tolist()
+                out += [w if k == e else w + self._within(pieces[codes[k]], x) for w, k, e, x in zip(whole, last.tolist(), ends.tolist(), left, strict=True)]
         for i in marked:
-            n[i], fit[i] = self.count(texts[i]), self.fitting(texts[i], limit)
+            n[i] = self.count(texts[i])
+            for limit, out in zip(limits, fit, strict=True):
+                out[i] = self.fitting(texts[i], limit)
         return n, fit
 
     def _within(self, piece: str, limit: int) -> int:
-        """Bytes of the longest prefix of a piece that ends with a character and has at most ``limit`` tokens."""
-        raw = piece.encode()
-        ends = [i for i, k in enumerate(self._prefixes(piece), 1) if k <= limit and (i == len(raw) or raw[i] & 0xC0 != 0x80)]
-        return ends[-1] if ends else 0
+        """Bytes of the longest prefix of a piece that ends with a character and has at most ``limit`` tokens: a look-up in its table."""
+        raw, counts = piece.encode(), self.tables[piece]
+        return next((i for i in range(len(raw), 0, -1) if counts[i - 1] <= limit and (i == len(raw) or raw[i] & 0xC0 != 0x80)), 0)
 
     def fitting(self, text: str, limit: int) -> int:
         """Bytes of the longest run of leading whole pieces and one piece's prefix whose tokens, as encoded, fit in ``limit``.
@@ -104,7 +112,7 @@ class PrefixCounts:
         spent = used = 0
         for part, special in self.parts(text):
             pieces = [part] if special else self.find(part)
-            sums = list(accumulate([1] if special else map(self.totals.__getitem__, pieces)))
+            sums = list(accumulate([1] if special else (self.tables[p][-1] for p in pieces)))
             k = bisect_right(sums, limit - spent)
             used += len("".join(pieces[:k]).encode())
             if k < len(pieces):
@@ -124,12 +132,26 @@ def token_counts(text: Column, path: str, limit: int) -> Column:
     @F.arrow_udf("n_tokens bigint, fit_bytes bigint")
     def counted(texts: pa.Array) -> pa.Array:
         known = prefix_counts(path)
-        n, fit = known.measure([t or "" for t in texts.to_pylist()], limit)
-        return pa.StructArray.from_arrays([pa.array(np.array(x, np.int64)) for x in (n, fit)], ["n_tokens", "fit_bytes"])
+        n, fit = known.measure([t or "" for t in texts.to_pylist()], [limit])
+        return pa.StructArray.from_arrays([pa.array(np.array(x, np.int64)) for x in (n, fit[0])], ["n_tokens", "fit_bytes"])
 
     return counted(text)
 
 
+def budgets(text: Column, path: str, limits: list[int]) -> Column:
+    """An array of the bytes of the text that each of ``limits`` tokens holds, in their order; null counts as empty.
+
+    All are answered from the tables of one pass over the text: it is never encoded again for another limit.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def fitted(texts: pa.Array) -> pa.Array:
+        _, fit = prefix_counts(path).measure([t or "" for t in texts.to_pylist()], limits)
+        return pa.array([list(x) for x in zip(*fit, strict=True)] if limits else [[]] * len(texts), pa.list_(pa.int64()))
+
+    return fitted(text)
+
+
 def count_documents(docs: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fit_bytes``.
 

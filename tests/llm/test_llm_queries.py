@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import duckdb
 import public_tokenizers
@@ -15,23 +16,61 @@ import corpus_pipeline
 from lodestack.llm import bpe, ngram_join, quality_rules, queries
 
 DIR = "/root/testdata/sf0.001"
-ROWS = {"op1_url_filters": "pages", "op5_embedding_dedup": "embeddings", "op7_warc": "pages"}
+ROWS = {"op12_ranked_search": None, "op1_url_filters": "pages", "op5_embedding_dedup": "embeddings", "op7_warc": "pages"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
     df = queries.QUERIES[name](spark, DIR)
     rows = [tuple(r) for r in df.select(*sorted(df.columns)).collect()]
-    assert len(rows) == spark.read.parquet(f"{DIR}/{ROWS.get(name, 'documents')}.parquet").count()
+    source = ROWS.get(name, "documents")
+    assert len(rows) == (spark.read.parquet(f"{DIR}/{source}.parquet").count() if source else 400)
     if name in queries.ORACLE_SQL:
         c = duckdb.connect()
-        for t in ("documents", "pages", "labels", "embeddings"):
+        for t in ("documents", "pages", "labels", "embeddings", "benchmark"):
             c.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
         told = c.sql(queries.ORACLE_SQL[name])
         assert sorted(told.columns) == sorted(df.columns)
         assert sorted(map(repr, rows)) == sorted(map(repr, told.project(", ".join(sorted(told.columns))).fetchall()))
 
 
+def test_digests(spark):
+    """The digest columns of op4 and op8 are those of plain patterns and of the library."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.rank_file(queries.RANKS).ranks, special_tokens={})
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in queries.op8_byte_bpe(spark, DIR).collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(texts[r.doc_id]))
+    kinds = [("assign", re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 8), ("access", re.compile("(AKIA[A-Z0-9]+)"), 16), ("hex", re.compile("([0-9a-f]+)"), 32)]
+    for r in queries.op4_secret_scans(spark, DIR).collect():
+        found = sorted((m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, pattern, least) in enumerate(kinds) for m in pattern.finditer(texts[r.doc_id]) if len(m[1]) >= least)
+        assert r.base_sha256 == sha(",".join(x[2] for x in found)) and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in found) for k in range(3))
+
+
+def test_places_in_the_mix(spark):
+    """A document's place is that of its first copy among all copies by position."""
+    rows = queries.op9_mixing(spark, DIR).collect()
+    placed = sorted((r.first_place, r.first_position) for r in rows if r.first_place is not None)
+    assert [p for _, p in placed] == sorted(p for _, p in placed) and len({p for p, _ in placed}) == len(placed) and placed[0][0] == 1
+    assert all((r.first_place is None) == (r.first_position is None) for r in rows)
+    assert placed[-1][0] <= sum(r.taken // r["size"] if r["size"] else 1 for r in rows)
+
+
+def test_near_copies_with_repeated_ids(spark):
+    """A row goes for its text: texts under one id, or without id, don't take each other along, and equal rows leave one."""
+    rnd = random.Random(3)
+    prose = lambda: " ".join(f"w{rnd.randrange(500)}" for _ in range(80))
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, a), (5, a), (5, b), (7, b + " z"), (8, c), (8, c), (8, c), (None, a), (None, a), (9, ""), (9, ""), (10, None), (5, c + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "mine") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, `row.a` string")
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, DIR)
+    assert kept.columns == docs.columns
+    told = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(told, key=repr) == sorted([(1, a), (5, b), (5, c + " z"), (None, a), (None, a), (9, ""), (9, ""), (10, None)], key=repr)
+    assert dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs.limit(0), DIR).collect() == []
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
