@@ -11,7 +11,9 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,11 +57,10 @@ def dechunked(body: bytes) -> bytes | None:
         end = body.find(b"\r\n", at)
         if end < 0:
             return None
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
+        told = body[at:end].split(b";")[0].rstrip(b" \t")
+        if not told or told.strip(b"0123456789ABCDEFabcdef"):
             return None
-        at = end + 2
+        size, at = int(told, 16), end + 2
         if not size:
             return b"".join(out)
         if body[at + size : at + size + 2] != b"\r\n":
@@ -121,19 +122,27 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = 1
 
 
 def _parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    with gzip.GzipFile(fileobj=io.BytesIO(archive)) as f:
-        while line := f.readline():
-            if not line.startswith(b"WARC/"):
-                continue
-            fields = {}
-            while (line := f.readline()) not in (b"\r\n", b"\n", b""):
-                k, _, v = line.decode().partition(":")
-                fields[k.strip().lower()] = v.strip()
-            yield fields, f.read(int(fields["content-length"]))
+    """Fields and block of each record. Where an archive breaks off, within its compression or by a record without length
+    or name, one of the type ``broken`` stands for what can't be read."""
+    try:
+        with gzip.GzipFile(fileobj=io.BytesIO(archive)) as f:
+            while line := f.readline():
+                if not line.startswith(b"WARC/"):
+                    continue
+                fields = {}
+                while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+                    k, _, v = line.decode("utf-8", "replace").partition(":")
+                    fields[k.strip().lower()] = v.strip()
+                size = fields.get("content-length", "")
+                if not re.fullmatch("[0-9]+", size) or not {"warc-type", "warc-record-id"} <= fields.keys() or len(block := f.read(int(size))) < int(size):
+                    raise EOFError
+                yield fields, block
+    except (EOFError, OSError, zlib.error):
+        yield {"warc-type": "broken"}, b""
 
 
 def read_records(spark: SparkSession, path: str, measured: bool = False) -> DataFrame:
-    """A row for each record of the archives in ``path`` (see ``RECORD``).
+    """A row for each record of the archives in ``path`` (see ``RECORD``), and one of the kind ``broken``, without record_id, for each that breaks off.
 
     With ``measured`` a record that is no segment comes with ``size`` and ``sha1`` (base32) of its payload, null if it can't be
     restored, instead of its block: blocks of whole records needn't leave the task that reads them.
@@ -155,7 +164,7 @@ def read_records(spark: SparkSession, path: str, measured: bool = False) -> Data
                     if measured and part is None:
                         size, sha1 = _measured(_payload([block], None))
                         block = None
-                    rows.append((f["warc-record-id"], f["warc-type"], number(f.get("x-page-id")), f.get("warc-refers-to"), number(f.get("x-refers-to-page-id")), digest, origin, part, number(f.get("warc-segment-total-length")), block, size, sha1))
+                    rows.append((f.get("warc-record-id"), f["warc-type"], number(f.get("x-page-id")), f.get("warc-refers-to"), number(f.get("x-refers-to-page-id")), digest, origin, part, number(f.get("warc-segment-total-length")), block, size, sha1))
                     held += len(block or b"") + 200
                     if held > AT_ONCE:
                         yield emitted(rows)
@@ -217,7 +226,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     Length and digest are those of the restored payload; a revisit has those of the response that it names. They are
     null, and ``intact`` is false, where the payload can't be restored; ``intact`` also tells that the digest is the one
-    that the record names.
+    that the record names. Of a broken archive the records before the break are given (see ``read_records``).
     """
 
     @F.arrow_udf("n long, digest string")

@@ -392,9 +392,21 @@ def test_warc(spark, tmp_path):
     assert all(r.record_type == "response" for r in warc.archived(pages, 1 << 20).collect())
 
 
+def test_broken_archives(spark, tmp_path):
+    """Records before a break are read, whatever breaks it, and the break is told."""
+    good = warc._member({"WARC-Type": "response", "WARC-Record-ID": "<a>", "X-Page-ID": 1}, b"HTTP/1.1 200 OK\r\n\r\nab")
+    bad = [good[: len(good) // 2], b"no gzip", warc.gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <b>\r\n\r\nx"), warc.gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <b>\r\nContent-Length: 99\r\n\r\nx"), good[:20] + b"\xff" * 9 + good[29:]]
+    for i, b in enumerate(bad):
+        (tmp_path / f"{i}.warc.gz").write_bytes(good + b)
+    told = warc.read_records(spark, str(tmp_path)).groupBy("kind").count()
+    assert dict(map(tuple, told.collect())) == {"response": len(bad), "broken": len(bad)}
+    assert [r.page_id for r in warc.read_index(spark, str(tmp_path)).collect()] == [1] * len(bad)
+
+
 def test_broken_records():
     assert warc.dechunked(warc.chunked(b"x" * 10_000, 4096)) == b"x" * 10_000 and warc.dechunked(b"0\r\n\r\n") == b""
     assert warc.dechunked(b"5\r\nab\r\n0\r\n\r\n") is None and warc.dechunked(b"zz\r\n") is None and warc.dechunked(b"") is None
+    assert all(warc.dechunked(bad + b"\r\nab\r\n0\r\n\r\n") is None for bad in (b"-2", b"0x2", b"+2", b"2_", b" 2", b"")) and warc.dechunked(b"2 ;x=y\r\nab\r\n00\r\n\r\n") == b"ab"
     assert warc._payload([b"HTTP/1.1 200 OK\r\n\r\nab", b"c"], 22) == b"abc" and warc._payload([b"HTTP/1.1 200 OK\r\n\r\nab"], 22) is None
 
 
