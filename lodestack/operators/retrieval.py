@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +30,55 @@ def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, skip: list, n: int) ->
         yield k, usable, s[usable]
 
 
+class _Asked:
+    """A block of queries as a task holds them."""
+
+    def __init__(self, queries: list):
+        self.ids, self.skip = [q["query_id"] for q in queries], [q["exclude"] for q in queries]
+        self.vectors = np.array([q["vector"] for q in queries], np.float64)
+
+    def of(self, batch: pa.RecordBatch, n: int, some: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """The best ``n`` of a batch (chunk_id, vector) for each query, or for ``some``: no more than that leaves a task for the shuffle."""
+        good = np.array([v is not None and v == self.vectors.shape[1] for v in batch.column(1).value_lengths().to_pylist()], bool)
+        rows, numbers = batch.filter(pa.array(good)), np.arange(len(self.ids)) if some is None else some
+        if not rows.num_rows or not len(numbers):
+            return
+        x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+        chunk_ids, step = rows.column(0).to_numpy(zero_copy_only=False), max(1, SCORES_AT_ONCE // rows.num_rows)
+        for a in range(0, len(numbers), step):
+            own = numbers[a : a + step]
+            found = list(_best(self.vectors[own], x, chunk_ids, [self.skip[k] for k in own], n))
+            asked = [self.ids[own[k]] for k, at, _ in found for _ in at]
+            at, score = (np.concatenate(c) for c in list(zip(*found, strict=True))[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(asked), rows.column(0).take(pa.array(at)), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+
+def _shape(index: DataFrame, id_type: str) -> str:
+    return f"query_id {id_type}, chunk_id {dict(index.dtypes)['chunk_id']}, score double"
+
+
 def _scored(index: DataFrame, queries: list, n: int, id_type: str) -> DataFrame:
-    """The best ``n`` of each batch of rows for each query: no more than that leaves a task for the shuffle."""
-    ids, skip = [q["query_id"] for q in queries], [q["exclude"] for q in queries]
-    q = np.array([q["vector"] for q in queries], np.float64)
+    asked = _Asked(queries)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from asked.of(batch, n)
+
+    return index.select("chunk_id", "vector").mapInArrow(scored, _shape(index, id_type))
+
+
+def scored_pairs(index: DataFrame, queries: list, wanted: np.ndarray, parts: list[int], n: int, id_type: str) -> DataFrame:
+    """As a scan of all of ``index`` (chunk_id, vector, ring), but a query meets only the rings that ``wanted`` has for it, a row for
+    each query and a column for each of ``parts``; rings that no query wants aren't read."""
+    asked, of = _Asked(queries), {p: np.flatnonzero(wanted[:, j]) for j, p in enumerate(parts) if wanted[:, j].any()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.array([v is not None and v == q.shape[1] for v in batch.column(1).value_lengths().to_pylist()], bool)
-            rows = batch.filter(pa.array(good))
-            if not rows.num_rows:
-                continue
-            x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
-            chunk_ids, step = rows.column(0).to_numpy(zero_copy_only=False), max(1, SCORES_AT_ONCE // rows.num_rows)
-            for a in range(0, len(q), step):
-                found = list(_best(q[a : a + step], x, chunk_ids, skip[a : a + step], n))
-                asked = [ids[a + k] for k, at, _ in found for _ in at]
-                at, score = (np.concatenate(c) for c in list(zip(*found, strict=True))[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(asked), rows.column(0).take(pa.array(at)), pa.array(score)], ["query_id", "chunk_id", "score"])
+            rings = batch.column(2).to_numpy(zero_copy_only=False)
+            for ring in np.unique(rings).tolist():
+                yield from asked.of(batch.filter(pa.array(rings == ring)), n, of[ring])
 
-    return index.select("chunk_id", "vector").mapInArrow(scored, f"query_id {id_type}, chunk_id {dict(index.dtypes)['chunk_id']}, score double")
+    return index.where(F.col("ring").isin(list(of))).select("chunk_id", "vector", "ring").mapInArrow(scored, _shape(index, id_type))
 
 
 def candidates(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
@@ -57,9 +87,13 @@ def candidates(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
     Columns query_id, chunk_id, score (cosine) and rank from 1; ties stand by chunk_id. Queries are the stated set: they go to
     the tasks in blocks of ``QUERIES_AT_ONCE`` of one length. If there are several blocks, one's result is stored before the
     next is read, so the driver holds one block at most. Vectors that are null, zero or of another length are in no result.
+    Ids of queries must be unique; it is an error if they aren't.
     """
     id_type, chunk_type = dict(queries.dtypes)["query_id"], dict(index.dtypes)["chunk_id"]
     stated = queries.select("query_id", "vector", queries["exclude"] if "exclude" in queries.columns else F.lit(None).cast(chunk_type).alias("exclude")).where("size(vector) > 0")
+    stated = settled(stated, "stated-queries")  # vectors are worked out once
+    if stated.groupBy("query_id").count().where("count > 1").limit(1).count():
+        raise ValueError("queries must have ids of their own")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
     lots = sorted(map(tuple, stated.groupBy(F.size("vector")).count().collect()))  # as many rows as vectors have lengths
@@ -113,9 +147,41 @@ def filters_of(told: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(told), "$", ANY)
 
 
-def matches(filters: dict[str, object], columns: list[str]) -> Column | None:
-    """Whether a row with these ``columns`` fits ``filters`` (see ``values_of`` and ``fits``); None without filters."""
-    return fits(filters_of(F.lit(json.dumps(filters))), values_of(columns)) if filters else None
+NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _plain(name: str, kind: str, value: object) -> Column | None:
+    """``fits`` for one column of a plain type, as a comparison that a scan can take over; None for other types."""
+    c = F.col(f"`{name}`")
+    if kind not in (*NUMBERS, "float", "double", "boolean", "string"):
+        return None
+    if value is None:
+        return c.isNull()
+    if isinstance(value, (list, dict)) or isinstance(value, str) != (kind == "string"):
+        return F.lit(False)
+    if kind == "string":
+        same = c == value
+    elif kind == "boolean":
+        same = c.cast("int").cast("double") == float(value)
+    else:
+        same = c == F.lit(int(value)).cast("bigint") if kind in NUMBERS and float(value).is_integer() and abs(value) < 1 << 53 else c.cast("double") == float(value)
+    return F.coalesce(same, F.lit(False)) if kind == "boolean" else same & c.isNotNull()
+
+
+def matches(filters: dict[str, object], columns: list[str] | list[tuple[str, str]]) -> Column | None:
+    """Whether a row with these ``columns`` fits ``filters`` (see ``values_of`` and ``fits``); None without filters.
+
+    ``columns`` can be names, or names with types (``dtypes``): what is asked of a column of a plain type is then compared as
+    it is, and only other names go through the row's values.
+    """
+    types = {c[0]: c[1] for c in columns if not isinstance(c, str)}
+    names = [c if isinstance(c, str) else c[0] for c in columns]
+    direct = {k: _plain(k, types[k], v) for k, v in filters.items() if k in types and k not in ("vector", "metadata")}
+    conditions = [c for c in direct.values() if c is not None]
+    rest = {k: v for k, v in filters.items() if direct.get(k) is None}
+    if rest:
+        conditions.append(fits(filters_of(F.lit(json.dumps(rest))), values_of(names)))
+    return reduce(lambda a, b: a & b, conditions) if conditions else None
 
 
 def present(*columns: str) -> Column:
@@ -126,7 +192,7 @@ def present(*columns: str) -> Column:
     return out
 
 
-def filtered(fetched: DataFrame, condition: Column, min_score: float | None, k: int) -> DataFrame:
+def filtered(fetched: DataFrame, condition: Column, min_score: float | None, k: int | Column) -> DataFrame:
     """Of each query's fetched rows those that fit, reach ``min_score`` and are the first ``k`` then; ``rank`` is counted anew.
 
     The condition comes after the fetch: a query may get fewer than ``k`` rows although more rows of the index fit.

@@ -18,6 +18,7 @@ from lodestack.functions.text import for_embedding, stripped
 from lodestack.functions.vectors import bigram_vector
 from lodestack.operators import evaluate, extract, monitor, retrieval
 from lodestack.operators.chunk import BLOCK, ChunkSettings, chunk_documents, without_chunks
+from lodestack.operators.index import Index
 from lodestack.sources.forms import cases_of_rows
 from lodestack.sources.shared import settled
 from lodestack.sources.store import FREEZE, DuplicateLabel, NoChunks, Store, cases_of, in_order_of, missing, of_documents, preview
@@ -178,15 +179,16 @@ class Service:
 
     @_operation
     def build_index(self, doc_ids: list[str] | None = None) -> DataFrame:
-        """Chunks with their vectors, which queries read from then on."""
+        """Chunks with their vectors, which queries read from then on. Only texts that the index has no vector of are embedded (see ``operators.index``)."""
         chunks = of_documents(self._chunks(), _ids(doc_ids, "doc_ids"))
         if not chunks.limit(1).count():
             self.index = None
             raise ServiceError("no_chunks", "there are no chunks to index")
         if self.index_source is not None:
             chunks = chunks.withColumn("source", F.lit(self.index_source))
-        vectors = evaluate.usable(chunks).withColumn("vector", self.vectorise(for_embedding(self._embedded_text(chunks))))
-        self.index = self.store.write("index", vectors)
+        kept = Index(self.store)
+        kept.refresh(evaluate.usable(chunks), for_embedding(self._embedded_text(chunks)), self.vectorise)
+        self.index = kept.read().drop("text_hash", "row_hash", "norm")
         return self.index
 
     def _chunks(self) -> DataFrame:
@@ -209,7 +211,7 @@ class Service:
             index, began = self._ready(), time.time()
             asked = settled(queries.withColumn("vector", self.vectorise(for_embedding(stripped(F.col("query_text"))))), "asked")
             embedded = time.time()
-            condition = retrieval.matches(filters or {}, index.columns)
+            condition = retrieval.matches(filters or {}, index.dtypes)
             rows = settled(retrieval.fetched(asked, index, top_k), "fetched")
             retrieved = time.time()
             out = settled(retrieval.filtered(rows, F.lit(True) if condition is None else condition, self.min_score, top_k), "found")
@@ -288,20 +290,17 @@ class Service:
         cases = cases.join(resolved, "case_id", "left").withColumn("relevant_chunk_ids", F.when(F.size("evidence_keys") > 0, evaluate.merged_ids(F.col("relevant_chunk_ids"), F.col("resolved"))).otherwise(F.col("relevant_chunk_ids")))
         vector = self.vectorise(for_embedding(F.col("query_text")))
         cases = settled(cases.withColumns({"vector": vector, "k": evaluate.top_k_of(top_k, F.col("top_k"))}), "cases")
-        asked = cases.select(F.col("case_id").alias("query_id"), "vector", "k")
-        parts = None
-        for k, n in sorted(map(tuple, asked.groupBy("k").count().collect())):  # a few values, each within the bounds of top_k
-            began = time.time()
-            rows = settled(retrieval.fetched(asked.where(F.col("k") == k), index, k), "fetched").withColumnRenamed("query_id", "case_id")
-            ms = int(1000 * (time.time() - began) / n)
-            rows = rows.join(cases.select("case_id", F.col("filters").alias("asked_for")), "case_id").withColumnRenamed("case_id", "query_id")
-            part = retrieval.filtered(rows, retrieval.fits(retrieval.filters_of(F.col("asked_for")), retrieval.values_of(index.columns)), self.min_score, k)
-            part = part.select(F.col("query_id").alias("case_id"), "rank", "chunk_id", "chunk_text")
-            latency = cases.where(F.col("k") == k).select("case_id", F.lit(ms).alias("latency_ms"))
-            parts = (part, latency) if parts is None else (parts[0].unionByName(part), parts[1].unionByName(latency))
-        found = settled(parts[0], "retrieved")
+        asked = cases.select(F.col("case_id").alias("query_id"), "vector")
+        n, most = cases.agg(F.count(F.lit(1)), F.max("k")).first()
+        # One scan for all: a case with a smaller k has its own first rows among those of the largest.
+        began = time.time()
+        rows = settled(retrieval.fetched(asked, index, most), "fetched")
+        ms = int(1000 * (time.time() - began) / n)
+        rows = rows.join(cases.select(F.col("case_id").alias("query_id"), F.col("filters").alias("asked_for"), F.col("k").alias("case_k")), "query_id").where(F.col("rank") <= retrieval.OVER_FETCH * F.col("case_k"))
+        part = retrieval.filtered(rows, retrieval.fits(retrieval.filters_of(F.col("asked_for")), retrieval.values_of(index.columns)), self.min_score, F.col("case_k"))
+        found = settled(part.select(F.col("query_id").alias("case_id"), "rank", "chunk_id", "chunk_text"), "retrieved")
         ids = found.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("id")))).alias("ids"))
-        scores = evaluate.score_cases(cases, found).drop("n_retrieved").join(parts[1], "case_id").join(cases.select("case_id", "query_text"), "case_id").join(ids, "case_id", "left")
+        scores = evaluate.score_cases(cases, found).drop("n_retrieved").withColumn("latency_ms", F.lit(ms)).join(cases.select("case_id", "query_text"), "case_id").join(ids, "case_id", "left")
         run_id = max(self.store.read(t, "run_id long").agg(F.max("run_id")).first()[0] or 0 for t in ("runs", "run_items")) + 1
         scores = scores.withColumn("retrieved_chunk_ids", F.coalesce(F.col("ids.id"), F.array().cast("array<string>"))).drop("ids")
         items = settled(scores.withColumn("run_id", F.lit(run_id).cast("long")), "run-items")

@@ -6,20 +6,22 @@ play the query log; benchmark texts are evidence anchors. Searches ask with ever
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack import cases
+from lodestack import checking
 from lodestack.functions import split, tables
 from lodestack.functions import text as T
 from lodestack.functions.vectors import bigram_vector
-from lodestack.operators import evaluate, extract, monitor, retrieval
+from lodestack.operators import evaluate, extract, monitor, pivots, retrieval
 from lodestack.operators.chunk import chunk_documents, islands, linked, sections
+from lodestack.operators.index import Index, changes
 from lodestack.plans.service import Service
-from lodestack.sources import store
-from lodestack.sources.shared import settled
+from lodestack.sources import items, store
+from lodestack.sources.shared import own_dir, settled
 from lodestack.streaming import query_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +73,12 @@ def topk_cosine(spark, sf_dir):
     return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), _double(F.col("score")).alias("score"))
 
 
+@query(FETCHED.format(n=10) + " SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM f")
+def topk_pivots(spark, sf_dir):
+    """As topk_cosine, through pivots: rings of the index that can't hold anything better aren't read."""
+    return _shown(pivots.nearest(_asked(spark, sf_dir), pivots.pivoted(_index(spark, sf_dir)), 10)[0])
+
+
 def _shown(found: DataFrame) -> DataFrame:
     return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), _double(F.col("score")).alias("score"))
 
@@ -80,7 +88,7 @@ AFTER = "(SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id OR
 
 @query(FETCHED.format(n=15) + " SELECT * FROM " + AFTER.format(where="label IS NOT DISTINCT FROM 3") + " WHERE rank <= 5")
 def topk_postfilter_label(spark, sf_dir):
-    return _shown(retrieval.retrieve(_asked(spark, sf_dir), _index(spark, sf_dir), 5, retrieval.matches({"label": 3}, ["chunk_id", "label"])))
+    return _shown(retrieval.retrieve(_asked(spark, sf_dir), _index(spark, sf_dir), 5, retrieval.matches({"label": 3}, [("chunk_id", "bigint"), ("label", "int")])))
 
 
 @query(FETCHED.format(n=15) + " SELECT * FROM " + AFTER.format(where="score >= 0.3") + " WHERE rank <= 5")
@@ -124,7 +132,37 @@ def hash_vectoriser(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(bigram_vector(F.col("text"))).alias("at", "value"))
 
 
-@query()
+BIGRAMS = """
+t AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ''), '<empty>') AS t FROM {rows}),
+g AS (SELECT doc_id, unnest(range(1, greatest(2, length(t)))) AS i, t FROM t),
+h AS (SELECT doc_id, ('0x' || right(md5(substr(t, i, 2)), 2))::INT AS n FROM g),
+v AS (SELECT doc_id, n % 64 AS k, sum(CASE WHEN (n >> 1) & 1 = 0 THEN 1.0 ELSE -1.0 END) AS value FROM h GROUP BY 1, 2),
+e AS (SELECT doc_id, (list_transform(range(64), lambda i: coalesce(m[i::INT], 0) + CASE WHEN i = 0 THEN 1 ELSE 0 END))::DOUBLE[] AS e FROM (SELECT doc_id, map_from_entries(list((k::INT, value))) AS m FROM v GROUP BY doc_id))"""
+
+
+@query("WITH " + BIGRAMS.format(rows="documents") + """
+SELECT d.doc_id AS chunk_id, CASE WHEN doc_id % 10 = 3 OR doc_id % 10 = 4 AND (SELECT count(*) FROM documents o WHERE o.doc_id % 10 <> 4 AND CASE WHEN o.doc_id % 10 = 3 THEN upper(o.text) ELSE o.text END = d.text) = 0 THEN 'embedded'
+WHEN doc_id % 10 IN (4, 6) THEN 'carried' END AS state, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm FROM documents d JOIN e USING (doc_id) WHERE doc_id % 10 <> 5""".replace("doc_id % 10 = 3 OR", "doc_id % 10 = 3 AND (SELECT count(*) FROM documents o WHERE o.doc_id % 10 <> 4 AND CASE WHEN o.doc_id % 10 = 3 THEN upper(o.text) ELSE o.text END = d.text) = 0 OR").replace("doc_id % 10 IN (4, 6)", "doc_id % 10 IN (3, 4, 6)"))
+def index_refresh(spark, sf_dir):
+    """An index of older documents follows the present ones: a tenth has other texts, a tenth is new, one has another source, one is gone.
+
+    ``state`` tells what was done for a row of the index, null if nothing was.
+    """
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), "source")
+    turn = F.col("chunk_id") % 10
+    before = docs.where(turn != 4).withColumns({"chunk_text": F.when(turn == 3, F.upper("chunk_text")).otherwise(F.col("chunk_text")), "source": F.when(turn == 6, "old").otherwise(F.col("source"))})
+    kept = Index(store.Store(spark, f"{own_dir(spark)}/indexes-{uuid.uuid4().hex}"))
+    kept.refresh(before, F.col("chunk_text"), bigram_vector)
+    old = settled(kept.read(), "before")
+    now = docs.where(turn != 5)
+    kept.refresh(now, F.col("chunk_text"), bigram_vector)
+    done = changes(old, now, F.col("chunk_text"), bigram_vector).where("not gone").select("chunk_id", "state")
+    return kept.read().join(done, "chunk_id", "left").select("chunk_id", "state", _double(F.col("norm")).alias("norm"))
+
+
+@query("WITH " + BIGRAMS.format(rows="documents").replace("e AS (", "docs AS (") + ", " + BIGRAMS.format(rows="(SELECT conv_id || '-' || turn AS doc_id, text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0)").replace("t AS (", "t2 AS (", 1).replace("g AS (", "g2 AS (", 1).replace("h AS (", "h2 AS (", 1).replace("v AS (", "v2 AS (", 1).replace("e AS (", "asked AS (", 1).replace("FROM t)", "FROM t2)").replace("FROM g)", "FROM g2)").replace("FROM h GROUP", "FROM h2 GROUP").replace("FROM v GROUP", "FROM v2 GROUP") + """,
+f AS (SELECT a.doc_id AS query_id, d.doc_id AS chunk_id, list_cosine_similarity(a.e, d.e) AS score, row_number() OVER (PARTITION BY a.doc_id ORDER BY list_cosine_similarity(a.e, d.e) DESC, d.doc_id) AS rank FROM asked a, docs d QUALIFY rank <= 3)
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM f""")
 def chat_queries_topk(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 50 = 0")
     asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), bigram_vector(F.col("text")).alias("vector"))
@@ -173,6 +211,12 @@ def p95_by_type(spark, sf_dir):
     return _rounded(monitor.metrics_by(_log(spark, sf_dir), "event_type"))
 
 
+@query("SELECT user_id AS user, quantile_disc(value, 0.5) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def median_by_user(spark, sf_dir):
+    """The value at the middle rank of each user's events."""
+    return monitor.nearest_ranks(_table(spark, sf_dir, "events"), "value", 0.5, F.col("user_id")).withColumnRenamed("key", "user")
+
+
 @query(f"""SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS window_start, time_bucket(INTERVAL 1 HOUR, created_at) + INTERVAL 1 HOUR AS window_end, count(*) AS query_count,
 count(*) FILTER (empty) AS empty_recall_count, round(count(*) FILTER (empty) / count(*), 6) AS empty_recall_rate, round(avg(total_ms), 6) AS avg_total_ms, round(max(total_ms), 6) AS max_total_ms FROM {LOG_SQL} GROUP BY 1, 2""")
 def log_tumbling(spark, sf_dir):
@@ -412,7 +456,7 @@ def _nodes(spark, sf_dir) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", F.col("line").alias("pos"), F.lit(0).alias("sub"), F.lit("paragraph").alias("type"), "text", F.lit(None).cast("string").alias("dropped"))
 
 
-@query()
+@query(checking.SUFFIXES)
 def suffix_duplicates(spark, sf_dir):
     return extract._without_suffix_copies(_nodes(spark, sf_dir)).select("doc_id", F.col("pos").alias("line"), F.col("dropped").isNotNull().alias("dropped"))
 
@@ -450,17 +494,49 @@ def _items(spark, sf_dir) -> DataFrame:
     )
 
 
-@query()
+@query(checking.LINE_REPORT)
 def extract_report(spark, sf_dir):
     docs, _ = extract.extract(_items(spark, sf_dir))
     return docs.drop("full_text")
 
 
-@query()
+@query(checking.LINE_BLOCKS)
 def extracted_blocks(spark, sf_dir):
     return extract.extract(_items(spark, sf_dir))[1].select("doc_id", "order", "type", "text", "page_idx")
 
 
+def _page_lists(spark, sf_dir) -> DataFrame:
+    """(doc_id, json): a page's parts as a list of parsed items: its title, list, paragraphs, tables of numbers and of words, an image."""
+    tag = lambda c: T.stripped(F.regexp_replace(c, "<[^>]+>", " "))
+    html = F.col("html")
+    entries = F.transform(F.regexp_extract_all(html, F.lit("<li>(.*?)</li>"), F.lit(1)), tag)
+    texts = F.transform(F.regexp_extract_all(html, F.lit(r"<p>([^\n]*?)</p>"), F.lit(1)), tag)
+    kinds = {"type": "string", "text": "string", "text_level": "int", "list_items": "array<string>", "table_body": "string", "table_caption": "array<string>", "page_idx": "int"}
+    item = lambda **own: F.struct(*(own[k].alias(k) if k in own else F.lit(None).cast(t).alias(k) for k, t in kinds.items()))
+    row = lambda *cells: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells), F.lit("</tr>"))
+    numbers = lambda *cells: F.concat(F.lit(f"<table>{checking.HEAD}<tbody>"), row(*cells), F.lit("</tbody></table>"))
+    table, page = F.lit("table"), lambda n: F.lit(n)
+    parts = F.concat(
+        F.array(item(type=F.lit("title"), text=F.concat("page_id", F.lit(".章 "), F.regexp_extract(html, "<h1>(.*?)</h1>", 1)), text_level=F.lit(1), page_idx=page(0)), item(type=F.lit("list"), list_items=entries, page_idx=page(0))),
+        F.transform(texts, lambda t: item(type=F.lit("text"), text=t, page_idx=page(1))),
+        F.array(item(type=table, table_body=numbers(F.col("page_id").cast("string"), F.length("url").cast("string")), table_caption=F.array(F.lit("表一")), page_idx=page(1))),
+        F.when(F.col("page_id") % 2 == 0, F.array(item(type=table, table_body=numbers((F.col("page_id") + 1).cast("string"), F.lit("9")), page_idx=page(2)))).otherwise(F.array().cast(f"array<struct<{','.join(f'{k}:{t}' for k, t in kinds.items())}>>")),
+        F.array(item(type=table, table_body=F.concat(F.lit("<table>"), F.array_join(F.transform(entries, lambda x: row(x)), ""), F.lit("</table>")), page_idx=page(2)), item(type=F.lit("image"), page_idx=page(2))),
+    )
+    return _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.to_json(parts).alias("json"))
+
+
+@query(checking.PAGE_BLOCK_ROWS)
+def page_blocks(spark, sf_dir):
+    """Pages as parsed items in JSON, read, cleaned and made into blocks; a table that goes on over the page is one block."""
+    return extract.extract(items.items_of(_page_lists(spark, sf_dir)))[1].select("doc_id", "order", "type", "text", "html", "logical_table_id", "page_idx", "n_merged")
+
+
+@query(checking.PAGE_REPORT)
+def page_report(spark, sf_dir):
+    return extract.extract(items.items_of(_page_lists(spark, sf_dir)))[0].drop("full_text")
+
+
 def _blocks(spark, sf_dir) -> DataFrame:
     """Lines as blocks: every fifth one is a title."""
     null = F.lit(None)
@@ -514,7 +590,7 @@ def chunk_links(spark, sf_dir):
 # ---- Splitting: K11-K18, K4 ----
 
 
-@query()
+@query(checking.RECURSIVE)
 def recursive_split_text(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(split.text_pieces(F.col("text"), 500, 20)).alias("pos", "piece"))
@@ -530,7 +606,7 @@ def sentence_split(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(split.sentence_pieces(F.col("text"))).alias("pos", "sentence"))
 
 
-@query()
+@query(checking.SECTIONS)
 def section_split(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     told = docs.select("doc_id", split.sections_split(F.col("source"), F.col("text"), 500, 20, 20, 1000).alias("s"))
@@ -540,7 +616,7 @@ def section_split(spark, sf_dir):
 # ---- Whole documents as chunks, and tables: K1-K3, K19, K20, K22-K25 ----
 
 
-@query()
+@query(checking.chunks(ISLANDS, PATHS))
 def document_chunks(spark, sf_dir):
     """Chunks of all documents from their blocks, and from the full text of those without any."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("full_text"), "source")
@@ -559,6 +635,3 @@ def table_markdown(spark, sf_dir):
     html = _table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 20).alias("table_id")).agg(F.concat(F.lit("<table><thead><tr><th>id</th><th>lang</th></tr></thead><tbody>"), rows, F.lit("</tbody></table>")).alias("html"))
     return html.select("table_id", F.posexplode(tables.tables_split(F.col("html"), F.lit(None).cast("string"), 110)).alias("pos", "p")).select("table_id", "pos", "p.text", "p.row_start", "p.row_end")
 
-
-QUERIES |= cases.QUERIES
-ORACLE_SQL |= cases.ORACLE_SQL

@@ -93,13 +93,13 @@ class Store:
     def _at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def _there(self, name: str) -> bool:
+    def there(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def read(self, name: str, schema: StructType | str | None = None) -> DataFrame:
         """The table as it is; without one an empty table of ``schema``."""
-        if not self._there(name):
+        if not self.there(name):
             if schema is None:
                 raise LookupError(f"no table {name}")
             return self.spark.createDataFrame([], schema)
@@ -115,7 +115,7 @@ class Store:
         bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
         rows = settled(rows.withColumn(BUCKET, bucket), name)
         touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
-        if self._there(name):
+        if self.there(name):
             old = self.spark.read.option("mergeSchema", "true").parquet(self._at(name)).where(F.col(BUCKET).isin(touched))
             rows = settled(replaced(old, rows, key), name)
         # Rows of a bucket stand together, so a bucket has few files.
