@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import others, quoted
 
 #: Pieces that a worker remembers of late, pairs of neighbours whose boundary it has judged, and characters taken at once.
-PIECES = 150_000
-PAIRS = 400_000
+PIECES = 60_000
+PAIRS = 150_000
 AT_ONCE = 1_500_000
 
 
