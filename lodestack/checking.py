@@ -201,3 +201,19 @@ PAGE_BLOCK_ROWS = f"""WITH {PAGE_BLOCKS}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS "order", kind AS type, text, html, logical_table_id, page::INT AS page_idx, n_merged::INT AS n_merged FROM m"""
 PAGE_REPORT = f"""WITH {PAGE_BLOCKS},
 {reported("(SELECT doc_id, place, kind, coalesce(text, html) AS part, n_merged FROM m)")}"""
+
+# Orders as tables: a caption, a head for even ones, rows that lack a cell or have one too many, a bar in a cell, a comment that may be long.
+_ORDER_CELLS = "list_concat([l_linenumber::VARCHAR, l_quantity::INT || '|' || l_linestatus], CASE WHEN l_linenumber % 3 = 0 THEN [] WHEN l_linenumber % 4 = 0 THEN ['é  ' || l_returnflag, 'more'] WHEN l_linenumber % 5 = 0 THEN [repeat('long ', (l_orderkey % 60)::INT) || 'x'] ELSE ['é  ' || l_returnflag] END)"
+_LINE = lambda cells: f"'| ' || array_to_string(list_transform(list_concat({cells}, ['', '', '', '', ''])[:width], lambda c: trim(regexp_replace(replace(c, '|', '\\|'), '{SPACE}', ' ', 'g'))), ' | ') || ' |'"
+_GROUP = """CASE WHEN fixed + length(y) + 1 + CASE WHEN prefix <> '' AND len(s.done) = 0 AND s.i = s.first THEN length(prefix) + 2 ELSE 0 END > 200
+THEN {'i': s.i + 1, 'first': s.i + 1, 'n': 0::BIGINT, 'done': list_append(CASE WHEN s.i > s.first THEN list_append(s.done, {'a': s.first, 'b': s.i - 1}) ELSE s.done END, {'a': s.i, 'b': s.i})}
+WHEN s.i > s.first AND fixed + s.n + length(y) + 1 > 200 THEN {'i': s.i + 1, 'first': s.i, 'n': length(y) + 1, 'done': list_append(s.done, {'a': s.first, 'b': s.i - 1})}
+ELSE {'i': s.i + 1, 'first': s.first, 'n': s.n + length(y) + 1, 'done': s.done} END"""
+ORDER_TABLES = f"""WITH r AS (SELECT l_orderkey AS k, list({_ORDER_CELLS} ORDER BY l_linenumber, l_partkey, l_quantity) AS cells FROM lineitem GROUP BY l_orderkey),
+h AS (SELECT k, CASE WHEN k % 2 = 0 THEN ['no', 'amount', 'flag'] ELSE cells[1] END AS head, CASE WHEN k % 2 = 0 THEN cells ELSE cells[2:] END AS rows, CASE WHEN k % 5 = 0 THEN 'order ' || k ELSE '' END AS prefix, len(CASE WHEN k % 2 = 0 THEN ['no', 'amount', 'flag'] ELSE cells[1] END) AS width FROM r),
+l AS (SELECT k, prefix, width, 'Table ' || k || chr(10) || chr(10) || {_LINE('head')} || chr(10) || {_LINE("list_transform(range(width), lambda i: '---')")} AS top, list_transform(rows, lambda r: {_LINE('r')}) AS lines FROM h),
+f AS (SELECT *, length(top) + 1 AS fixed FROM l),
+g AS (SELECT *, list_reduce(lines, lambda s, y: {_GROUP}, {{'i': 0::BIGINT, 'first': 0::BIGINT, 'n': 0::BIGINT, 'done': []::STRUCT(a BIGINT, b BIGINT)[]}}) AS s FROM f),
+o AS (SELECT *, CASE WHEN len(lines) = 0 THEN [{{'a': 0::BIGINT, 'b': -1::BIGINT}}] WHEN s.first < len(lines) THEN list_append(s.done, {{'a': s.first, 'b': len(lines) - 1}}) ELSE s.done END AS ranges FROM g),
+p AS (SELECT *, unnest(range(len(ranges))) AS pos, unnest(ranges) AS x FROM o)
+SELECT k AS table_id, pos::INT AS pos, CASE WHEN prefix <> '' AND pos = 0 THEN prefix || chr(10) || chr(10) ELSE '' END || array_to_string(list_concat([top], lines[x.a + 1:x.b + 1]), chr(10)) AS text, x.a::INT AS row_start, x.b::INT AS row_end, width::INT AS cols FROM p"""

@@ -34,20 +34,27 @@ def soft_units(text: str) -> list[str]:
 LEVELS: list[tuple[Cut, str]] = [(paragraphs, "\n\n"), (sentences, ""), (soft_units, "")]
 
 
-def recursive_split(text: str, size: int, overlap: int = 0, level: int = 0) -> list[str]:
+def recursive_split(text: str, size: int, overlap: int = 0) -> list[str]:
     """Pieces of at most ``size`` characters, of the coarsest units that fit; a window cut where no unit does.
 
     Joining drops the blanks between sentences. Overlap is of window cuts only. Size 0 or less keeps the text whole.
     """
+    return list(each_piece(text, size, overlap))
+
+
+def each_piece(text: str, size: int, overlap: int = 0, level: int = 0) -> Iterator[str]:
+    """The pieces of ``recursive_split`` as they are cut."""
     text = text.strip()
     if not text or size <= 0 or len(text) <= size:
-        return [text] if text else []
+        yield from [text] if text else []
+        return
     for at in range(level, len(LEVELS)):
         cut, joiner = LEVELS[at]
         units = cut(text)
         if len(units) > 1:
-            return list(_packed(units, size, overlap, joiner, at + 1))
-    return windows(text, size, overlap)
+            yield from _packed(units, size, overlap, joiner, at + 1)
+            return
+    yield from windows(text, size, overlap)
 
 
 def _packed(units: list[str], size: int, overlap: int, joiner: str, finer: int) -> Iterator[str]:
@@ -64,7 +71,7 @@ def _packed(units: list[str], size: int, overlap: int, joiner: str, finer: int)
         if len(unit) <= size:
             held = unit
         else:
-            yield from recursive_split(unit, size, overlap, finer)
+            yield from each_piece(unit, size, overlap, finer)
     if held:
         yield held
 

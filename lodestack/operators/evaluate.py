@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import matches_keywords
+from lodestack.operators.anchors import holding
 from lodestack.operators.retrieval import present
-from lodestack.sources.shared import settled
 
 DEFAULT_TOP_K = 3
 
@@ -27,36 +23,6 @@ def most_frequent_top_k(cases: DataFrame, request: int | None = None) -> DataFra
     return counts.agg(F.max_by("top_k", F.struct("n", "top_k")).alias("best")).select(F.coalesce(F.lit(request).cast("int"), F.col("best").cast("int"), F.lit(DEFAULT_TOP_K)).alias("top_k"))
 
 
-#: Anchors that one pass over the texts looks for.
-ANCHORS_AT_ONCE = 50_000
-
-
-def _holding(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(chunk_id, anchor) for each of the distinct ``anchors`` that stands in a chunk's text: all are looked for in one pass.
-
-    Anchors are the stated labels; they go to the tasks in blocks of ``ANCHORS_AT_ONCE``. If there are several, one's result
-    is stored before the next is read, so the driver holds one block at most.
-    """
-    blocks = -(-max(1, anchors.count()) // ANCHORS_AT_ONCE)
-    id_type, found = dict(chunks.dtypes)["chunk_id"], None
-    for b in range(blocks):
-        words = [r[0] for r in anchors.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b).collect()]
-
-        def search(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            for w in words:
-                automaton.add_word(w, w)
-            automaton.make_automaton()
-            for batch in batches:
-                hits = [(i, w) for i, t in enumerate(batch.column(1).to_pylist()) if t and words for w in {w for _, w in automaton.iter(t)}]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in hits], pa.int64())), pa.array([w for _, w in hits], pa.string())], ["chunk_id", "anchor"])
-
-        part = chunks.select("chunk_id", "chunk_text").mapInArrow(search, f"chunk_id {id_type}, anchor string")
-        part = settled(part, "anchored") if blocks > 1 else part
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 def evidence_pairs(keys: DataFrame, chunks: DataFrame) -> DataFrame:
     """(case_id, key_pos, chunk_id, chunk_doc, chunk_index) for each chunk that fits an evidence key.
 
@@ -68,7 +34,7 @@ def evidence_pairs(keys: DataFrame, chunks: DataFrame) -> DataFrame:
     out = ["case_id", "key_pos", "chunk_id", "chunk_doc", "chunk_index"]
     same_doc = F.col("key_doc").isNull() | (F.col("key_doc") == F.col("chunk_doc"))
     by_hash = k.where("hash is not null").join(c, (F.col("hash") == F.col("chunk_hash")) & same_doc).select(*out)
-    held = _holding(chunks, k.where("anchor is not null").select("anchor").distinct())
+    held = holding(chunks, k.where("anchor is not null").select("anchor"))
     by_anchor = held.join(k, "anchor").join(c, "chunk_id").where(same_doc).select(*out)
     return by_hash.unionByName(by_anchor).distinct()
 

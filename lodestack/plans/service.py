@@ -301,7 +301,8 @@ class Service:
         found = settled(part.select(F.col("query_id").alias("case_id"), "rank", "chunk_id", "chunk_text"), "retrieved")
         ids = found.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("id")))).alias("ids"))
         scores = evaluate.score_cases(cases, found).drop("n_retrieved").withColumn("latency_ms", F.lit(ms)).join(cases.select("case_id", "query_text"), "case_id").join(ids, "case_id", "left")
-        run_id = max(self.store.read(t, "run_id long").agg(F.max("run_id")).first()[0] or 0 for t in ("runs", "run_items")) + 1
+        last = max(self.store.read(t, "run_id long").agg(F.max("run_id")).first()[0] or 0 for t in ("runs", "run_items"))
+        run_id = self.store.new_id("run", last)
         scores = scores.withColumn("retrieved_chunk_ids", F.coalesce(F.col("ids.id"), F.array().cast("array<string>"))).drop("ids")
         items = settled(scores.withColumn("run_id", F.lit(run_id).cast("long")), "run-items")
         self.store.append("run_items", items)

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack import checking
-from lodestack.functions import split, tables
+from lodestack.functions import kernels, split, tables
 from lodestack.functions import text as T
 from lodestack.functions.vectors import bigram_vector
 from lodestack.operators import evaluate, extract, monitor, pivots, retrieval
+from lodestack.operators.anchors import holding
 from lodestack.operators.chunk import chunk_documents, islands, linked, sections
 from lodestack.operators.index import Index, changes
 from lodestack.plans.service import Service
@@ -245,6 +246,16 @@ def evidence_resolve(spark, sf_dir):
     return evaluate.evidence_pairs(_keys(spark, sf_dir), _chunks(spark, sf_dir)).select("case_id", "chunk_id")
 
 
+@query("""WITH a AS (SELECT DISTINCT anchor FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS anchor FROM documents UNION ALL SELECT trim(unnest(string_split(text, chr(10)))) FROM benchmark) WHERE anchor <> ''),
+w AS (SELECT anchor, count(*) AS chunks, min(doc_id) AS first FROM a JOIN documents ON contains(text, anchor) GROUP BY anchor) SELECT anchor, chunks, first FROM w""")
+def anchor_lines(spark, sf_dir):
+    """Every line of documents and items as an anchor: in how many documents it stands, and the first of them."""
+    lines = _table(spark, sf_dir, "documents").select("text").unionByName(_table(spark, sf_dir, "benchmark").select("text"))
+    anchors = lines.select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("anchor"))
+    held = holding(_chunks(spark, sf_dir), anchors)
+    return held.groupBy("anchor").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk_id").alias("first"))
+
+
 @query("""WITH p AS (SELECT item_id, doc_id FROM benchmark, documents WHERE contains(documents.text, trim(benchmark.text))),
 r AS (SELECT item_id, list(doc_id::VARCHAR ORDER BY doc_id) AS ids FROM p GROUP BY 1)
 SELECT b.item_id::VARCHAR AS case_id, array_to_string(list_filter(list_concat([b.item_id::VARCHAR], coalesce(r.ids, [])), lambda x, i: i = 1 OR x <> b.item_id::VARCHAR), ',') AS ids
@@ -606,6 +617,14 @@ def sentence_split(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(split.sentence_pieces(F.col("text"))).alias("pos", "sentence"))
 
 
+@query(checking.RECURSIVE)
+def recursive_pieces(spark, sf_dir):
+    """As recursive_split_text, by a table function: each piece leaves the task as it is cut."""
+    docs = _table(spark, sf_dir, "documents")
+    cut = kernels.recursive_pieces(F.col("text").outer(), F.lit(500), F.lit(20))
+    return docs.lateralJoin(cut).select("doc_id", "pos", "piece")
+
+
 @query(checking.SECTIONS)
 def section_split(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -635,3 +654,29 @@ def table_markdown(spark, sf_dir):
     html = _table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 20).alias("table_id")).agg(F.concat(F.lit("<table><thead><tr><th>id</th><th>lang</th></tr></thead><tbody>"), rows, F.lit("</tbody></table>")).alias("html"))
     return html.select("table_id", F.posexplode(tables.tables_split(F.col("html"), F.lit(None).cast("string"), 110)).alias("pos", "p")).select("table_id", "pos", "p.text", "p.row_start", "p.row_end")
 
+
+def _order_tables(spark, sf_dir) -> DataFrame:
+    """(table_id, html, prefix): a table of each order; odd ones have no head, rows lack a cell or have one too many."""
+    n, flag = F.col("l_linenumber"), F.concat(F.lit("é  "), "l_returnflag")
+    more = F.when(n % 3 == 0, F.array().cast("array<string>")).when(n % 4 == 0, F.array(flag, F.lit("more"))).when(n % 5 == 0, F.array(F.concat(F.repeat(F.lit("long "), (F.col("l_orderkey") % 60).cast("int")), F.lit("x")))).otherwise(F.array(flag))
+    cells = F.concat(F.array(n.cast("string"), F.concat_ws("|", F.col("l_quantity").cast("int"), "l_linestatus")), more)
+    row = F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), "l_partkey", "l_quantity", row.alias("row")))), lambda x: x["row"]), "")
+    head = F.when(F.col("l_orderkey") % 2 == 0, "<thead><tr><th>no</th><th>amount</th><th>flag</th></tr></thead>").otherwise("")
+    html = F.concat(F.lit("<table><caption> Table "), "l_orderkey", F.lit("</caption>"), head, F.lit("<tbody>"), rows, F.lit("</tbody></table>"))
+    prefix = F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("order "), "l_orderkey"))
+    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(html.alias("html")).select(F.col("l_orderkey").alias("table_id"), "html", prefix.alias("prefix"))
+
+
+@query(checking.ORDER_TABLES)
+def order_table_pieces(spark, sf_dir):
+    """As order_tables, by a table function in SQL."""
+    kernels.register(spark)
+    return spark.sql("SELECT table_id, p.pos, p.text, p.row_start, p.row_end, p.cols FROM {orders} t, LATERAL table_pieces(t.html, t.prefix, 200) p", orders=_order_tables(spark, sf_dir))
+
+
+@query(checking.ORDER_TABLES)
+def order_tables(spark, sf_dir):
+    """Orders' tables as Markdown pieces: captions, heads and first rows as heads, ragged and too long rows, prefixes."""
+    split = tables.tables_split(F.col("html"), F.col("prefix"), 200)
+    return _order_tables(spark, sf_dir).select("table_id", F.posexplode(split).alias("pos", "p")).select("table_id", "pos", "p.text", "p.row_start", "p.row_end", "p.cols")

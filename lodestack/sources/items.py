@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.sources.shared import settled
+
+#: Paths that one listing of chosen files has.
+PATHS_AT_ONCE = 50_000
+
+
 def _string(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
@@ -90,7 +97,14 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
     Of several such files in a folder the first by name counts.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select("value", F.input_file_name().alias("file"))
-    files = files.where(F.col("file").rlike(r"_content_list\.json$|_v2\.json$")).withColumn("doc_id", F.element_at(F.split("file", "/"), -2))
+    # Chosen by path alone: the listing reads no contents, and only the files chosen are opened.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
     rank = F.struct(F.col("file").endswith("_v2.json"), F.col("file"))
-    return items_of(files.groupBy("doc_id").agg(F.min_by("value", rank).alias("json")))
+    named = listed.where(F.col("file").rlike(r"_content_list\.json$|_v2\.json$")).withColumn("doc_id", F.element_at(F.split("file", "/"), -2))
+    chosen = settled(named.groupBy("doc_id").agg(F.min_by("file", rank).alias("file")), "chosen-files")
+    blocks, texts = -(-chosen.count() // PATHS_AT_ONCE), None
+    for b in range(blocks):
+        paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r[0]) for r in chosen.where(F.pmod(F.xxhash64("file"), F.lit(blocks)) == b).select("file").collect()]
+        some = spark.read.option("wholetext", "true").text(paths).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("doc_id"), F.col("value").alias("json")) if paths else None
+        texts = some if texts is None else texts if some is None else texts.unionByName(some)
+    return items_of(spark.createDataFrame([], "doc_id string, json string") if texts is None else texts)

@@ -1,11 +1,16 @@
 """Keyed tables as Parquet: replace by key, upsert, append, snapshots.
 
 A table is a folder of Parquet files, dealt into buckets by the hash of its key. What replaces rows rewrites the buckets of
-its keys alone, by Spark's dynamic partition overwrite. There is one writer at a time.
+its keys alone, by Spark's dynamic partition overwrite. Keyed tables have one writer at a time; snapshots and runs, which are
+appended under ids that their writers claim, may have several.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -126,20 +131,73 @@ class Store:
         return self.replace(name, last_of_each(rows, key, ordinal), key)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("append").parquet(self._at(name))
+        """Adds ``rows``. They are written aside and their files renamed into the table: two writers that committed in one folder
+        would take each other's unfinished files away. Files have names of their own, and one is there as a whole or not at all.
+        """
+        aside = self._at(f"_aside/{uuid.uuid4().hex}")
+        rows.write.parquet(aside)
+        path, table = (self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, self._at(name)))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(table)
+        for f in fs.listStatus(path):
+            if f.getPath().getName().startswith("part-") and not fs.rename(f.getPath(), table):
+                raise OSError(f"{f.getPath()} could not be renamed into {name}")
+        fs.delete(path, True)
         return self.read(name)
 
+    def claimed(self, name: str) -> bool:
+        """Whether ``name`` is this writer's from now on: its file was made here, and no other writer had made it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(f"_claims/{name}"))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path.getParent())
+        if fs.getScheme() == "file":  # whose own create looks first and makes the file then
+            try:
+                os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            fs.create(path, False).close()
+        except Exception:
+            if fs.exists(path):
+                return False
+            raise
+        return True
+
+    def release(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(f"_claims/{name}"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
+    def new_id(self, kind: str, last: int) -> int:
+        """The first number after ``last`` that no writer has claimed yet: it is claimed."""
+        while not self.claimed(f"{kind}-{(last := last + 1)}"):
+            pass
+        return last
+
     def freeze(self, label: str, chunks: DataFrame, created_at: Column, note: str | None = None, pipeline_version: str | None = None) -> int:
         """Snapshots ``chunks`` under a label that isn't taken and tells the snapshot's id.
 
-        Its head is written last, under an id that neither heads nor items have: items that a failure leaves behind belong to
-        no snapshot.
+        Label and id are claimed before anything is written, so of several writers one has the label and each an id of its own.
+        The head is written last: items that a failure leaves behind belong to no snapshot. A failure gives the label back;
+        where the driver itself is lost, ``release`` of the label's claim does.
         """
-        heads = self.read("freezes", FREEZE)
-        if heads.where(F.col("freeze_label") == label).limit(1).count():
+        claim = f"label-{hashlib.sha256(label.encode()).hexdigest()}"
+        if not self.claimed(claim):
             raise DuplicateLabel(label)
+        try:
+            if self.read("freezes", FREEZE).where(F.col("freeze_label") == label).limit(1).count():
+                raise DuplicateLabel(label)
+            return self._frozen(label, chunks, created_at, note, pipeline_version)
+        except DuplicateLabel:
+            raise
+        except Exception:
+            self.release(claim)
+            raise
+
+    def _frozen(self, label: str, chunks: DataFrame, created_at: Column, note: str | None, pipeline_version: str | None) -> int:
+        heads = self.read("freezes", FREEZE)
         last = heads.select("freeze_id").unionByName(self.read("freeze_items", "freeze_id long").select("freeze_id")).agg(F.max("freeze_id")).first()[0]
-        freeze_id = (last or 0) + 1
+        freeze_id = self.new_id("freeze", last or 0)
         items = settled(snapshot(chunks, F.lit(freeze_id).cast("long")), "snapshot")
         n = items.agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("chunks")).first()
         if not n["chunks"]:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.functions import kernels, remote, split, tables
+from lodestack.operators import anchors, monitor, pivots, retrieval
 from lodestack.operators import index as indexes
-from lodestack.operators import monitor, pivots, retrieval
-from lodestack.sources.store import Store
+from lodestack.sources import items
+from lodestack.sources.store import DuplicateLabel, NoChunks, Store
+from lodestack.streaming import query_log
 
 
 @pytest.mark.parametrize("in_a_range", [1_000_000, 7, 1])
@@ -99,3 +104,170 @@ def test_plain_filters(spark):
             assert sorted(map(repr, told[0])) == sorted(map(repr, told[1])), (name, value)
     plan = df.where(retrieval.matches({"chunk_id": 1, "s": "x"}, df.dtypes))._jdf.queryExecution().optimizedPlan().toString()
     assert "variant" not in plan and "json" not in plan
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_anchors(spark, monkeypatch, sent):
+    """Anchors of every length against plain containment; hot grams, repeats, odd bytes; nothing but lengths is collected."""
+    monkeypatch.setattr(anchors, "GRAMS_SENT", sent)
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("aab é好\n") for _ in range(n))
+    chunks = [(i, text(rnd.choice([0, 3, 20, 60, 200]))) for i in range(120)] + [(200, None), (201, "a" * 300), (202, "x")]
+    found = ["", None, "x", "a" * 40, "a" * 301, "zz"] + [t[k : k + n] for _, t in rnd.sample(chunks[:120], 80) for n in (1, 2, 5, 7, 8, 9, 15, 30, 31, 60) if t for k in [rnd.randrange(len(t))]]
+    df = spark.createDataFrame(chunks, "chunk_id long, chunk_text string")
+    got = anchors.holding(df, spark.createDataFrame([(a, 1) for a in found], "anchor string, n int")).collect()
+    assert sorted((r.chunk_id, r.anchor) for r in got) == sorted((i, a) for i, t in chunks if t for a in {a for a in found if a} if a in t)
+    assert anchors.holding(df, spark.createDataFrame([], "anchor string")).collect() == [] and anchors.holding(df.limit(0), spark.createDataFrame([("a",)], "anchor string")).collect() == []
+
+
+def test_table_functions(spark):
+    """Pieces by LATERAL are those of the arrays; texts without any give no row."""
+    kernels.register(spark)
+    texts = [(1, "Satz eins. " * 90), (2, ""), (3, None), (4, "x" * 1200), (5, "a\n\nb")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = spark.sql("select id, p.* from {df} t, lateral recursive_pieces(t.text, 500, 20) p", df=df).collect()
+    assert sorted(map(tuple, got)) == sorted((i, k, p) for i, t in texts for k, p in enumerate(split.recursive_split(t or "", 500, 20)))
+    html = "<table><tr><th>a</th></tr>" + "<tr><td>bcd</td></tr>" * 50 + "</table>"
+    rows = spark.createDataFrame([(1, html, "p"), (2, None, None), (3, "<table></table>", None)], "id int, html string, prefix string")
+    got = spark.sql("select id, p.text, p.row_start, p.row_end from {df} t, lateral table_pieces(t.html, t.prefix, 60) p", df=rows).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, p["text"], p["row_start"], p["row_end"]) for i, h, x in rows.collect() for p in tables.pieces(h, x, 60)), key=repr) and len(got) > 5
+
+
+def plain_parse(html: str) -> tuple:
+    """A table by its definition: every cell and caption is looked up for every row and text."""
+    seen, depth, marks = tables._Tape(html).seen, 0, defaultdict(list)
+    for i, (sign, tag) in enumerate(seen):
+        if sign and tag == "table":
+            depth = max(0, depth + (1 if sign == "+" else -1))
+        elif sign and depth == 1:
+            marks["cell" if tag in ("td", "th") else tag].append((i, sign))
+
+    def closed(own, first):
+        out, at = [], None
+        for i, sign in own:
+            if sign == "+":
+                at = i if at is None or not first else at
+            elif at is not None:
+                out.append((at, i))
+                at = None
+        return out
+
+    captions = closed(marks["caption"], True)
+    dangling = [i for i, sign in marks["caption"] if sign == "+" and all(i > b for _, b in captions)][:1]
+    hidden = captions + [(i, len(seen)) for i in dangling]
+    text = lambda a, b: "".join(d for k, (sign, d) in enumerate(seen) if a <= k < b and not sign and not any(x < k < y for x, y in hidden)).strip()
+    within = lambda tag, i: next((sign == "+" for k, sign in reversed(marks[tag]) if k < i), False)
+    cells = [(b, text(a, b)) for a, b in closed([m for m in marks["cell"] if m[1] == "-" or within("tr", m[0])], False)]
+    rows = [(within("thead", b), [t for at, t in cells if a < at < b]) for a, b in closed(marks["tr"], False)]
+    head, body = ([c for inside, c in rows if c and inside == k] for k in (True, False))
+    caption = "".join(d for sign, d in seen[slice(*captions[-1])] if not sign).strip() if captions else ""
+    return (caption, head[0], body) if head else (caption, body[0] if body else [], body[1:])
+
+
+def test_tables_in_linear_time():
+    """Nested and unclosed tags at random against the definition; ten times the rows take about ten times as long."""
+    rnd = random.Random(4)
+    tags = "<table> </table> <tr> </tr> <td> </td> <th> </th> <thead> </thead> <tbody> </tbody> <caption> </caption> a b c".split()
+    for _ in range(4000):
+        html = rnd.choice(["<table>", ""]) + "".join(rnd.choice(tags) for _ in range(rnd.randint(0, 40)))
+        t = tables.parse(html)
+        assert (t.caption, t.headers, t.rows) == plain_parse(html), html
+
+    def seconds(n: int) -> float:
+        html = "<table><caption>x</caption>" + "<tr><td>a</td><td>b</td></tr>" * n + "</table>"
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            assert len(tables.pieces(html, "p", 10**9)) == 1
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(20_000) < 30 * seconds(2_000)
+
+
+def test_remote_vectors(spark, tmp_path):
+    """Requests are bounded, equal texts go once, failures are tried again and told by row."""
+
+    def call(texts, timeout, log=str(tmp_path)):
+        import os
+        import random
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\x1e".join(texts))
+        assert len(texts) <= 7 and timeout == 9.0 and not any("\n" in t for t in texts)
+        if any(t == "refused" for t in texts):
+            raise RuntimeError("refused")
+        if random.Random(os.urandom(4)).random() < 0.3:
+            raise TimeoutError("late")
+        return [[] if t == "void" else [float(len(t)), 1.0] for t in texts]
+
+    model = remote.Remote(call, texts_at_once=7, chars_at_once=200, timeout=9.0, retries=8, wait=0.001)
+    rows = [(i, t) for i, t in enumerate([None, "", "refused", "void", "two\nlines", *("same" for _ in range(40)), *(f"text {k}" * (k % 9) for k in range(60)), "x" * 500])]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    got = {r.id: r.v for r in df.select("id", model.vectors(F.col("text")).alias("v")).collect()}
+    for i, t in rows:
+        if t in ("refused", "void"):
+            assert got[i].vector is None and (t if t == "refused" else "no vector") in got[i].error
+        else:
+            assert got[i].error is None and got[i].vector == (None if t is None else [float(len(t)), 1.0])
+    sent = [p.read_text().split("\x1e") for p in tmp_path.iterdir()]
+    assert all(sum(map(len, r)) <= 200 or len(r) == 1 for r in sent) and sum("same" in r for r in sent) <= 9 * 4
+    with pytest.raises(Exception, match="refused"):
+        df.where("id = 2").select(model(F.col("text"))).collect()
+    good = df.where("id > 3").select("id", model(F.col("text")).alias("v"))
+    assert {r.id: r.v for r in good.collect()} == {i: [float(len(t)), 1.0] for i, t in rows if i > 3}
+
+
+def test_two_writers(spark, tmp_path):
+    """Of two writers at once each gets a number of its own, and one of them a label."""
+    chunks = spark.createDataFrame([("d", 0, "c", "text")], "doc_id string, chunk_index int, chunk_id string, chunk_text string")
+    stores = [Store(spark, str(tmp_path / "s")) for _ in range(2)]
+    with ThreadPoolExecutor(8) as pool:
+        ids = list(pool.map(lambda k: stores[k % 2].freeze(f"label {k}", chunks, F.current_timestamp()), range(6)))
+        assert sorted(ids) == [*range(1, 7)]
+
+        def same(k):
+            try:
+                return stores[k % 2].freeze("one", chunks, F.current_timestamp())
+            except DuplicateLabel:
+                return None
+
+        assert sorted(x for x in pool.map(same, range(6)) if x) == [7]
+    assert sorted(r.freeze_id for r in stores[0].read("freezes").collect()) == [*range(1, 8)]
+    with pytest.raises(NoChunks):
+        stores[0].freeze("later", chunks.limit(0), F.current_timestamp())
+    assert stores[1].freeze("later", chunks, F.current_timestamp()) > 7
+
+
+def test_batches_written_once(spark, tmp_path):
+    """A batch that was written, but whose commit was lost, is run again and adds nothing."""
+    rows = "created_at timestamp, total_ms double, is_empty_recall boolean"
+    made = lambda a, b: spark.sql(f"select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id) as created_at, double(id) as total_ms, id % 2 = 0 as is_empty_recall from range({a}, {b})")
+    live = lambda: spark.readStream.schema(rows).parquet(str(tmp_path / "in"))
+    run = lambda: query_log.append_log(live(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    told = lambda: sorted(r.total_ms for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    made(0, 20).write.parquet(str(tmp_path / "in"))
+    run()
+    assert told() == [float(i) for i in range(20)]
+    for f in (tmp_path / "cp" / "commits").iterdir():  # as if the driver had gone after the write
+        f.unlink()
+    run()
+    assert told() == [float(i) for i in range(20)]
+    made(20, 30).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert told() == [float(i) for i in range(30)]
+    seen = {}
+    query_log.trailing(live(), str(tmp_path / "cp2"), lambda batch, _: seen.update({r.window_end: r.query_count for r in batch.collect()}), 5).awaitTermination()
+    # Rows come one a minute: each full window of five minutes holds five.
+    assert sum(n == 5 for n in seen.values()) == 26 and sum(seen.values()) == 30 * 5
+
+
+def test_only_chosen_files_are_opened(spark, tmp_path):
+    """Files are chosen by name before any is read: a file that can't be read as text stands beside a chosen one; no contents are shuffled."""
+    for folder, name, text in (("a", "x_content_list.json", '[{"type": "text", "text": "one"}]'), ("a", "y_v2.json", "[["), ("b [1]", "z_v2.json", '[[{"type": "paragraph", "content": {"paragraph_content": "two"}}]]'), ("c", "other.json", "{}")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+    found = items.read_items(spark, str(tmp_path))
+    assert len({r.doc_id for r in found.collect()}) == 2 and sorted(r.text for r in found.collect()) == ["one", "two"]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
