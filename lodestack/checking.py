@@ -217,3 +217,13 @@ g AS (SELECT *, list_reduce(lines, lambda s, y: {_GROUP}, {{'i': 0::BIGINT, 'fir
 o AS (SELECT *, CASE WHEN len(lines) = 0 THEN [{{'a': 0::BIGINT, 'b': -1::BIGINT}}] WHEN s.first < len(lines) THEN list_append(s.done, {{'a': s.first, 'b': len(lines) - 1}}) ELSE s.done END AS ranges FROM g),
 p AS (SELECT *, unnest(range(len(ranges))) AS pos, unnest(ranges) AS x FROM o)
 SELECT k AS table_id, pos::INT AS pos, CASE WHEN prefix <> '' AND pos = 0 THEN prefix || chr(10) || chr(10) ELSE '' END || array_to_string(list_concat([top], lines[x.a + 1:x.b + 1]), chr(10)) AS text, x.a::INT AS row_start, x.b::INT AS row_end, width::INT AS cols FROM p"""
+
+
+def bigrams(name: str, rows: str) -> str:
+    """CTEs that end in ``name`` (doc_id, e): the vectors of bigrams of the texts of ``rows``."""
+    return f"""{name}_t AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ''), '<empty>') AS t FROM {rows}),
+{name}_g AS (SELECT doc_id, unnest(range(1, greatest(2, length(t)))) AS i, t FROM {name}_t),
+{name}_p AS (SELECT doc_id, substr(t, i, 2) AS p, count(*) AS n FROM {name}_g GROUP BY 1, 2),
+{name}_h AS (SELECT p, ('0x' || right(md5(p), 2))::INT AS h FROM (SELECT DISTINCT p FROM {name}_p)),
+{name}_v AS (SELECT doc_id, h % 64 AS k, sum(CASE WHEN (h >> 1) & 1 = 0 THEN n ELSE -n END)::DOUBLE AS value FROM {name}_p JOIN {name}_h USING (p) GROUP BY 1, 2),
+{name} AS (SELECT doc_id, (list_transform(range(64), lambda i: coalesce(m[i::INT], 0) + CASE WHEN i = 0 THEN 1 ELSE 0 END))::DOUBLE[] AS e FROM (SELECT doc_id, map_from_entries(list((k::INT, value))) AS m FROM {name}_v GROUP BY doc_id))"""

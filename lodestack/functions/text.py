@@ -17,7 +17,7 @@ SYMBOLS_ONLY = r"(?U)^[\W_]+$"
 DOTTED_LINE = r"(?U)^.{0,40}[\.·…\s]{3,}.{0,20}\d+\s*$"
 TITLE_NUMBER = r"(?U)^(\d+(?:\.\d+)*\.?)(?=[^\s\d.])"
 LEADING_NUMBER = r"(?U)^(\d+(?:\.\d+)*)"
-LIST_PREFIXES = [r"[•·●○◆▪►➤]\s*", r"[-–—]\s+", r"\d+[\.、．]\s*", r"[（(]\d+[）)]\s*", r"[一二三四五六七八九十]+[、．.]\s*"]
+LIST_LINE = r"(?U)^(?:[•·●○◆▪►➤]\s*|[-–—]\s+|\d+[\.、．]\s*|[（(]\d+[）)]\s*|[一二三四五六七八九十]+[、．.]\s*)"
 WATERMARKS = [r"^\(?\s*注\s*[:：].*AI\s*生成", r"文档部分内容可能由\s*AI\s*生成", r"本(?:文档|内容).{0,20}由\s*AI\s*(?:生成|撰写)"]
 PROTOCOL_CODE = r"(?U)\b0x[0-9A-Fa-f]{2,}\b"
 PROTOCOL_RUN = r"(?U)(?:[0-9A-Fa-f]{2}[\s\-:]){3,}[0-9A-Fa-f]{2}"
@@ -86,7 +86,7 @@ def is_contents_line(text: Column) -> Column:
 
 
 def is_list_line(text: Column) -> Column:
-    return text.rlike(rf"(?U)^(?:{'|'.join(LIST_PREFIXES)})")
+    return text.rlike(LIST_LINE)
 
 
 def is_watermark(text: Column) -> Column:
@@ -104,16 +104,6 @@ def repeats_end(before: str, text: str) -> bool:
     return n == m or n <= max(m // 2, 8) or (n < 40 and n < 0.6 * m)
 
 
-def is_suffix_copy(before: Column, text: Column) -> Column:
-    """``repeats_end`` of two columns."""
-
-    @F.arrow_udf("boolean")
-    def each(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if None in r else repeats_end(*r) for r in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
-
-    return each(before, text)
-
-
 def token_count(text: Column) -> Column:
     """A CJK character counts as a token, and so does each run of other characters without white space."""
     return F.size(F.regexp_extract_all(text, F.lit(rf"(?U)[{CJK}]|[^\s\x1C-\x1F{CJK}]+"), F.lit(0)))

@@ -21,7 +21,7 @@ from lodestack.operators.anchors import holding
 from lodestack.operators.chunk import chunk_documents, islands, linked, sections
 from lodestack.operators.index import Index, changes
 from lodestack.plans.service import Service
-from lodestack.sources import items, store
+from lodestack.sources import forms, items, store
 from lodestack.sources.shared import own_dir, settled
 from lodestack.streaming import query_log
 
@@ -133,17 +133,12 @@ def hash_vectoriser(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(bigram_vector(F.col("text"))).alias("at", "value"))
 
 
-BIGRAMS = """
-t AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ''), '<empty>') AS t FROM {rows}),
-g AS (SELECT doc_id, unnest(range(1, greatest(2, length(t)))) AS i, t FROM t),
-h AS (SELECT doc_id, ('0x' || right(md5(substr(t, i, 2)), 2))::INT AS n FROM g),
-v AS (SELECT doc_id, n % 64 AS k, sum(CASE WHEN (n >> 1) & 1 = 0 THEN 1.0 ELSE -1.0 END) AS value FROM h GROUP BY 1, 2),
-e AS (SELECT doc_id, (list_transform(range(64), lambda i: coalesce(m[i::INT], 0) + CASE WHEN i = 0 THEN 1 ELSE 0 END))::DOUBLE[] AS e FROM (SELECT doc_id, map_from_entries(list((k::INT, value))) AS m FROM v GROUP BY doc_id))"""
+OLD = "(SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN upper(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4)"
 
 
-@query("WITH " + BIGRAMS.format(rows="documents") + """
-SELECT d.doc_id AS chunk_id, CASE WHEN doc_id % 10 = 3 OR doc_id % 10 = 4 AND (SELECT count(*) FROM documents o WHERE o.doc_id % 10 <> 4 AND CASE WHEN o.doc_id % 10 = 3 THEN upper(o.text) ELSE o.text END = d.text) = 0 THEN 'embedded'
-WHEN doc_id % 10 IN (4, 6) THEN 'carried' END AS state, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm FROM documents d JOIN e USING (doc_id) WHERE doc_id % 10 <> 5""".replace("doc_id % 10 = 3 OR", "doc_id % 10 = 3 AND (SELECT count(*) FROM documents o WHERE o.doc_id % 10 <> 4 AND CASE WHEN o.doc_id % 10 = 3 THEN upper(o.text) ELSE o.text END = d.text) = 0 OR").replace("doc_id % 10 IN (4, 6)", "doc_id % 10 IN (3, 4, 6)"))
+@query(f"""WITH {checking.bigrams('e', 'documents')}
+SELECT d.doc_id AS chunk_id, CASE WHEN o.text = d.text AND d.doc_id % 10 <> 6 THEN NULL WHEN d.text IN (SELECT text FROM {OLD}) THEN 'carried' ELSE 'embedded' END AS state, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm
+FROM documents d JOIN e USING (doc_id) LEFT JOIN {OLD} o USING (doc_id) WHERE d.doc_id % 10 <> 5""")
 def index_refresh(spark, sf_dir):
     """An index of older documents follows the present ones: a tenth has other texts, a tenth is new, one has another source, one is gone.
 
@@ -161,7 +156,10 @@ def index_refresh(spark, sf_dir):
     return kept.read().join(done, "chunk_id", "left").select("chunk_id", "state", _double(F.col("norm")).alias("norm"))
 
 
-@query("WITH " + BIGRAMS.format(rows="documents").replace("e AS (", "docs AS (") + ", " + BIGRAMS.format(rows="(SELECT conv_id || '-' || turn AS doc_id, text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0)").replace("t AS (", "t2 AS (", 1).replace("g AS (", "g2 AS (", 1).replace("h AS (", "h2 AS (", 1).replace("v AS (", "v2 AS (", 1).replace("e AS (", "asked AS (", 1).replace("FROM t)", "FROM t2)").replace("FROM g)", "FROM g2)").replace("FROM h GROUP", "FROM h2 GROUP").replace("FROM v GROUP", "FROM v2 GROUP") + """,
+TURNS = "(SELECT conv_id || '-' || turn AS doc_id, text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0)"
+
+
+@query(f"""WITH {checking.bigrams('docs', 'documents')}, {checking.bigrams('asked', TURNS)},
 f AS (SELECT a.doc_id AS query_id, d.doc_id AS chunk_id, list_cosine_similarity(a.e, d.e) AS score, row_number() OVER (PARTITION BY a.doc_id ORDER BY list_cosine_similarity(a.e, d.e) DESC, d.doc_id) AS rank FROM asked a, docs d QUALIFY rank <= 3)
 SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM f""")
 def chat_queries_topk(spark, sf_dir):
@@ -680,3 +678,97 @@ def order_tables(spark, sf_dir):
     """Orders' tables as Markdown pieces: captions, heads and first rows as heads, ragged and too long rows, prefixes."""
     split = tables.tables_split(F.col("html"), F.col("prefix"), 200)
     return _order_tables(spark, sf_dir).select("table_id", F.posexplode(split).alias("pos", "p")).select("table_id", "pos", "p.text", "p.row_start", "p.row_end", "p.cols")
+
+
+# ---- The service and its store over whole tables: S7, S10, S12-S16, S18, S19, S21, J5, J6, E4, E6 ----
+
+
+def _store(spark) -> store.Store:
+    return store.Store(spark, f"{own_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, 'xx', n_chars FROM documents WHERE source = 'src1'")
+def stored_replace(spark, sf_dir):
+    """As replace_by_key, through a stored table, of which only the buckets of those keys are written again."""
+    docs, kept = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), _store(spark)
+    kept.replace("docs", docs.where("source <> 'src2'"), "source")
+    return kept.replace("docs", docs.where("source = 'src1'").withColumn("lang", F.lit("xx")), "source").select("doc_id", "lang", "n_chars")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS k, arg_max(l_quantity, l_linenumber * 1000000.0 + l_partkey + l_quantity / 1000.0) AS v FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS k, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN v END, o_totalprice) AS value FROM orders LEFT JOIN o ON k = o_orderkey
+UNION ALL SELECT k, v FROM o WHERE k % 3 = 0 AND k NOT IN (SELECT o_orderkey FROM orders)""")
+def stored_upsert(spark, sf_dir):
+    """Orders' prices, of which every third is put in place of by the quantity of its last line."""
+    kept = _store(spark)
+    kept.replace("prices", _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("value")), "k")
+    lines = _table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("value"), (F.col("l_linenumber") * 1000000.0 + F.col("l_partkey") + F.col("l_quantity") / 1000.0).alias("ordinal"))
+    return kept.upsert("prices", lines, "k", "ordinal")
+
+
+@query(f"SELECT doc_id, line AS \"order\", CASE WHEN is_title THEN 'title' ELSE 'paragraph' END AS type, text, line AS page_idx FROM (SELECT doc_id::VARCHAR AS doc_id, line, line % 5 = 0 AS is_title, text FROM {LINES} WHERE trim(text) <> '')")
+def blocks_round_trip(spark, sf_dir):
+    """Blocks of documents as JSON text and back."""
+    blocks = _blocks(spark, sf_dir)
+    told = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", F.struct("type", "order", "text", "html", "logical_table_id", "page_idx", "bbox", "text_level").alias("b")))).alias("all"))
+    back = told.select("doc_id", F.explode(forms.blocks_of_json(forms.blocks_json(F.transform("all", lambda x: x["b"])))).alias("b"))
+    return back.select("doc_id", "b.order", "b.type", "b.text", "b.page_idx")
+
+
+def _service(spark, sf_dir) -> Service:
+    """A service whose chunks are the documents."""
+    docs = _table(spark, sf_dir, "documents")
+    service = Service(spark, _store(spark), min_score=0.0)
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("chunk_index"), F.col("text").alias("chunk_text"), F.to_json(F.struct("lang")).alias("metadata"))
+    service.store.replace("chunks", chunks, "doc_id")
+    return service
+
+
+FOUND = """f AS (SELECT a.doc_id AS q, d.doc_id AS c, list_cosine_similarity(a.e, d.e) AS score, row_number() OVER (PARTITION BY a.doc_id ORDER BY list_cosine_similarity(a.e, d.e) DESC, d.doc_id::VARCHAR) AS rank FROM asked a, docs d)"""
+
+
+@query(f"""WITH {checking.bigrams('docs', 'documents')}, {checking.bigrams('asked', TURNS)}, {FOUND},
+b AS (SELECT f.*, lang FROM f JOIN documents ON doc_id = c WHERE rank <= 9),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) AS r FROM b WHERE lang = 'en' AND score >= 0 QUALIFY r <= 3)
+SELECT text AS query_text, 3 AS top_k, (SELECT count(*) FROM b WHERE q = t.doc_id) AS retrieved_before_filter, (SELECT count(*) FROM k WHERE q = t.doc_id) AS retrieved_after_filter, true AS filters_applied, (SELECT count(*) = 0 FROM k WHERE q = t.doc_id) AS is_empty_recall,
+round((SELECT max(score) FROM k WHERE q = t.doc_id), 6) AS top_score, round((SELECT avg(score) FROM k WHERE q = t.doc_id), 6) AS avg_score FROM {TURNS} t""")
+def service_query_log(spark, sf_dir):
+    """What the log tells of users' turns that ask for documents in one language."""
+    service = _service(spark, sf_dir)
+    service.build_index()
+    turns = _table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 50 = 0")
+    service.query(turns.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query_text")), 3, {"lang": "en"})
+    told = service.store.read("query_logs")
+    return told.select("query_text", "top_k", "retrieved_before_filter", "retrieved_after_filter", "filters_applied", "is_empty_recall", _double(F.col("top_score")).alias("top_score"), _double(F.col("avg_score")).alias("avg_score"))
+
+
+@query(f"""WITH {checking.bigrams('docs', 'documents')}, {checking.bigrams('asked', '(SELECT item_id AS doc_id, text FROM benchmark)')}, {FOUND},
+c AS (SELECT item_id AS q, item_id % 3 + 1 AS k, item_id % 4 <> 0 AS expected FROM benchmark),
+rel AS (SELECT item_id AS q, doc_id AS c FROM benchmark, documents WHERE contains(documents.text, trim(benchmark.text))),
+top AS (SELECT f.* FROM f JOIN c USING (q) WHERE rank <= k AND score >= 0),
+s AS (SELECT c.q, expected, min(rank) FILTER (rel.c IS NOT NULL) AS first, count(rel.c) AS found, (SELECT count(*) FROM rel r WHERE r.q = c.q) AS n FROM c LEFT JOIN top USING (q) LEFT JOIN rel ON rel.q = c.q AND rel.c = top.c GROUP BY c.q, expected)
+SELECT q::VARCHAR AS case_id, (expected = (first IS NOT NULL))::INT AS hit, round(CASE WHEN expected AND n > 0 THEN found / n ELSE 0 END, 6) AS recall, round(CASE WHEN expected AND first IS NOT NULL THEN 1 / first ELSE 0 END, 6) AS mrr, (SELECT count(*) FROM c) AS dataset_size FROM s""")
+def service_evaluation(spark, sf_dir):
+    """A run over cases of all items, whose evidence is their text: its items joined to its head."""
+    service = _service(spark, sf_dir)
+    service.build_index()
+    key = "array<struct<anchor_text:string,doc_id:string,content_hash:string>>"
+    items_ = _table(spark, sf_dir, "benchmark")
+    cases = items_.select(
+        F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("query_text"), F.lit(None).cast("array<string>").alias("relevant_chunk_ids"), F.lit(None).cast("array<string>").alias("expected_keywords"),
+        F.array(F.struct(F.col("text").alias("anchor_text"), F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("content_hash"))).cast(key).alias("evidence_keys"),
+        F.lit("any").alias("keyword_match_mode"), (F.col("item_id") % 3 + 1).cast("int").alias("top_k"), F.lit(True).alias("enabled"), (F.col("item_id") % 4 != 0).alias("expect_hit"), F.col("item_id").alias("at"),
+    )
+    service.upsert_cases(cases, "at")
+    run = service.run_eval()
+    told = run.select("run_id", "dataset_size").join(service.run_items(run.first()["run_id"]), "run_id")
+    return told.select("case_id", "hit", _double(F.col("recall")).alias("recall"), _double(F.col("mrr")).alias("mrr"), "dataset_size")
+
+
+@query("SELECT 'all' AS freeze_label, (SELECT count(DISTINCT source) FROM documents) AS doc_count, (SELECT count(*) FROM documents) AS chunk_count, source AS doc_id, doc_id::INT AS chunk_index, doc_id::VARCHAR AS source_chunk_id, sha256(text) AS content_hash FROM documents")
+def service_freeze(spark, sf_dir):
+    """A snapshot of all chunks: its head joined to its items."""
+    service = _service(spark, sf_dir)
+    frozen = service.freeze("all")
+    head = service.freezes().where(F.col("freeze_id") == frozen).select("freeze_id", "freeze_label", "doc_count", "chunk_count")
+    return service.store.read("freeze_items").join(head, "freeze_id").select("freeze_label", "doc_count", "chunk_count", "doc_id", "chunk_index", "source_chunk_id", "content_hash")

@@ -84,8 +84,8 @@ def preview(items: DataFrame, n: int = 5, chars: int = 120) -> DataFrame:
     return items.withColumn("n", F.row_number().over(first)).where(F.col("n") <= n).select("freeze_id", "doc_id", "chunk_index", "content_hash", F.left("chunk_text", F.lit(chars)).alias("preview"))
 
 
-#: Buckets of a keyed table.
-BUCKETS = 64
+#: Buckets of a keyed table, and rows of a bucket that one task writes, about.
+BUCKETS, IN_A_TASK = 64, 2_000_000
 BUCKET = "_bucket"
 
 
@@ -123,8 +123,9 @@ class Store:
         if self.there(name):
             old = self.spark.read.option("mergeSchema", "true").parquet(self._at(name)).where(F.col(BUCKET).isin(touched))
             rows = settled(replaced(old, rows, key), name)
-        # Rows of a bucket stand together, so a bucket has few files.
-        rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self._at(name))
+        # Rows of a bucket stand together, so a bucket has few files; a large one is dealt over as many tasks as it needs.
+        tasks = -(-(rows.groupBy(BUCKET).count().agg(F.max("count")).first()[0] or 1) // IN_A_TASK)
+        rows.withColumn("_task", (F.rand(7) * tasks).cast("int")).repartition(BUCKET, "_task").drop("_task").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self._at(name))
         return self.read(name)
 
     def upsert(self, name: str, rows: DataFrame, key: str, ordinal: str) -> DataFrame:
