@@ -227,3 +227,26 @@ def bigrams(name: str, rows: str) -> str:
 {name}_h AS (SELECT p, ('0x' || right(md5(p), 2))::INT AS h FROM (SELECT DISTINCT p FROM {name}_p)),
 {name}_v AS (SELECT doc_id, h % 64 AS k, sum(CASE WHEN (h >> 1) & 1 = 0 THEN n ELSE -n END)::DOUBLE AS value FROM {name}_p JOIN {name}_h USING (p) GROUP BY 1, 2),
 {name} AS (SELECT doc_id, (list_transform(range(64), lambda i: coalesce(m[i::INT], 0) + CASE WHEN i = 0 THEN 1 ELSE 0 END))::DOUBLE[] AS e FROM (SELECT doc_id, map_from_entries(list((k::INT, value))) AS m FROM {name}_v GROUP BY doc_id))"""
+
+
+_CELLS = "list_transform(regexp_extract_all(x.r, '<t[dh]>(.*?)</t[dh]>', 1), lambda c: trim(regexp_replace(replace(c, '|', '\\|'), '{S}', ' ', 'g')))".replace("{S}", SPACE)
+_MD = lambda cells: f"'| ' || array_to_string({cells}, ' | ') || ' |'"
+PAGE_CHUNKS = f"""WITH {PAGE_BLOCKS},
+i AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY place) AS section FROM (SELECT *, lag(kind) OVER w IS NULL OR lag(kind) OVER w = 'table' OR kind = 'table' OR (kind = 'title' AND lag(kind) OVER w <> 'title') AS starts FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY place))),
+s AS (SELECT doc_id, section::BIGINT AS section, bool_or(kind = 'table') AS is_table, string_agg(text, chr(10) || chr(10) ORDER BY place) FILTER (kind = 'title') AS header, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY place) FILTER (kind NOT IN ('title', 'table')), '') AS body,
+max(html) AS html, max(logical_table_id) AS logical_table_id, min(page) + 1 AS page_num, max(page) + 1 AS page_end FROM i GROUP BY doc_id, section),
+v AS (SELECT *, NOT is_table AND body = '' AND coalesce(lead(is_table) OVER w, false) AS gone, max(header) FILTER (NOT is_table) OVER (PARTITION BY doc_id ORDER BY section) AS path, lag(header) OVER w AS before FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY section)),
+r_s AS (SELECT {{'d': doc_id, 's': section}} AS key, header, body FROM v WHERE NOT is_table AND NOT gone),
+{sections('r')},
+x0 AS (SELECT doc_id, section, html, before, unnest(regexp_extract_all(html, '<tr>(.*?)</tr>', 1)) AS r, generate_subscripts(regexp_extract_all(html, '<tr>(.*?)</tr>', 1), 1) AS k FROM v WHERE is_table),
+x1 AS (SELECT doc_id, section, k, {_CELLS} AS cells FROM x0 x),
+x2 AS (SELECT doc_id, section, list(cells ORDER BY k) AS rows FROM x1 GROUP BY doc_id, section),
+x3 AS (SELECT v.*, rows, len(rows[1]) AS width FROM x2 JOIN v USING (doc_id, section)),
+tp AS (SELECT doc_id, section, 0 AS pos, CASE WHEN lag_gone THEN before || chr(10) || chr(10) ELSE '' END || CASE WHEN contains(html, '<caption>') THEN '表一' || chr(10) || chr(10) ELSE '' END || {_MD('rows[1]')} || chr(10) || {_MD("list_transform(rows[1], lambda c: '---')")} || array_to_string(list_transform(rows[2:], lambda c: chr(10) || {_MD('c')}), '') AS chunk_text, 0 AS table_row_start, len(rows) - 2 AS table_row_end, width AS table_cols
+FROM (SELECT x3.*, g.gone AS lag_gone FROM x3 LEFT JOIN v g ON g.doc_id = x3.doc_id AND g.section = x3.section - 1)),
+p AS (SELECT key.d AS doc_id, key.s AS section, unnest(range(len(parts))) AS pos, unnest(parts) AS chunk_text, 'paragraph' AS chunk_kind, NULL::INT AS table_row_start, NULL::INT AS table_row_end, NULL::INT AS table_cols FROM r_parts
+UNION ALL SELECT doc_id, section, pos, chunk_text, 'table_rows', table_row_start, table_row_end, table_cols FROM tp),
+q AS (SELECT p.doc_id, p.section, pos, chunk_kind, {strip('p.chunk_text')} AS chunk_text, table_row_start, table_row_end, table_cols, logical_table_id, page_num, page_end, path FROM p JOIN v USING (doc_id, section)),
+z AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY section, pos) - 1)::INT AS chunk_index FROM q WHERE chunk_text <> '')
+SELECT doc_id, chunk_index, chunk_kind, chunk_text, length(chunk_text)::INT AS char_count, lag(chunk_index) OVER w AS prev_chunk_index, lead(chunk_index) OVER w AS next_chunk_index, page_num::INT AS page_num, page_end::INT AS page_end, page_end > page_num AS is_cross_page, path AS section_title,
+CASE WHEN chunk_kind LIKE 'table%' THEN 'markdown' END AS table_format, logical_table_id, table_cols::INT AS table_cols, table_row_start::INT AS table_row_start, table_row_end::INT AS table_row_end FROM z WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)"""

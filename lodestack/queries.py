@@ -546,6 +546,17 @@ def page_report(spark, sf_dir):
     return extract.extract(items.items_of(_page_lists(spark, sf_dir)))[0].drop("full_text")
 
 
+@query(checking.PAGE_CHUNKS)
+def page_chunks(spark, sf_dir):
+    """Chunks of pages: texts under their title, tables as Markdown, under a title that stands right before them; links, pages, sections."""
+    docs, blocks = extract.extract(items.items_of(_page_lists(spark, sf_dir)))
+    told = chunk_documents(docs.select("doc_id", "full_text"), blocks)
+    return told.select(
+        "doc_id", "chunk_index", "chunk_kind", "chunk_text", "char_count", "prev_chunk_index", "next_chunk_index", "page_num", "page_end", "is_cross_page", "section_title",
+        "table_format", "logical_table_id", "table_cols", "table_row_start", "table_row_end",
+    )
+
+
 def _blocks(spark, sf_dir) -> DataFrame:
     """Lines as blocks: every fifth one is a title."""
     null = F.lit(None)
