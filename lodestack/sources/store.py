@@ -1,6 +1,6 @@
 """Keyed tables as Parquet: replace by key, upsert, append, snapshots.
 
-A table is a folder of Parquet files, dealt into buckets by the hash of its key. What replaces rows rewrites the buckets of
+A table is a folder of Parquet files, dealt into buckets by the hash of its key, which split as it grows. What replaces rows rewrites the buckets of
 its keys alone, by Spark's dynamic partition overwrite. Keyed tables have one writer at a time; snapshots and runs, which are
 appended under ids that their writers claim, may have several.
 """
@@ -84,9 +84,9 @@ def preview(items: DataFrame, n: int = 5, chars: int = 120) -> DataFrame:
     return items.withColumn("n", F.row_number().over(first)).where(F.col("n") <= n).select("freeze_id", "doc_id", "chunk_index", "content_hash", F.left("chunk_text", F.lit(chars)).alias("preview"))
 
 
-#: Buckets of a keyed table, and rows of a bucket that one task writes, about.
-BUCKETS, IN_A_TASK = 64, 2_000_000
-BUCKET = "_bucket"
+#: Rows of a bucket of a keyed table, and bits of a key's hash that tell buckets apart at most.
+IN_A_BUCKET, MOST_BITS = 1_000_000, 24
+BUCKET, SPLIT = "_bucket", "_split-"
 
 
 class Store:
@@ -108,24 +108,62 @@ class Store:
             if schema is None:
                 raise LookupError(f"no table {name}")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.option("mergeSchema", "true").parquet(self._at(name)).drop(BUCKET)
+        rows, dead = self.spark.read.option("mergeSchema", "true").parquet(self._at(name)), self.buckets(name)[1]
+        return (rows.where(~F.col(BUCKET).isin(dead)) if dead else rows).drop(BUCKET)
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
         """``rows`` in place of the whole table."""
         settled(rows, name).write.mode("overwrite").parquet(self._at(name))
         return self.read(name)
 
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def buckets(self, name: str) -> tuple[list[str], list[str]]:
+        """The buckets that count, and those that don't: one that has been split (its mark says so), and parts of one that hasn't yet."""
+        fs, path = self._fs(name)
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        there = {n.removeprefix(f"{BUCKET}=") for n in names if n.startswith(f"{BUCKET}=")}
+        split = {n.removeprefix(SPLIT) for n in names if n.startswith(SPLIT)}
+        live = [b for b in there if b not in split and not any(b[:k] in there and b[:k] not in split for k in range(1, len(b)))]
+        return sorted(live), sorted(there - set(live))
+
     def replace(self, name: str, rows: DataFrame, key: str) -> DataFrame:
-        """``rows`` in place of those with their keys; other buckets than theirs stay as they are."""
-        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-        rows = settled(rows.withColumn(BUCKET, bucket), name)
-        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
-        if self.there(name):
-            old = self.spark.read.option("mergeSchema", "true").parquet(self._at(name)).where(F.col(BUCKET).isin(touched))
-            rows = settled(replaced(old, rows, key), name)
-        # Rows of a bucket stand together, so a bucket has few files; a large one is dealt over as many tasks as it needs.
-        tasks = -(-(rows.groupBy(BUCKET).count().agg(F.max("count")).first()[0] or 1) // IN_A_TASK)
-        rows.withColumn("_task", (F.rand(7) * tasks).cast("int")).repartition(BUCKET, "_task").drop("_task").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self._at(name))
+        """``rows`` in place of those with their keys; other buckets than theirs stay as they are.
+
+        A bucket is a prefix of the keys' hash bits. One that would have more than ``IN_A_BUCKET`` rows is split into longer
+        prefixes as it is written, so a table has as many buckets as its size asks for, and what a write rewrites stays bounded;
+        only the rows of one key can't be split. The bucket that was split counts until its mark stands, its parts count
+        from then on: readers have the one or the other.
+        """
+        bits = F.lpad(F.bin(F.shiftrightunsigned(F.xxhash64(key), 64 - MOST_BITS)), MOST_BITS, "0")
+        live, dead = self.buckets(name)
+        by_length = {n: [b for b in live if len(b) == n] for n in sorted({len(b) for b in live})}
+        prefix = lambda n: F.concat(F.lit("b"), F.substring("_bits", 1, n))
+        # Where a hash has no bucket yet, none of those that there are begins with as many of its bits as the longest has.
+        home = F.coalesce(*(F.when(prefix(n - 1).isin(own), prefix(n - 1)) for n, own in by_length.items()), prefix(max(by_length, default=1) - 1))
+        fresh = settled(rows.withColumn("_bits", bits).withColumn(BUCKET, home), name)
+        touched = sorted({r[0] for r in fresh.select(BUCKET).distinct().collect()})
+        if live:
+            stored = self.spark.read.option("mergeSchema", "true").parquet(self._at(name))
+            old = stored.where(F.col(BUCKET).isin(touched)).withColumn(BUCKET, F.col(BUCKET).cast("string")).withColumn("_bits", bits)
+            fresh = settled(replaced(old, fresh, key), name)
+        sizes = dict(map(tuple, fresh.groupBy(BUCKET).count().collect()))
+        deeper = {b: min(MOST_BITS, len(b) - 1 + (n // IN_A_BUCKET).bit_length()) for b, n in sizes.items() if n > IN_A_BUCKET}
+        deeper = {b: n for b, n in deeper.items() if n > len(b) - 1}
+        target = F.coalesce(*(F.when(F.col(BUCKET).isin([b for b in deeper if deeper[b] == n]), prefix(n)) for n in sorted(set(deeper.values()))), F.col(BUCKET))
+        fresh = fresh.withColumn(BUCKET, target).drop("_bits")
+        # Rows of a bucket stand together, so a bucket has few files; that of a key with very many rows is dealt over several tasks.
+        tasks = -(-max(sizes.values(), default=1) // IN_A_BUCKET)
+        fresh = fresh.withColumn("_task", (F.rand(7) * tasks).cast("int")).repartition(BUCKET, "_task").drop("_task")
+        fs, path = self._fs(name)
+        for b in dead:  # what a lost driver has left: parts of a split that never counted, or the rest of one that does
+            fs.delete(path.suffix(f"/{BUCKET}={b}"), True)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self._at(name))
+        for b in deeper:
+            fs.create(path.suffix(f"/{SPLIT}{b}"), True).close()
+            fs.delete(path.suffix(f"/{BUCKET}={b}"), True)
         return self.read(name)
 
     def upsert(self, name: str, rows: DataFrame, key: str, ordinal: str) -> DataFrame:

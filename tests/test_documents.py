@@ -252,14 +252,41 @@ def test_embedded_metadata(spark, service):
     assert {r.source for r in after} == {"store"} and all(r.vector != before[r.chunk_id] for r in after)
 
 
-def test_replace_rewrites_only_its_buckets(spark, tmp_path):
-    keyed = Store(spark, str(tmp_path))
-    keyed.replace("t", spark.range(1000).select(F.col("id").cast("string").alias("doc_id"), F.lit("a").alias("v")), "doc_id")
+def test_buckets_grow(spark, tmp_path, monkeypatch):
+    """Buckets split as the table grows, each write touches those of its keys, and a split that was broken off changes nothing."""
+    monkeypatch.setattr("lodestack.sources.store.IN_A_BUCKET", 40)
+    keyed, want = Store(spark, str(tmp_path)), {}
     files = lambda: {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+
+    def put(rows):
+        keyed.replace("t", spark.createDataFrame(rows, "doc_id string, v string"), "doc_id")
+        for k in {k for k, _ in rows}:
+            want[k] = sorted(v for x, v in rows if x == k)
+        got = {}
+        for r in keyed.read("t").collect():
+            got.setdefault(r.doc_id, []).append(r.v)
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+    put([(str(i), "a") for i in range(30)])
+    assert keyed.buckets("t") == (["b"], [])
+    for n in range(1, 6):
+        put([(str(i), f"{n}") for i in range(100 * n, 100 * n + 150)])
+    live, dead = keyed.buckets("t")
+    sizes = dict(map(tuple, spark.read.parquet(str(tmp_path / "t")).groupBy("_bucket").count().collect()))
+    assert len(live) > 16 and not dead and max(sizes.values()) <= 40
     before = files()
-    keyed.replace("t", spark.createDataFrame([("7", "b"), ("7", "c"), ("x", "d")], "doc_id string, v string"), "doc_id")
-    assert len(before - files()) <= 2 and len(before) > 30
-    assert {(r.doc_id, r.v) for r in keyed.read("t").collect()} == {(str(i), "a") for i in range(1000) if i != 7} | {("7", "b"), ("7", "c"), ("x", "d")}
+    put([("107", "b"), ("107", "c"), ("x", "d")])
+    assert 0 < len(before - files()) <= 2
+    put([("hot", str(i)) for i in range(200)])  # one key's rows can't be split, but by several tasks
+    put([("hot", "left")])
+    put([(str(i), "all") for i in range(700)])
+    # Parts of a split whose mark was never set don't count, and go with the next write.
+    b = keyed.buckets("t")[0][0]
+    spark.createDataFrame([("ghost", "z")], "doc_id string, v string").write.parquet(str(tmp_path / "t" / f"_bucket={b}0"))
+    assert keyed.buckets("t")[1] == [f"{b}0"] and "ghost" not in {r.doc_id for r in keyed.read("t").collect()}
+    put([("new", "n")])
+    assert keyed.buckets("t")[1] == []
+    assert keyed.replace("t", spark.createDataFrame([], "doc_id string, v string"), "doc_id").count() == sum(map(len, want.values()))
 
 
 def test_stream(spark, tmp_path):
