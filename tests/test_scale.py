@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import kernels, remote, split, tables
 from lodestack.operators import anchors, monitor, pivots, retrieval
 from lodestack.operators import index as indexes
-from lodestack.sources import items
+from lodestack.sources import items, shared
 from lodestack.sources.store import DuplicateLabel, NoChunks, Store
 from lodestack.streaming import query_log
 
@@ -271,3 +271,20 @@ def test_only_chosen_files_are_opened(spark, tmp_path):
     found = items.read_items(spark, str(tmp_path))
     assert len({r.doc_id for r in found.collect()}) == 2 and sorted(r.text for r in found.collect()) == ["one", "two"]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passing_tables(spark):
+    """Tables go once what was worked out of them is stored; others' tables stay."""
+    other = shared.settled(spark.range(3), "other")
+    passing = shared.Passing(spark)
+    a = shared.settled(spark.range(5), "a")
+    b = shared.settled(a.where("id > 1"), "b")
+    passing.drop()
+    assert b.count() == 3 and other.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        a.count()
+    c = shared.settled(b.where("id > 2"), "c")
+    passing.drop()
+    assert c.count() == 2 and other.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        b.count()
