@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import mixing, ngram_join, quality_rules, queries, secret_scans
 from lodestack.llm.common import quoted, sized_broadcast, stored
+from lodestack.sources.shared import Passing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,9 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    """All stages over ``documents``. What a stage needed goes once its result is stored, and so does the result before."""
+    docs, passing = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), Passing(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, "stage")
+            passing.drop()
     return docs
