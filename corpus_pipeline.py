@@ -27,7 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     key = ["doc_id", "text_id"]
     joined = stored(ngram_join.join(docs.select("doc_id", "text")).where("group_id is not null").groupBy(*key, "group_id").agg(F.count(F.lit(1)).alias("rows")), "near-groups")
-    first = joined.groupBy("group_id").agg(F.min(F.struct(*key)).alias("kept"))
+    # Stored: then both sides of the join are shuffled for it alone, and Spark can split a group of very many copies.
+    first = stored(joined.groupBy("group_id").agg(F.min(F.struct(*key)).alias("kept")), "near-firsts")
     told = joined.join(first, "group_id").select(*key, (F.struct(*key) == F.col("kept")).alias("stays"), "rows")
     marked = stored(told.where("not stays or rows > 1"), "near-copies")
     n = marked.count()
