@@ -161,18 +161,18 @@ class EditableText:
 
 
 class Remembered(dict):
-    """Results of ``make`` by piece. At ``PIECES`` entries they become the old half; what is asked for again moves back."""
+    """Results of ``make`` by piece. At ``most`` entries they become the old half; what is asked for again moves back."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = PIECES):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str):
         found = self.old.get(piece)
         if found is None:
             found = self.make(piece)
         if len(piece) <= 64:
-            if len(self) >= PIECES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = found

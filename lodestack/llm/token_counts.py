@@ -24,6 +24,9 @@ from lodestack.llm.bpe import Remembered, Vocabulary, coded, splitter
 # Fixed value: how a byte-level vocabulary splits a text before it merges.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Tables of pieces that a worker keeps, twice as many at most: about 250 bytes each.
+TABLES = 150_000
+
 
 def _byte_of_letter() -> dict[str, int]:
     """Byte-level files write printable bytes as themselves and the others as the code points from 256 on, in order."""
@@ -45,15 +48,15 @@ class PrefixCounts:
         self.special = [t["content"] for t in told["added_tokens"]]
         self.vocabulary, self.find = Vocabulary(ranks), splitter(BYTE_LEVEL)
         #: The stored table of each piece, at most 64 characters long, that came up of late.
-        self.tables = Remembered(self._prefixes)
+        self.tables = Remembered(self._prefixes, TABLES)
 
-    def _prefixes(self, piece: str) -> array:
+    def _prefixes(self, piece: str) -> bytes | array:
         """The count at the end of each byte prefix of a piece."""
-        counts = array("I")
+        counts: list[int] = []
         for end, token in enumerate(self.vocabulary.last_tokens(piece.encode()), 1):
             before = end - len(self.vocabulary.bytes_of[token])
             counts.append(1 + (counts[before - 1] if before else 0))
-        return counts
+        return bytes(counts) if len(counts) < 256 else array("I", counts)
 
     def parts(self, text: str):
         """Stretches between special strings, in order; each special string stands as (string, True)."""
