@@ -42,6 +42,19 @@ def test_relevance_is_not_gathered(spark, name):
     assert "collect_list" not in plan and "collect_set" not in plan
 
 
+@pytest.mark.parametrize("name", ["order_tables", "order_table_pieces"])
+def test_equal_lines_of_orders(spark, tmp_path, name):
+    """Lines that the SQL's order leaves open stand as in the file, as DuckDB's single thread takes them; quantities are rounded."""
+    c = duckdb.connect()
+    c.execute("set threads = 1")
+    c.execute(f"""copy (select i // 8 as l_orderkey, 7 as l_partkey, (1 + i % 2)::int as l_linenumber, (i * 5 % 3 // 2 + 2.5 + i // 8)::double as l_quantity,
+        substr('RNA', (1 + i * 7 % 3)::int, 1) as l_returnflag, substr('OF', (1 + i * 3 % 5 % 2)::int, 1) as l_linestatus from range(400) t(i)) to '{tmp_path}/lineitem.parquet'""")
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = c.sql(ORACLE_SQL[name]).fetchall()
+    got = QUERIES[name](spark, str(tmp_path)).select("table_id", "pos", "text", "row_start", "row_end", "cols").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
