@@ -288,3 +288,16 @@ def test_passing_tables(spark):
     assert c.count() == 2 and other.count() == 3
     with pytest.raises(Exception, match="(?i)not.*exist"):
         b.count()
+
+
+def test_grams_that_leave_texts(spark):
+    """Of texts only grams that may be keys go on, about as many as lines, however many grams the anchors have; frequent ones are no keys."""
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    chunks = [(i, "\n".join(["the same beginning of every line " + text(60) for _ in range(3)] + [text(20) for _ in range(3)])) for i in range(200)]
+    df = spark.createDataFrame(chunks, "chunk_id long, chunk_text string")
+    lines = df.select(F.explode(F.split("chunk_text", "\n")).alias("anchor"))
+    keys = anchors._keyed(lines, anchors._frequent(df))
+    held = anchors._listed(df, [anchors.LONG, anchors.MIDDLE], anchors._filter(keys, 1200))
+    assert 1200 <= held.count() < 3000 and held.join(keys, "gram").count() < 1300
+    assert anchors.holding(df, lines).count() == 1200
