@@ -86,9 +86,18 @@ def preview(items: DataFrame, n: int = 5, chars: int = 120) -> DataFrame:
 
 #: Rows of a bucket of a keyed table, and bits of a key's hash that tell buckets apart at most.
 IN_A_BUCKET, MOST_BITS = 1_000_000, 24
+#: Bytes of a bucket that a task writes.
+IN_A_TASK = 64 << 20
 BUCKET, SPLIT = "_bucket", "_split-"
 
 
+def bytes_of(rows: DataFrame) -> Column:
+    """About how many bytes a row's values have."""
+    plain = {"string", "binary"}
+    told = lambda c, t: F.octet_length(F.col(f"`{c}`") if t in plain else F.col(f"`{c}`").cast("string")) if t in plain or "<" in t or t == "variant" else F.lit(8)
+    return sum((F.coalesce(told(c, t), F.lit(0)).cast("long") for c, t in rows.dtypes), F.lit(0).cast("long"))
+
+
 class Store:
     """Tables by name below a folder that the cluster shares."""
 
@@ -149,14 +158,15 @@ class Store:
             stored = self.spark.read.option("mergeSchema", "true").parquet(self._at(name))
             old = stored.where(F.col(BUCKET).isin(touched)).withColumn(BUCKET, F.col(BUCKET).cast("string")).withColumn("_bits", bits)
             fresh = settled(replaced(old, fresh, key), name)
-        sizes = dict(map(tuple, fresh.groupBy(BUCKET).count().collect()))
+        told = fresh.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_of(fresh.drop(BUCKET, "_bits"))).alias("bytes")).collect()
+        sizes = {r[BUCKET]: r["n"] for r in told}
         deeper = {b: min(MOST_BITS, len(b) - 1 + (n // IN_A_BUCKET).bit_length()) for b, n in sizes.items() if n > IN_A_BUCKET}
         deeper = {b: n for b, n in deeper.items() if n > len(b) - 1}
         target = F.coalesce(*(F.when(F.col(BUCKET).isin([b for b in deeper if deeper[b] == n]), prefix(n)) for n in sorted(set(deeper.values()))), F.col(BUCKET))
-        fresh = fresh.withColumn(BUCKET, target).drop("_bits")
-        # Rows of a bucket stand together, so a bucket has few files; that of a key with very many rows is dealt over several tasks.
-        tasks = -(-max(sizes.values(), default=1) // IN_A_BUCKET)
-        fresh = fresh.withColumn("_task", (F.rand(7) * tasks).cast("int")).repartition(BUCKET, "_task").drop("_task")
+        # Rows of a bucket stand together, so a bucket has few files; one with very many rows or long ones is dealt over several tasks.
+        tasks = {r[BUCKET]: max(-(-r["n"] // IN_A_BUCKET), -(-r["bytes"] // IN_A_TASK)) for r in told}
+        several = F.coalesce(*(F.when(F.col(BUCKET).isin([b for b in tasks if tasks[b] == n]), F.lit(n)) for n in sorted({*tasks.values()} - {1})), F.lit(1))
+        fresh = fresh.withColumns({BUCKET: target, "_task": (F.rand(7) * several).cast("int")}).drop("_bits").repartition(BUCKET, "_task").drop("_task")
         fs, path = self._fs(name)
         for b in dead:  # what a lost driver has left: parts of a split that never counted, or the rest of one that does
             fs.delete(path.suffix(f"/{BUCKET}={b}"), True)

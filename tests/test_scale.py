@@ -7,6 +7,7 @@ import random
 import time
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from lodestack.functions import kernels, remote, split, tables
 from lodestack.operators import anchors, monitor, pivots, retrieval
 from lodestack.operators import index as indexes
 from lodestack.sources import items, shared
+from lodestack.sources import store as store_module
 from lodestack.sources.store import DuplicateLabel, NoChunks, Store
 from lodestack.streaming import query_log
 
@@ -290,6 +292,27 @@ def test_passing_tables(spark):
         b.count()
 
 
+def test_long_rows_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A bucket of few but long rows isn't one task's; rows replaced in it neither; a small bucket stays one file."""
+    monkeypatch.setattr(store_module, "IN_A_TASK", 2_000, raising=False)
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda n, size: [(f"k{i % 7}", "é" * size, [float(i)] * 3) for i in range(n)]
+    told = lambda n, size: spark.createDataFrame(rows(n, size), "k string, t string, v array<double>").repartition(3)
+    files = lambda name: len(list((tmp_path / "store" / name / "_bucket=b").glob("*.parquet")))
+    with spark_conf(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        assert sorted(map(tuple, store.replace("long", told(300, 100), "k").collect())) == sorted(rows(300, 100)) and files("long") > 1
+        assert sorted(map(tuple, store.replace("long", told(200, 120), "k").collect())) == sorted(rows(200, 120)) and files("long") > 1
+        assert store.replace("short", told(20, 2), "k").count() == 20 and files("short") == 1
+
+
+@contextmanager
+def spark_conf(spark, key, value):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    yield
+    spark.conf.set(key, before)
+
+
 def test_grams_that_leave_texts(spark):
     """Of texts only grams that may be keys go on, about as many as lines, however many grams the anchors have; frequent ones are no keys."""
     rnd = random.Random(5)
