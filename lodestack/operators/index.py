@@ -48,13 +48,14 @@ def changes(index: DataFrame, chunks: DataFrame, embedded: Column, vectorise: Ca
     """
     wanted = _hashed(chunks, embedded)
     old = index.select("chunk_id", F.col("row_hash").alias("old_hash"))
-    fresh = settled(wanted.join(old, "chunk_id", "left").where("old_hash is null or old_hash <> row_hash").drop("old_hash"), "changed-chunks")
-    texts = fresh.groupBy("text_hash").agg(F.first("embedded").alias("embedded"))
+    # The text to embed is told by the row's other columns: it isn't stored beside them.
+    fresh = settled(wanted.drop("embedded").join(old, "chunk_id", "left").where("old_hash is null or old_hash <> row_hash").drop("old_hash"), "changed-chunks")
+    texts = fresh.withColumn("embedded", embedded).groupBy("text_hash").agg(F.first("embedded").alias("embedded"))
     known = index.join(_sent(texts.select("text_hash")), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("vector").alias("vector"), F.first("norm").alias("norm"))
     known = settled(known.withColumn("state", F.lit("carried")), "known-vectors")
     new = texts.join(known.select("text_hash"), "text_hash", "left_anti").withColumn("vector", vectorise(F.col("embedded")))
     vectors = known.unionByName(new.select("text_hash", "vector", norm_of(F.col("vector")).alias("norm"), F.lit("embedded").alias("state")))
-    told = fresh.drop("embedded").join(settled(vectors, "chunk-vectors"), "text_hash").withColumn("gone", F.lit(False))
+    told = fresh.join(settled(vectors, "chunk-vectors"), "text_hash").withColumn("gone", F.lit(False))
     went = index.select("chunk_id").join(wanted.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", F.lit("gone").alias("state"), F.lit(True).alias("gone"))
     return settled(told.unionByName(went, allowMissingColumns=True), "index-changes")
 
@@ -74,10 +75,16 @@ class Index:
 
     def refresh(self, chunks: DataFrame, embedded: Column, vectorise: Callable[[Column], Column]) -> DataFrame:
         """Makes the index that of ``chunks``, all of them, and gives how many rows were embedded, carried and gone (state, n)."""
+        return self.follow(self.delta(chunks, embedded, vectorise))
+
+    def delta(self, chunks: DataFrame, embedded: Column, vectorise: Callable[[Column], Column]) -> DataFrame:
+        """The rows that would turn the index into that of ``chunks`` (see ``changes``)."""
         types = dict(chunks.dtypes)
         empty = "chunk_id string, text_hash string, row_hash string, vector array<double>, norm double".replace("string", types["chunk_id"], 1)
-        old = self.read() if self.there() else self.store.spark.createDataFrame([], empty)
-        delta = changes(old, chunks, embedded, vectorise)
+        return changes(self.read() if self.there() else self.store.spark.createDataFrame([], empty), chunks, embedded, vectorise)
+
+    def follow(self, delta: DataFrame) -> DataFrame:
+        """Takes up a delta of the index as it is, and gives how many rows were embedded, carried and gone (state, n)."""
         counts = settled(delta.groupBy("state").agg(F.count(F.lit(1)).alias("n")), "index-counts")
         rows = delta.drop("state")
         if not self.there():

@@ -121,8 +121,8 @@ class Store:
         return (rows.where(~F.col(BUCKET).isin(dead)) if dead else rows).drop(BUCKET)
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """``rows`` in place of the whole table."""
-        settled(rows, name).write.mode("overwrite").parquet(self._at(name))
+        """``rows`` in place of the whole table. They are stored aside first, as they may come from it."""
+        (settled(rows, name) if self.there(name) else rows).write.mode("overwrite").parquet(self._at(name))
         return self.read(name)
 
     def _fs(self, name: str):

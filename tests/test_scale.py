@@ -74,6 +74,22 @@ def test_index_follows_chunks(spark, tmp_path):
     assert refreshed([]) == {"gone": 41} and vectors() == {}
 
 
+def test_texts_of_an_index_are_stored_few_times(spark, tmp_path, monkeypatch):
+    """The text to embed isn't stored beside the chunk's, a first table isn't stored aside; a delta can be had before it is taken up."""
+    stored = []
+    record = lambda df, name="table": (stored.append((name, df.columns)), shared.settled(df, name))[1]
+    monkeypatch.setattr(indexes, "settled", record)
+    monkeypatch.setattr(store_module, "settled", record)
+    kept = indexes.Index(Store(spark, str(tmp_path / "store")))
+    rows = spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "chunk_id long, chunk_text string")
+    length = lambda text: F.array(F.length(text).cast("double"))
+    assert dict(map(tuple, kept.refresh(rows, F.col("chunk_text"), length).collect())) == {"embedded": 20}
+    assert "index" not in dict(stored) and not any("embedded" in columns for _, columns in stored)
+    delta = kept.delta(rows.where("chunk_id > 1").withColumn("chunk_text", F.concat("chunk_text", F.when(F.col("chunk_id") == 7, "!").otherwise(""))), F.col("chunk_text"), length)
+    assert kept.read().count() == 20 and dict(map(tuple, kept.follow(delta).collect())) == {"embedded": 1, "gone": 2}
+    assert {r.chunk_id: r.vector for r in kept.read().collect()} == {i: [7.0 if i == 7 else 6.0] for i in range(2, 20)}
+
+
 def test_pivots(spark):
     """The rows of a full scan, of which a share is looked at; odd vectors, ties, excluded rows."""
     rnd = random.Random(2)
