@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
+from lodestack.functions.batches import sliced
 from lodestack.functions.tables import captioned, goes_on, joined, with_id
 from lodestack.sources.shared import settled
 
@@ -28,7 +31,7 @@ def nodes_of(items: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def table_html(bodies: pa.Array, captions: pa.Array) -> pa.Array:
-        return pa.array([captioned(b or "", c or []) for b, c in zip(bodies.to_pylist(), captions.to_pylist(), strict=True)], pa.string())
+        return sliced(lambda b, c: captioned(b or "", c or []), pa.string(), bodies, captions)
 
     kind, own = F.lower(F.trim(F.coalesce("type", F.lit("")))), T.stripped(F.coalesce("text", F.lit("")))
     level, page = F.col("text_level").try_cast("int"), F.col("page_idx").try_cast("int")
@@ -61,22 +64,29 @@ def _suffix_copies(types: list[str], texts: list[str], dropped: list[str | None]
     return out
 
 
+def _folded(types: list[str], texts: list[str], dropped: list[str | None]) -> list[dict]:
+    """For each node of a document ``copy`` (see ``_suffix_copies``) and ``copies`` (see ``with_copies``)."""
+    copy = _suffix_copies(types, texts, dropped)
+    short = [text if gone is None and not again and kind != "table" and text is not None and len(text) <= T.SHORT_REPEATED else None for kind, text, gone, again in zip(types, texts, dropped, copy, strict=True)]
+    n = Counter(short)
+    return [{"copy": again, "copies": None if text is None else n[text]} for again, text in zip(copy, short, strict=True)]
+
+
 def _without_suffix_copies(nodes: DataFrame) -> DataFrame:
-    """Marks a text that repeats the end of the last text kept before it.
+    """Marks a text that repeats the end of the last text kept before it, and tells ``copies`` as ``with_copies`` does.
 
     What was kept decides about what comes next, so a document's nodes are gathered, folded in order, and dealt out again.
     """
 
-    @F.arrow_udf("array<boolean>")
-    def copies(types: pa.Array, texts: pa.Array, dropped: pa.Array) -> pa.Array:
-        rows = zip(types.to_pylist(), texts.to_pylist(), dropped.to_pylist(), strict=True)
-        return pa.array([_suffix_copies(*r) for r in rows], pa.list_(pa.bool_()))
+    @F.arrow_udf("array<struct<copy:boolean,copies:bigint>>")
+    def folded(types: pa.Array, texts: pa.Array, dropped: pa.Array) -> pa.Array:
+        return sliced(_folded, pa.list_(pa.struct([("copy", pa.bool_()), ("copies", pa.int64())])), types, texts, dropped)
 
     others = [c for c in nodes.columns if c not in ("doc_id", "pos", "sub")]
     of = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", *others))).alias("n"))
-    told = of.select("doc_id", F.inline(F.arrays_zip("n", copies("n.type", "n.text", "n.dropped").alias("copy"))))
-    dropped = F.coalesce("n.dropped", F.when(F.col("copy"), "fragment")).alias("dropped")
-    return told.select(*(dropped if c == "dropped" else "doc_id" if c == "doc_id" else f"n.{c}" for c in nodes.columns))
+    told = of.select("doc_id", F.inline(F.arrays_zip("n", folded("n.type", "n.text", "n.dropped").alias("f"))))
+    dropped = F.coalesce("n.dropped", F.when(F.col("f.copy"), "fragment")).alias("dropped")
+    return told.select(*(dropped if c == "dropped" else "doc_id" if c == "doc_id" else f"n.{c}" for c in nodes.columns), "f.copies")
 
 
 def with_copies(nodes: DataFrame) -> DataFrame:
@@ -91,7 +101,7 @@ def cleaned(nodes: DataFrame) -> DataFrame:
     df = nodes.withColumn("text", F.when(is_table, text).otherwise(T.nfkc(text)))
     df = df.withColumn("text", F.when(is_table, text).otherwise(T.tidied(text, F.col("type") == "title")))
     why = F.when(~left | is_table, F.col("dropped")).when(text == "", "element").when(T.is_fragment(text), "fragment").when(T.is_garbled(text), "garbled")
-    df = with_copies(_without_suffix_copies(_worked_out(df, dropped=why)))
+    df = _without_suffix_copies(_worked_out(df, dropped=why))
     why = F.when(~left, F.col("dropped")).when(is_table, F.when(T.is_poor_table(text), "table"))
     why = why.when(F.col("copies") >= 2, "element").when(T.is_contents_line(text) | T.is_watermark(text), "element")
     kind = F.when((F.col("type") == "paragraph") & T.is_list_line(text), "list_item").otherwise(F.col("type"))
@@ -104,30 +114,37 @@ def blocks_of(nodes: DataFrame) -> DataFrame:
     Columns as chunking reads them, and ``n_merged``, how many tables went into the block besides its first.
     """
     order = Window.partitionBy("doc_id").orderBy("pos", "sub")
-    there = nodes.where("dropped is null").withColumn("place", F.row_number().over(order))
     is_table = F.col("type") == "table"
-    there = there.withColumn("number", F.sum(is_table.cast("int")).over(order) - 1)
 
     @F.arrow_udf("string")
     def numbered(html: pa.Array, numbers: pa.Array) -> pa.Array:
-        return pa.array([None if h is None else with_id(h, f"tbl-{n:03d}") for h, n in zip(html.to_pylist(), numbers.to_pylist(), strict=True)], pa.string())
+        return sliced(lambda h, n: None if h is None else with_id(h, f"tbl-{n:03d}"), pa.string(), html, numbers)
 
-    there = there.withColumn("html", F.when(is_table, numbered(F.when(is_table, F.col("text")), F.col("number"))))
-    # Runs of adjacent tables are gaps and islands; within a run a table is held against what was merged so far.
-    run = F.col("place") - F.sum(is_table.cast("int")).over(order)
-    tables = there.withColumn("run", run).where(is_table)
+    def placed(columns: list[str | Column]) -> DataFrame:
+        there = nodes.where("dropped is null").select("doc_id", "pos", "sub", "type", *columns)
+        return there.withColumns({"place": F.row_number().over(order), "tables": F.sum(is_table.cast("int")).over(order)})
+
+    # Tables are told apart without the texts between them. Runs of adjacent tables are gaps and islands; within a run a table is
+    # held against what was merged so far.
+    tables = placed([F.when(is_table, F.col("text")).alias("html"), F.when(is_table, F.col("page_idx")).alias("page_idx"), F.when(is_table, F.col("bbox")).alias("bbox")]).where(is_table)
+    tables = tables.withColumns({"number": F.col("tables") - 1, "run": F.col("place") - F.col("tables")})
+    tables = tables.withColumn("html", numbered("html", "number"))
     runs = tables.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("place", "html", "number", "page_idx", "bbox"))).alias("all"))
 
     @F.arrow_udf("array<struct<place:int,html:string,number:int,page_idx:int,bbox:array<double>,n_merged:int>>")
     def merged(rows: pa.Array) -> pa.Array:
-        return pa.array([_merged(r) for r in rows.to_pylist()], pa.list_(_MERGED))
-
-    tables = runs.select("doc_id", F.explode(merged("all")).alias("t")).select("doc_id", "t.place", F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), "t.html", F.format_string("tbl-%03d", F.col("t.number")).alias("logical_table_id"), "t.page_idx", "t.bbox", F.lit(None).cast("int").alias("text_level"), "t.n_merged")
+        return sliced(_merged, pa.list_(_MERGED), rows)
+
+    runs = settled(runs.select("doc_id", F.col("all.place").alias("places"), merged("all").alias("merged")), "tables")
+    # A block's order is its node's place less the tables before it that went into others.
+    gone = runs.select("doc_id", F.array_except("places", "merged.place").alias("gone")).where(F.size("gone") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    ordered = lambda rows: rows.join(gone, "doc_id", "left").withColumn("order", F.col("place") - 1 - F.coalesce(F.size(F.filter("gone", lambda p: p < F.col("place"))), F.lit(0)))
+    tables = ordered(runs.select("doc_id", F.explode("merged").alias("t")).select("doc_id", "t.*"))
+    tables = tables.select("doc_id", F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), "html", F.format_string("tbl-%03d", F.col("number")).alias("logical_table_id"), "page_idx", "bbox", F.lit(None).cast("int").alias("text_level"), "n_merged", "order")
     level = F.when(F.col("type") == "title", F.col("text_level"))
     null = F.lit(None).cast("string")
-    texts = there.where(~is_table).select("doc_id", "place", "type", "text", null.alias("html"), null.alias("logical_table_id"), "page_idx", "bbox", level.alias("text_level"), F.lit(0).alias("n_merged"))
-    both = texts.unionByName(tables)
-    return both.withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1).drop("place")
+    texts = ordered(placed(["text", "page_idx", "bbox", "text_level"]).where(~is_table))
+    return texts.select("doc_id", "type", "text", null.alias("html"), null.alias("logical_table_id"), "page_idx", "bbox", level.alias("text_level"), F.lit(0).alias("n_merged"), "order").unionByName(tables)
 
 
 _MERGED = pa.struct([("place", pa.int32()), ("html", pa.string()), ("number", pa.int32()), ("page_idx", pa.int32()), ("bbox", pa.list_(pa.float64())), ("n_merged", pa.int32())])

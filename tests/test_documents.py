@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import evaluate, extract
 from lodestack.operators.chunk import BLOCK, ChunkSettings, chunk_documents, title_paths, without_chunks
 from lodestack.plans.service import CASE, Service, ServiceError
+from lodestack.sources import shared
 from lodestack.sources.items import items_of, read_items
 from lodestack.sources.store import Store
 from lodestack.streaming import query_log
@@ -299,3 +300,18 @@ def test_stream(spark, tmp_path):
     live = query_log.tumbling(spark.readStream.schema(rows).parquet(str(tmp_path / "in")), "5 minutes", "1 minute")
     live.writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("closed").count() >= 3
+
+
+def test_extraction_shuffles_texts_twice(spark, monkeypatch):
+    """Once to gather a document's nodes, once to number what is left: copies are counted where nodes are gathered, tables told apart without texts."""
+    plans = []
+    monkeypatch.setattr(extract, "settled", lambda df, name="table": (plans.append((name, df)), shared.settled(df, name))[1])
+    rows = [("d", i, kind, text, table) for i, (kind, text, table) in enumerate([("text", "第一段文字在这里。", None), ("table", None, "<table><tr><th>a</th></tr><tr><td>1</td></tr></table>"), ("table", None, "<table><tr><th>a</th></tr><tr><td>2</td></tr></table>"), ("text", "重复的一行", None), ("text", "重复的一行", None), ("text", "最后一段文字也在。", None)])]
+    null = F.lit(None)
+    items = spark.createDataFrame(rows, "doc_id string, pos long, type string, text string, table_body string").withColumns({
+        "text_level": null.cast("string"), "list_items": null.cast("array<string>"), "html": null.cast("string"), "table_caption": null.cast("array<string>"), "page_idx": null.cast("string"), "bbox": null.cast("array<double>"),
+    })
+    blocks = extract.extract(items)[1].orderBy("order").collect()
+    assert [r.order for r in blocks] == list(range(len(blocks))) and [r.type for r in blocks if r.type != "table"] == ["paragraph"] * 3
+    nodes = next(df for name, df in plans if name == "clean-nodes")
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
