@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestack.functions.batches import sliced
+
 # Character ranges, patterns and bounds of the text rules.
 CJK = "一-鿿㐀-䶿豈-﫿"
 SPACES = r"(?U)[\s\x1C-\x1F]+"
@@ -28,7 +30,7 @@ ACCESS_GROUPS = ["rd", "ops", "after_sales"]
 def _by_text(function, text: Column) -> Column:
     @F.arrow_udf("string")
     def each(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else function(t) for t in texts.to_pylist()], pa.string())
+        return sliced(lambda t: None if t is None else function(t), pa.string(), texts)
 
     return each(text)
 

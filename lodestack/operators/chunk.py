@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.functions.split import recursive_split, sections_split, tidy_pieces
+from lodestack.functions.batches import sliced
+from lodestack.functions.split import PIECES, recursive_split, sections_split, tidy_pieces
 from lodestack.functions.tables import tables_split
 
 BLOCK = "doc_id string, order int, type string, text string, html string, logical_table_id string, page_idx int, bbox array<double>, text_level int"
@@ -38,7 +39,7 @@ def title_paths(titles: Column) -> Column:
 
     @F.arrow_udf("array<array<string>>")
     def paths(lists: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else _paths([(x["title"], x["level"]) for x in t]) for t in lists.to_pylist()], pa.list_(pa.list_(pa.string())))
+        return sliced(lambda t: None if t is None else _paths([(x["title"], x["level"]) for x in t]), pa.list_(pa.list_(pa.string())), lists)
 
     return paths(titles)
 
@@ -123,8 +124,8 @@ def _whole_texts(docs: DataFrame, settings: ChunkSettings) -> DataFrame:
 
     @F.arrow_udf("pieces array<string>, cut boolean")
     def split(texts: pa.Array) -> pa.Array:
-        cut = [recursive_split(t or "", s.chunk_size, s.chunk_overlap) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([tidy_pieces(p, s.min_chunk_chars) for p in cut], pa.list_(pa.string())), pa.array([len(p) > 1 for p in cut], pa.bool_())], ["pieces", "cut"])
+        cut = lambda t: recursive_split(t or "", s.chunk_size, s.chunk_overlap)
+        return sliced(lambda t: (lambda p: {"pieces": tidy_pieces(p, s.min_chunk_chars), "cut": len(p) > 1})(cut(t)), PIECES, texts)
 
     told = docs.withColumn("split", split("full_text")).select("doc_id", "split.cut", F.posexplode("split.pieces").alias("pos", "chunk_text"))
     null = {"page_num": "int", "page_end": "int", "bbox": "array<double>", "section_title": "string", "table_row_start": "int", "table_row_end": "int", "table_cols": "int", "logical_table_id": "string"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -89,3 +90,26 @@ def test_ids_and_captions():
     assert tables.with_id("a<b", "tbl-001").endswith("<td>a&lt;b</td></tr></tbody></table>")
     assert tables.captioned("<table><tr></tr></table>", [" 表 ", ""]) == "<table><caption>表</caption><tr></tr></table>"
     assert tables.captioned("text", ["c"]).startswith("<table><caption>c</caption>") and tables.captioned(" ", ["c"]) == ""
+
+
+def test_sliced():
+    """Rows are Python objects a few at a time; the result is that of all rows at once."""
+    from lodestack.functions import batches
+
+    seen = []
+
+    class Watched:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __len__(self):
+            return len(self.rows)
+
+        def slice(self, k, n):
+            seen.append(n)
+            return self.rows.slice(k, n)
+
+    rows = pa.array([None, "a"] * 500)
+    assert batches.sliced(lambda t, u: [t, u], pa.list_(pa.string()), Watched(rows), Watched(rows)).to_pylist() == [[t, t] for t in rows.to_pylist()]
+    assert len(seen) == 2 * -(-1000 // batches.ROWS) and max(seen) <= 64
+    assert batches.sliced(str, pa.string(), pa.array([], pa.string())).to_pylist() == []
