@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +17,22 @@ from lodestack.sources.shared import settled
 #: How many times the wanted rows are fetched before filters, queries that a scan of the index takes along, and scores held at once.
 OVER_FETCH = 3
 QUERIES_AT_ONCE, SCORES_AT_ONCE = 32_768, 4_000_000
+#: What single precision may make of a cosine, at most, and found rows that leave a task at once.
+ROUNDED, ROWS_AT_ONCE = 1e-5, 10_000
 
 
-def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, skip: list, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's number, its best ``n`` rows of ``x`` and their scores; rows that tie at the border come along."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        score = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None])
-    for k, s in enumerate(score):
-        usable = np.flatnonzero(np.isfinite(s) & (ids != skip[k] if skip[k] is not None else True))
-        if len(usable) > n:
-            least = np.partition(s[usable], len(usable) - n)[len(usable) - n]
-            usable = usable[s[usable] >= least - 1e-9]  # ties at the border are for the ranking to settle
-        yield k, usable, s[usable]
+def _first(k: np.ndarray, ids: pa.Array, score: np.ndarray, n: int) -> np.ndarray:
+    """Places of each query's first ``n`` rows by score, equal ones by id; ``k`` tells the row's query."""
+    order = pc.sort_indices(pa.table({"k": k, "score": score, "id": ids}), sort_keys=[("k", "ascending"), ("score", "descending"), ("id", "ascending")]).to_numpy()
+    k = k[order]
+    return order[np.arange(len(k)) - np.searchsorted(k, k) < n]
+
+
+def _unlike(x: np.ndarray, ids: pa.Array, n: int) -> np.ndarray:
+    """Places of the rows of ``x`` of which fewer than ``n`` equal ones have a smaller id: no others are among anyone's first ``n``."""
+    rows = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0]
+    _, kind = np.unique(rows, return_inverse=True)
+    return np.sort(_first(kind, ids, np.zeros(len(x)), n))
 
 
 class _Asked:
@@ -36,21 +41,77 @@ class _Asked:
     def __init__(self, queries: list):
         self.ids, self.skip = [q["query_id"] for q in queries], [q["exclude"] for q in queries]
         self.vectors = np.array([q["vector"] for q in queries], np.float64)
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
+
+
+class _Nearest:
+    """The best ``n`` rows for each query of a block among those that a task has seen.
 
-    def of(self, batch: pa.RecordBatch, n: int, some: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """The best ``n`` of a batch (chunk_id, vector) for each query, or for ``some``: no more than that leaves a task for the shuffle."""
-        good = np.array([v is not None and v == self.vectors.shape[1] for v in batch.column(1).value_lengths().to_pylist()], bool)
-        rows, numbers = batch.filter(pa.array(good)), np.arange(len(self.ids)) if some is None else some
+    Held are as many rows as that twice over. Scores in single precision are compared in bulk with each query's least one so far,
+    less what rounding may make of them; those that may reach it are worked out in double precision.
+    """
+
+    def __init__(self, asked: _Asked, n: int):
+        self.asked, self.n, self.most = asked, n, max(100_000, 2 * n * len(asked.ids))
+        self.least = np.full(len(asked.ids), -np.inf)
+        self.held, self.many = [], 0
+        self.excluding = any(c is not None for c in asked.skip)
+
+    def see(self, batch: pa.RecordBatch, some: np.ndarray | None = None) -> None:
+        """Takes up a batch (chunk_id, vector) for each query, or for ``some``."""
+        size, asked = self.asked.vectors.shape[1], self.asked
+        good = np.array([v is not None and v == size for v in batch.column(1).value_lengths().to_pylist()], bool)
+        rows, numbers = batch.filter(pa.array(good)), np.arange(len(asked.ids)) if some is None else some
         if not rows.num_rows or not len(numbers):
             return
         x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
-        chunk_ids, step = rows.column(0).to_numpy(zero_copy_only=False), max(1, SCORES_AT_ONCE // rows.num_rows)
+        with np.errstate(invalid="ignore", over="ignore"):
+            norms = np.sqrt((x * x).sum(1))
+        usable = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+        usable = usable[_unlike(x[usable], rows.column(0).take(pa.array(usable)), self.n + 1)]  # one more, as one may be excluded
+        if not len(usable):
+            return
+        x, norms, ids = x[usable], norms[usable], rows.column(0).take(pa.array(usable))
+        places = {c: i for i, c in enumerate(ids.to_pylist())} if self.excluding else {}
+        unit, step = np.ascontiguousarray((x / norms[:, None]).T, np.float32), max(1, SCORES_AT_ONCE // len(x))
         for a in range(0, len(numbers), step):
-            own = numbers[a : a + step]
-            found = list(_best(self.vectors[own], x, chunk_ids, [self.skip[k] for k in own], n))
-            asked = [self.ids[own[k]] for k, at, _ in found for _ in at]
-            at, score = (np.concatenate(c) for c in list(zip(*found, strict=True))[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(asked), rows.column(0).take(pa.array(at)), pa.array(score)], ["query_id", "chunk_id", "score"])
+            self._take(numbers[a : a + step], x, unit, norms, ids, places)
+
+    def _take(self, own: np.ndarray, x: np.ndarray, unit: np.ndarray, norms: np.ndarray, ids: pa.Array, places: dict) -> None:
+        asked, n = self.asked, self.n
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = (asked.vectors[own] / asked.norms[own, None]).astype(np.float32) @ unit
+        out = [(i, places[asked.skip[k]]) for i, k in enumerate(own) if asked.skip[k] in places] if places else []
+        if out:
+            score[tuple(zip(*out, strict=True))] = -np.inf
+        if score.shape[1] > n and not np.isfinite(self.least[own]).all():
+            self.least[own] = np.fmax(self.least[own], np.partition(score, -n, axis=1)[:, -n] - ROUNDED)
+        i, at = np.divmod(np.flatnonzero(score >= (self.least[own] - ROUNDED)[:, None].astype(np.float32)), score.shape[1])
+        k = own[i]
+        exact = np.einsum("ij,ij->i", asked.vectors[k], x[at]) / (asked.norms[k] * norms[at])
+        kept = np.flatnonzero(np.isfinite(exact) & (score[i, at] > -np.inf))
+        self.held.append((k[kept], ids.take(pa.array(at[kept])), exact[kept]))
+        self.many += len(kept)
+        if self.many > self.most:
+            self._cut()
+
+    def _cut(self) -> None:
+        k, score = (np.concatenate([h[j] for h in self.held]) for j in (0, 2))
+        ids = pa.concat_arrays([h[1] for h in self.held])
+        first = _first(k, ids, score, self.n)
+        k, ids, score = k[first], ids.take(pa.array(first)), score[first]
+        full = np.flatnonzero(np.arange(len(k)) - np.searchsorted(k, k) == self.n - 1)
+        self.least[k[full]] = np.fmax(self.least[k[full]], score[full])
+        self.held, self.many = [(k, ids, score)], len(k)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if not self.many:
+            return
+        self._cut()
+        (k, ids, score), query_ids = self.held[0], pa.array(self.asked.ids)
+        for a in range(0, len(k), ROWS_AT_ONCE):
+            b = slice(a, a + ROWS_AT_ONCE)
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(k[b])), ids[b], pa.array(score[b])], ["query_id", "chunk_id", "score"])
 
 
 def _shape(index: DataFrame, id_type: str) -> str:
@@ -61,8 +122,10 @@ def _scored(index: DataFrame, queries: list, n: int, id_type: str) -> DataFrame:
     asked = _Asked(queries)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Nearest(asked, n)
         for batch in batches:
-            yield from asked.of(batch, n)
+            own.see(batch)
+        yield from own.found()
 
     return index.select("chunk_id", "vector").mapInArrow(scored, _shape(index, id_type))
 
@@ -73,10 +136,12 @@ def scored_pairs(index: DataFrame, queries: list, wanted: np.ndarray, parts: lis
     asked, of = _Asked(queries), {p: np.flatnonzero(wanted[:, j]) for j, p in enumerate(parts) if wanted[:, j].any()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Nearest(asked, n)
         for batch in batches:
             rings = batch.column(2).to_numpy(zero_copy_only=False)
             for ring in np.unique(rings).tolist():
-                yield from asked.of(batch.filter(pa.array(rings == ring)), n, of[ring])
+                own.see(batch.filter(pa.array(rings == ring)), of[ring])
+        yield from own.found()
 
     return index.where(F.col("ring").isin(list(of))).select("chunk_id", "vector", "ring").mapInArrow(scored, _shape(index, id_type))
 

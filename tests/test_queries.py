@@ -66,6 +66,16 @@ def test_marks_in_orders(spark, tmp_path, name):
     assert sorted(map(tuple, got)) == sorted(c.sql(ORACLE_SQL[name]).fetchall())
 
 
+def test_query_log_has_all_turns(spark, tmp_path):
+    """Turns of every conversation are asked, not those of each fiftieth alone."""
+    turns = [(c, t, role, f"what of {c} and {t}") for c in range(1, 4) for t, role in enumerate(("user", "assistant", "user"))]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, f"text {i}", "en", "s") for i in range(5)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    told = QUERIES["service_query_log"](spark, str(tmp_path)).collect()
+    assert sorted(r.query_text for r in told) == sorted(t[3] for t in turns if t[2] == "user")
+    assert {(r.retrieved_before_filter, r.retrieved_after_filter) for r in told} == {(5, 3)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -9,6 +9,7 @@ from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,3 +341,30 @@ def test_grams_that_leave_texts(spark):
     held = anchors._listed(df, [anchors.LONG, anchors.MIDDLE], anchors._filter(keys, 1200))
     assert 1200 <= held.count() < 3000 and held.join(keys, "gram").count() < 1300
     assert anchors.holding(df, lines).count() == 1200
+
+
+def test_a_task_gives_a_query_its_best_rows_alone(spark, monkeypatch):
+    """Batches and blocks of any size, copies, excluded rows and scores that single precision can't tell apart give the first rows by score and id."""
+    rnd = random.Random(7)
+    base = [[rnd.gauss(0, 1) for _ in range(4)] for _ in range(12)]
+    near = [[x * (1 + k * 1e-9) if j == 0 else x for j, x in enumerate(base[0])] for k in range(20)]
+    rows = [(f"c{i:03}", v) for i, v in enumerate(base * 4 + near + [[0.0] * 4, None, [float("nan")] * 4, [1.0] * 3] + [[rnd.gauss(0, 1) for _ in range(4)] for _ in range(60)])]
+    index = spark.createDataFrame(rows, "chunk_id string, vector array<double>").coalesce(1)
+    queries = [{"query_id": i, "vector": v, "exclude": f"c{i:03}" if i % 2 else None} for i, v in enumerate(base)]
+
+    def best(q):
+        cosine = lambda v: float(np.einsum("i,i->", np.array(q["vector"]), np.array(v)) / (np.sqrt((np.array(q["vector"]) ** 2).sum()) * np.sqrt((np.array(v) ** 2).sum())))
+        good = [(c, cosine(v)) for c, v in rows if v and len(v) == 4 and any(v) and v[0] == v[0] and c != q["exclude"]]
+        return sorted(good, key=lambda r: (-r[1], r[0]))[:5]
+
+    for at_once, size in ((4_000_000, 10_000), (30, 7)):
+        monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", at_once)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = retrieval._scored(index, queries, 5, "long").collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == 5 * len(queries)
+        for q in queries:
+            own = sorted(((r.chunk_id, r.score) for r in got if r.query_id == q["query_id"]), key=lambda r: (-r[1], r[0]))
+            assert [s for _, s in own] == pytest.approx([s for _, s in best(q)], abs=1e-12)
+            assert len({c for c, _ in own}) == 5 and q["exclude"] not in {c for c, _ in own}
+            assert q["query_id"] == 0 or [c for c, _ in own][:3] == [c for c, _ in best(q)][:3]
