@@ -368,3 +368,18 @@ def test_a_task_gives_a_query_its_best_rows_alone(spark, monkeypatch):
             assert [s for _, s in own] == pytest.approx([s for _, s in best(q)], abs=1e-12)
             assert len({c for c, _ in own}) == 5 and q["exclude"] not in {c for c, _ in own}
             assert q["query_id"] == 0 or [c for c, _ in own][:3] == [c for c, _ in best(q)][:3]
+
+
+def test_anchors_of_near_copies(spark):
+    """Near copies share an anchor's key without holding it: what is told of such a pair doesn't grow with the anchor's length."""
+    rnd = random.Random(9)
+    words = [rnd.choice("abcdefghij") * 3 + rnd.choice("klmnop") + str(rnd.randrange(99)) for _ in range(800)]
+    texts = [" ".join(w if i != 13 * k % 800 else f"edit{k}" for i, w in enumerate(words)) for k in range(40)]
+    df = spark.createDataFrame([(k, f"before {t} after" + " and again " * (k % 3) + t * (k % 2)) for k, t in enumerate(texts)], "chunk_id long, chunk_text string")
+    lines = spark.createDataFrame([(t,) for t in [*texts, texts[0], None, "", "ab", "edit7", texts[3][:33]]], "anchor string")
+    keys = anchors._keyed(lines, (np.zeros(0, np.int64), np.zeros(0, np.int64)))  # as of texts that aren't in the sample
+    assert not any(kind == "string" for _, kind in [*keys.dtypes, *anchors.found(df, lines).dtypes])
+    pairs = anchors._listed(df, [anchors.LONG], anchors._filter(keys, 44)).join(keys.distinct(), "gram")
+    assert pairs.count() > 200 and max(len(repr(tuple(r))) for r in pairs.collect()) < 250
+    got = sorted((r.chunk_id, r.anchor) for r in anchors.holding(df, lines).collect())
+    assert got == sorted((r.chunk_id, a) for r in df.collect() for a in {a.anchor for a in lines.collect() if a.anchor} if a in r.chunk_text)
