@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack import queries
 from lodestack.functions import kernels, remote, split, tables
 from lodestack.operators import anchors, monitor, pivots, retrieval
 from lodestack.operators import index as indexes
@@ -383,3 +384,36 @@ def test_anchors_of_near_copies(spark):
     assert pairs.count() > 200 and max(len(repr(tuple(r))) for r in pairs.collect()) < 250
     got = sorted((r.chunk_id, r.anchor) for r in anchors.holding(df, lines).collect())
     assert got == sorted((r.chunk_id, a) for r in df.collect() for a in {a.anchor for a in lines.collect() if a.anchor} if a in r.chunk_text)
+
+
+def test_tables_in_whole_batches(spark, monkeypatch):
+    """A table function takes batches of tables and gives what each gives alone; order_table_pieces goes through it."""
+    kernels.register(spark)
+    cell = ["a", " é  b ", "x > y", "1 &amp; 2", "<b>c</b>", "", "long " * 30]
+    rnd = random.Random(11)
+    rows = [(i, "<table>" + rnd.choice(["", "<caption> C </caption>"]) + "<tbody>" + "".join("<tr>" + "".join(f"<td>{rnd.choice(cell)}</td>" for _ in range(rnd.randrange(4))) + "</tr>" for _ in range(rnd.randrange(9))) + "</tbody></table>", rnd.choice([None, "p"])) for i in range(300)]
+    rows += [(300, None, None), (301, "", "p"), (302, "no table", "p")]
+    df = spark.createDataFrame(rows, "table_id long, html string, prefix string").coalesce(1)
+    got = spark.sql("SELECT * FROM pieces_of_tables(TABLE({t}), 90)", t=df).collect()
+    assert sorted(map(tuple, got)) == [(i, pos, *p.values()) for i, h, x in rows for pos, p in enumerate(tables.pieces(h, x, 90))]
+    assert "pieces_of_tables" in queries.QUERIES["order_table_pieces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_plain_tables():
+    """Tables that one expression tells apart are what the parser makes of them, and a large one takes no longer than in proportion."""
+    rnd = random.Random(12)
+    bits = ["<table>", "</table>", "<caption>", "</caption>", "<thead>", "</thead>", "<tbody>", "</tbody>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>"]
+    row = lambda: "<tr>" + "".join(f"<t{k}>{rnd.choice(['', ' a ', 'b > c', chr(160), 'é|'])}</t{k}>" for k in rnd.choices("dh", k=rnd.randrange(4))) + "</tr>"
+    plain = 0
+    for _ in range(3000):
+        html = "<table>" + rnd.choice(["", "<caption> C\n</caption>", "<caption></caption>"]) + rnd.choice(["", f"<thead>{row()}{row()}</thead>", "<thead></thead>"]) + "<tbody>" + "".join(row() for _ in range(rnd.randrange(4))) + "</tbody></table>"
+        if rnd.random() < 0.5:
+            at = rnd.randrange(len(html))
+            html = html[:at] + rnd.choice([*bits, "&lt;", "x", "<", " "]) + html[at:]
+        told = tables._plain(html)
+        plain += told is not None
+        assert told in (None, tables._parsed(html)), html
+    assert plain > 1500
+    began = time.time()
+    assert len(tables.parse("<table><tbody>" + "<tr><td>a</td><th>b</th></tr>" * 200_000 + "</tbody></table>").rows) == 199_999
+    assert time.time() - began < 5
