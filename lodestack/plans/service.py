@@ -211,10 +211,13 @@ class Service:
             index, began = self._ready(), time.time()
             asked = settled(queries.withColumn("vector", self.vectorise(for_embedding(stripped(F.col("query_text"))))), "asked")
             embedded = time.time()
-            condition = retrieval.matches(filters or {}, index.dtypes)
-            rows = settled(retrieval.fetched(asked, index, top_k), "fetched")
+            asked_of = index if "chunk_text" in (filters or {}) else index.drop("chunk_text")  # texts are joined to what is left
+            condition = retrieval.matches(filters or {}, asked_of.dtypes)
+            rows = settled(retrieval.fetched(asked, asked_of, top_k), "fetched")
             retrieved = time.time()
-            out = settled(retrieval.filtered(rows, F.lit(True) if condition is None else condition, self.min_score, top_k), "found")
+            kept = retrieval.filtered(rows, F.lit(True) if condition is None else condition, self.min_score, top_k)
+            kept = kept if "chunk_text" in kept.columns else kept.join(index.select("chunk_id", "chunk_text"), "chunk_id")
+            out = settled(kept.select("chunk_id", "query_id", "score", "rank", *(c for c in index.columns if c not in ("chunk_id", "vector"))), "found")
             told = retrieval.traced(asked, rows, top_k, condition, self.min_score)
             ms = [int(1000 * (b - a)) for a, b in ((began, embedded), (embedded, retrieved), (began, time.time()))]
         except Exception as e:

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import retrieval
+from lodestack.plans.service import Service
 from lodestack.queries import ORACLE_SQL, QUERIES
+from lodestack.sources import store
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -76,6 +78,20 @@ def test_query_log_has_all_turns(spark, tmp_path):
     assert {(r.retrieved_before_filter, r.retrieved_after_filter) for r in told} == {(5, 3)}
 
 
+def test_fetched_rows_have_no_texts(spark, tmp_path, monkeypatch):
+    """Texts come with what is left of a query's rows, not with all that were fetched, unless a filter asks for them."""
+    seen, fetched = [], retrieval.fetched
+    monkeypatch.setattr(retrieval, "fetched", lambda asked, index, k: (seen.append("chunk_text" in index.columns), fetched(asked, index, k))[1])
+    service = Service(spark, store.Store(spark, f"{tmp_path}/store"), min_score=0.0)
+    chunks = spark.createDataFrame([(f"c{i}", "d", i, f"text {i}", '{"lang": "en"}') for i in range(4)], "chunk_id string, doc_id string, chunk_index int, chunk_text string, metadata string")
+    service.store.replace("chunks", chunks, "doc_id")
+    service.build_index()
+    asked = spark.createDataFrame([("q", "text 2")], "query_id string, query_text string")
+    found = [service.query(asked, 4, f) for f in ({"lang": "en"}, {"chunk_text": "text 2"})]
+    assert seen == [False, True] and found[0].columns == found[1].columns
+    assert {(r.chunk_id, r.chunk_text) for r in found[0].collect()} == {(f"c{i}", f"text {i}") for i in range(4)} and [r.chunk_id for r in found[1].collect()] == ["c2"]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
